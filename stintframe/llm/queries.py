@@ -66,3 +66,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_token_counts, op2_nn_descent, op3_packing, op4_segment_sampling, op5_toxicity, op6_quotes, op7_id_store, op8_quality, op9_simhash, op10_warc)
     return {f.__name__: f for f in found}
+
+
+#: The SQL of the queries that SQL can express.
+ORACLES: dict[str, str] = {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
