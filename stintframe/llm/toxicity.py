@@ -115,11 +115,18 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.
     at, times = spread(parts.codes, np.cumsum(lengths) - lengths, lengths)
     names = sorted({i for x in found for i in x})
     number = dict(zip(names, range(len(names)), strict=True))
-    word = np.array([number[i] for x in found for i in x], np.int64)[at]
-    of, doc_of, n = np.repeat(parts.sentence, times), parts.text_of, len(parts.text_of)
-    seen = np.unique(word * len(texts) + doc_of[of])  # each feature of each document once
-    toxic = np.bincount(seen // len(texts), y[seen % len(texts)], len(names))
-    count = np.bincount(seen // len(texts), minlength=len(names))
+    word = np.fromiter((number[i] for x in found for i in x), np.int32)[at]
+    del at, found, number
+    of, doc_of, n = np.repeat(parts.sentence.astype(np.int32), times), parts.text_of, len(parts.text_of)
+    seen = word * np.int64(len(texts))
+    seen += doc_of[of]
+    seen.sort()
+    seen = seen[np.r_[True, seen[1:] != seen[:-1]]]  # each feature of each document once
+    feature, doc = (seen // len(texts)).astype(np.int32), (seen % len(texts)).astype(np.int32)
+    del seen
+    toxic = np.bincount(feature, y[doc], len(names))
+    count = np.bincount(feature, minlength=len(names))
+    del feature, doc
     prior = y.mean()
     good = toxic - count * prior > EVIDENCE * np.sqrt(count * prior * (1 - prior))
     good &= (count > 0) & ((toxic + 0.5) / y.sum() > TIMES * (count - toxic + 0.5) / (1 - y).sum())
@@ -173,7 +180,7 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_bytes: int = 16 << 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2400, most_bytes: int = 6 << 20) -> Model:
     """Fit on at most ``most_rows`` labelled documents and ``most_bytes`` of text, the documented bound of the sample."""
     return fit(*training_rows(docs, labels, most_rows, most_bytes))
 
