@@ -154,25 +154,24 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, most_bytes: int) -> tuple[list[str], list[int]]:
     """Texts and labels of a bounded sample: labelled documents outside the held-out third, half of them toxic if possible.
 
-    The sample is the first of each class in the order of a hash of the id, so it does not depend on partitioning.
-    Longer texts than ``most_bytes / most_rows * 8`` are left to scoring; null labels and texts are not learnt from.
+    The sample is the first of each class in the order of a hash of the id, so it does not depend on partitioning; it is
+    chosen by ids alone, and only its own texts reach the driver.  Longer texts than ``most_bytes / most_rows * 8`` are left
+    to scoring; null ids, labels and texts are not learnt from; an id's texts count once.
     """
     known = labels.filter("toxic in (0, 1)").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
-    rows = (
-        docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-        .filter(F.col("text").isNotNull() & ~held_out("id") & (F.octet_length("text") <= most_bytes // most_rows * 8))
-        .join(known, "id")
-        .withColumn("order", F.xxhash64("id", "text"))
-    )
-    found = []
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = rows.filter(F.col("text").isNotNull() & ~held_out("id") & (F.octet_length("text") <= most_bytes // most_rows * 8))
+    named = rows.select("id").join(known, "id").withColumn("order", F.xxhash64("id"))
+    chosen = []
     for c in (0, 1):
-        part = rows.filter(F.col("toxic") == c).orderBy("order", "id").limit(most_rows // 2).select("text", "toxic").collect()
-        held = 0
-        for r in part:
-            held += len(r.text)
-            if held > most_bytes // 2:
-                break
-            found.append((r.text, int(r.toxic)))
+        chosen += named.filter(F.col("toxic") == c).select("order", "id", "toxic").distinct().orderBy("order", "id").limit(most_rows // 2).collect()
+    ids = docs.sparkSession.createDataFrame([(r.id, int(r.toxic), r.order) for r in chosen], "id long, toxic int, order long")
+    texts = rows.join(F.broadcast(ids), "id").groupBy("order", "id", "toxic").agg(F.min("text").alias("text"))  # most_rows ids
+    found, held = [], [0, 0]
+    for r in sorted(texts.collect(), key=lambda r: (r.order, r.id)):
+        held[r.toxic] += len(r.text)
+        if held[r.toxic] <= most_bytes // 2:
+            found.append((r.text, r.toxic))
     return [x for x, _ in found], [y for _, y in found]
 
 
