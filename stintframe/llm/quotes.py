@@ -24,7 +24,8 @@ TURNS = 256
 
 def own_text(text: Column) -> Column:
     """The text without quoted lines, and without white space around it."""
-    return F.trim(F.array_join(F.filter(F.split(text, r"\r?\n"), lambda x: ~x.rlike(QUOTED)), "\n"))
+    left = F.array_join(F.filter(F.split(text, r"\r?\n"), lambda x: ~x.rlike(QUOTED)), "\n")
+    return F.regexp_replace(left, r"^\s+|\s+$", "")
 
 
 def normalised(text: Column) -> Column:

@@ -217,9 +217,10 @@ def sample(texts: pa.Array, keys: np.ndarray, v: Vocabulary, n_samples: int, see
         new = walk(net, text[fresh], word[fresh], units.codes[fresh], state[fresh], key[text[fresh]])
         cuts = np.searchsorted(new.text, np.arange(n_texts + 1))
         # the sets beside each new choice
-        before = np.cumsum(new.log) - new.log
         base = np.array([x[4] if x else 0.0 for x in prefix])
-        before += base[new.text] - np.r_[before, 0.0][cuts[:-1]][new.text]
+        before = base[new.text] - new.log
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):  # text by text: sums do not depend on the slice
+            before[a:b] += np.cumsum(new.log[a:b])
         rest = np.log(np.maximum(-np.expm1(new.log), 1e-300))
         single = net.first[new.state + 1] - net.first[new.state] == 1
         rest[single | (new.log >= 0)] = -np.inf

@@ -77,7 +77,8 @@ def write_archive(
     prefix: str = "pages",
     date: str = DATE,
 ) -> None:
-    """Write all rows.  Null html: an empty payload; null url: an empty one; a page without id is a response always.
+    """Write all rows.  Null html: an empty payload; null url: an empty one.  A page without id is never referred
+    to: it revisits a page with one, and without such a page is a response.
     Repeated rows: the first of a page's equal payloads is the response, the others revisit it if they are long enough."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html"))
     rows = rows.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html")})
