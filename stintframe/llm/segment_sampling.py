@@ -296,7 +296,7 @@ def sample_segmentations(docs: DataFrame, model: str, n_samples: int = 2, seed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             texts, ids = batch.column("text").to_pylist(), batch.column("id").to_pylist()
             out: list[list] = [[] for _ in schema.split(", ")]
             keys = pc.fill_null(batch.column("id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
