@@ -11,9 +11,17 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import no_nan, seconds
 
-LAPS = T.StructType.fromDDL("Year int, Race int, Driver string, Team string, LapNumber double, LapTime_seconds double, Position double, TireCompound string, TireAge double")
-RESULTS = T.StructType.fromDDL("Year int, Race int, Driver string, Team string, Position double, GridPosition double, Points double, Status string")
-QUALIFYING = T.StructType.fromDDL("Year int, Race int, Driver string, Team string, QualifyingPosition double, Q1 double, Q2 double, Q3 double, Status string")
+_TYPES = {"int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType()}
+
+
+def _schema(fields: str) -> T.StructType:
+    """A schema from "name type, ..." without a session, which the DDL parser would need."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in map(str.split, fields.split(", "))])
+
+
+LAPS = _schema("Year int, Race int, Driver string, Team string, LapNumber double, LapTime_seconds double, Position double, TireCompound string, TireAge double")
+RESULTS = _schema("Year int, Race int, Driver string, Team string, Position double, GridPosition double, Points double, Status string")
+QUALIFYING = _schema("Year int, Race int, Driver string, Team string, QualifyingPosition double, Q1 double, Q2 double, Q3 double, Status string")
 BAD = "_corrupt"
 
 
@@ -26,8 +34,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Data
     wide = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
     rows = spark.read.schema(wide).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).csv(path)
     doubles = {f.name: no_nan(F.col(f.name)) for f in schema if isinstance(f.dataType, T.DoubleType)}
-    good = rows.filter(F.col(BAD).isNull()).drop(BAD)
-    return (good.withColumns(doubles) if doubles else good), rows.filter(F.col(BAD).isNotNull()).select(BAD)
+    # every column is referred to, so that pruning neither hides a bad line nor leaves the corrupt column alone
+    whole = F.length(F.concat_ws(",", *schema.names)) >= 0
+    good = rows.filter(F.col(BAD).isNull() & whole).drop(BAD)
+    return (good.withColumns(doubles) if doubles else good), rows.filter(F.col(BAD).isNotNull() & whole).select(BAD)
 
 
 def _missing(e: AnalysisException) -> bool:
