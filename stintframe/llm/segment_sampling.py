@@ -60,7 +60,8 @@ class Vocabulary:
         self.score = np.zeros(max(score) + 1)
         self.score[[*score]] = [*score.values()]
         self.byte_ids = np.array(found.byte_ids, np.int64)
-        self.spelled = {i: t.replace(MARK, " ").encode() for t, i in found.ids.items()} | {i: bytes([b]) for b, i in enumerate(found.byte_ids)}
+        spelled = {i: t.replace(MARK, " ").encode() for t, i in found.ids.items()} | {i: bytes([b]) for b, i in enumerate(found.byte_ids)}
+        self.spelled = pa.array([spelled.get(i, b"") for i in range(max(spelled) + 1)], pa.large_binary())
 
     def next(self, node: np.ndarray, point: np.ndarray) -> np.ndarray:
         """The node that each character leads to, 0 for none."""
@@ -71,9 +72,11 @@ class Vocabulary:
         out[other] = np.where(self.keys[k] == key, self.to[k], 0)
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """The text whose encoding ``ids`` is: the first word's leading space is dropped."""
-        return b"".join(map(self.spelled.__getitem__, ids))[1:].decode()
+    def decode(self, ids: list[np.ndarray]) -> pa.Array:
+        """The bytes that each array of ids encodes, the first word's leading space with them."""
+        cuts = np.cumsum([0, *map(len, ids)])
+        spelled = self.spelled.take(pa.array(np.concatenate([np.zeros(0, np.int64), *ids])))
+        return pc.binary_join(pa.LargeListArray.from_arrays(cuts, spelled), pa.scalar(b"", pa.large_binary()))
 
 
 @cache
@@ -97,7 +100,8 @@ class Lattice(NamedTuple):
 
 
 def lattice(words: list[str], v: Vocabulary) -> Lattice:
-    joined = "".join(MARK + w.replace(MARK, "\x00") + "\n" for w in words)  # a mark in the text is spelled by its bytes
+    # words hold no space; a mark in the text is spelled by its bytes
+    joined = MARK + " ".join(words).replace(MARK, "\x00").replace(" ", "\n" + MARK) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     end = np.cumsum(size) - 1
@@ -130,7 +134,9 @@ def lattice(words: list[str], v: Vocabulary) -> Lattice:
     # log-sums backwards, all words at once, by the distance from the word's end
     ahead = np.zeros(len(points))
     far = stop[source] - source
-    order = np.argsort(far * np.int64(len(points)) + source)
+    length = to - source  # with its state, it tells an edge from all others
+    reach = np.int64(depth + 1)
+    order = np.argsort((far * np.int64(len(points)) + source) * reach + length)
     source, to, piece, score = source[order], to[order], piece[order], score[order]
     new = np.flatnonzero(np.r_[True, source[1:] != source[:-1]]) if len(source) else np.zeros(0, np.int64)
     far = far[order][new]
@@ -140,7 +146,8 @@ def lattice(words: list[str], v: Vocabulary) -> Lattice:
         lo, hi = ends[a], ends[b]
         ahead[source[new[a:b]]] = np.logaddexp.reduceat(score[lo:hi] + ahead[to[lo:hi]], new[a:b] - lo)
     share = np.exp(score + ahead[to] - ahead[source])
-    order = np.argsort(source - np.minimum(share, 1.0) * 0.999)  # by state, the likeliest choice first
+    rank = ((1.0 - np.minimum(share, 1.0)) * 1023).astype(np.int64)
+    order = np.argsort((source * 1024 + rank) * reach + to - source)  # by state, about the likeliest choice first; the same in any slice
     source = source[order]
     first = np.searchsorted(source, np.arange(len(points) + 1))
     return Lattice(start, end, first, to[order], piece[order], share[order])
@@ -159,11 +166,12 @@ def truncated(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarr
 
 
 class Paths(NamedTuple):
-    """Choices in the order of texts and words: text, word, state (place in its word), edge, log-share."""
+    """Choices in the order of texts and words: text, word, state, the state's place in its word, edge, log-share."""
 
     text: np.ndarray
     word: np.ndarray
     state: np.ndarray
+    place: np.ndarray
     edge: np.ndarray
     log: np.ndarray
 
@@ -171,11 +179,13 @@ class Paths(NamedTuple):
 def walk(net: Lattice, text: np.ndarray, word: np.ndarray, code: np.ndarray, state: np.ndarray, key: np.ndarray) -> Paths:
     """Complete each word from ``state`` to its end by drawn choices."""
     of = np.arange(len(text))
-    whose, states, edges = [], [], []
+    start = net.start[code]
+    whose, states, places, edges = [], [], [], []
     on = state < net.end[code]
     of, state = of[on], state[on]
     while len(of):
-        u = draw(key[of], word[of], state - net.start[code[of]], 1)
+        place = state - start[of]
+        u = draw(key[of], word[of], place, 1)
         e, last = net.first[state], net.first[state + 1] - 1
         more = np.flatnonzero((u >= net.share[e]) & (e < last))
         while len(more):
@@ -184,18 +194,19 @@ def walk(net: Lattice, text: np.ndarray, word: np.ndarray, code: np.ndarray, sta
             more = more[(u[more] >= net.share[e[more]]) & (e[more] < last[more])]
         whose.append(of)
         states.append(state)
+        places.append(place)
         edges.append(e)
         state = net.to[e]
         on = state < net.end[code[of]]
         of, state = of[on], state[on]
     none = np.zeros(0, np.int64)
-    of, state, edge = (np.concatenate([none, *x]) for x in (whose, states, edges))
+    of, state, place, edge = (np.concatenate([none, *x]) for x in (whose, states, places, edges))
     order = np.argsort(of, kind="stable")
-    of, state, edge = of[order], state[order], edge[order]
-    return Paths(text[of], word[of], state, edge, np.log(np.minimum(net.share[edge], 1.0)))
+    of, state, place, edge = of[order], state[order], place[order], edge[order]
+    return Paths(text[of], word[of], state, place, edge, np.log(np.minimum(net.share[edge], 1.0)))
 
 
-def sample(texts: pa.Array, keys: np.ndarray, v: Vocabulary, n_samples: int, seed: int) -> Iterator[tuple[int, int, list[int], float, float]]:
+def sample(texts: pa.Array, keys: np.ndarray, v: Vocabulary, n_samples: int, seed: int) -> Iterator[tuple[int, int, np.ndarray, float, float]]:
     """Per text and sample: text, sample number from 0, ids, log-probability, log of the inclusion probability given the
     largest perturbed value left out (0 if the text has no further segmentation)."""
     units = split(texts, every_space=True)
@@ -222,10 +233,9 @@ def sample(texts: pa.Array, keys: np.ndarray, v: Vocabulary, n_samples: int, see
         for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):  # text by text: sums do not depend on the slice
             before[a:b] += np.cumsum(new.log[a:b])
         rest = np.log(np.maximum(-np.expm1(new.log), 1e-300))
-        single = net.first[new.state + 1] - net.first[new.state] == 1
-        rest[single | (new.log >= 0)] = -np.inf
+        rest[new.log >= 0] = -np.inf  # nothing stands beside a choice of share 1
         with np.errstate(divide="ignore"):
-            u = draw(key[new.text], new.word, new.state - net.start[units.codes[units.offsets[new.text] + new.word]], 2)
+            u = draw(key[new.text], new.word, new.place, 2)
             beside = truncated(before + rest, best[new.text], u)
         fresh = np.zeros(len(text), bool)
         state = net.start[units.codes]
@@ -278,9 +288,7 @@ def sample(texts: pa.Array, keys: np.ndarray, v: Vocabulary, n_samples: int, see
                 inclusion = log_p - out if x < 1e-9 else float(np.log(-np.expm1(-x)))
             ids = net.piece[edges]
             if (ids < 0).any():
-                ids = [i for x in ids.tolist() for i in ([x] if x >= 0 else v.byte_ids[[*chr(-1 - x).encode()]].tolist())]
-            else:
-                ids = ids.tolist()
+                ids = np.array([i for x in ids.tolist() for i in ([x] if x >= 0 else v.byte_ids[[*chr(-1 - x).encode()]].tolist())], np.int64)
             yield t, s, ids, log_p, inclusion
 
 
@@ -296,15 +304,23 @@ def sample_segmentations(docs: DataFrame, model: str, n_samples: int = 2, seed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for batch in slices(batches, "text", 4 << 20):
-            texts, ids = batch.column("text").to_pylist(), batch.column("id").to_pylist()
-            out: list[list] = [[] for _ in schema.split(", ")]
+        space, none = pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary())
+        for batch in slices(batches, "text", 1 << 20):
+            texts = batch.column("text")
             keys = pc.fill_null(batch.column("id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for t, s, found, log_p, inclusion in sample(batch.column("text"), keys, v, n_samples, seed):
-                row = (ids[t], s, len(found), zlib.crc32(np.array(found, "<u4").tobytes()), log_p, inclusion, v.decode(found) == (texts[t] or ""), found)
-                for column, x in zip(out, row, strict=False):
-                    column.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=False)], [x.split()[0] for x in schema.split(", ")])
+            rows, samples, found, log_p, inclusion = ([*x] for x in zip(*sample(texts, keys, v, n_samples, seed), strict=True))
+            spelled = pc.binary_join_element_wise(space, pc.fill_null(texts.cast(pa.large_binary()), b""), none)
+            out = [
+                batch.column("id").take(pa.array(rows)),
+                pa.array(samples, pa.int32()),
+                pa.array([len(x) for x in found], pa.int64()),
+                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()),
+                pa.array(log_p, pa.float64()),
+                pa.array(inclusion, pa.float64()),
+                pc.equal(v.decode(found), spelled.take(pa.array(rows))),
+            ]
+            if with_ids:
+                out.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
