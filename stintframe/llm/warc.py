@@ -85,7 +85,7 @@ def write_archive(
     marks = revisits(rows, least_bytes).withColumn("mark", F.lit(0))
     both = rows.drop("size").withColumn("mark", F.lit(1)).unionByName(marks, allowMissingColumns=True)
     dealt, n = with_shard(both, "page_id", rows.select("page_id", "size"), F.col("size") + 400, shard_bytes)
-    dealt = dealt.repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "mark", "url")
+    dealt = dealt.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "mark", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, shard, number, count, sha = None, None, 0, 0, None
