@@ -107,7 +107,7 @@ def write_store(
             raise
 
     rows = (
-        dealt.repartition(n, "shard")
+        dealt.repartitionById(n, F.col("shard"))
         .sortWithinPartitions("shard", F.asc_nulls_first("id"), "ids")
         .mapInArrow(run, "shard int, documents long, tokens long, first_key long")
         .collect()  # one row a shard
@@ -202,4 +202,4 @@ def look_up(spark: SparkSession, path: str, keys: DataFrame, with_ids: bool = Fa
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(x, pa.list_(pa.int64())) for x in out[4:]], names)
 
     wanted = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).mapInArrow(place, "key long, shard int")
-    return wanted.repartition(len(manifest["shards"]), "shard").sortWithinPartitions("shard", "key").mapInArrow(read, schema)
+    return wanted.repartitionById(len(manifest["shards"]), F.col("shard")).sortWithinPartitions("shard", "key").mapInArrow(read, schema)
