@@ -29,10 +29,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id.
 
-    Shingles of five words.  A similarity of 0.8 is an angle at which about 37 of 256 bits differ, give or take six, so
-    fingerprints have 256 bits here, in 20 blocks, and link at 40 bits.  Rows repeated under one id are one document.
+    Near copies share 0.8 or more of their different shingles of five words, which is checked exactly; a document linked
+    through others belongs to the group.  Rows repeated under one id are one document.
     """
-    found = simhash.near_duplicates(docs, shingle_words=5, max_bits=40, words64=4, n_blocks=20, agree=1)
+    found = simhash.similar_documents(docs, shingle_words=5, least=0.8)
     kept = found.filter("id = component_id").select(F.col("id").alias("doc_id")).distinct()
     nameless = docs.filter("doc_id is null")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nameless)

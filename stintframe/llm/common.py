@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             yield batch.slice(start)
 
 
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Regroup sorted batches so that no run of equal keys is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy()
+        last = int(np.searchsorted(values, values[-1]))
+        if last or (held and held[-1].column(key)[0].as_py() != values[0]):
+            table = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            yield from table.to_batches()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def runs(key: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, written
+from .common import connected_components, cut, groups, runs, written
 
 #: Vectors of a start block, and of a block of a saturated component.
 START_BLOCK, BLOCK = 256, 1024
@@ -35,32 +35,10 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Regroup sorted batches so that no run of equal keys is cut."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = batch.column(key).to_numpy()
-        last = int(np.searchsorted(values, values[-1]))
-        if last or (held and held[-1].column(key)[0].as_py() != values[0]):
-            table = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
-            yield from table.to_batches()
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _runs(key: np.ndarray) -> list[tuple[int, int]]:
-    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-
-
 EDGES = "u long, v long, s float"
 
 
@@ -73,11 +51,11 @@ def _compare(key: str, best: int, threshold: float) -> Callable:
     """Compare the members of each group with each other; columns: key, id, half (vector), low (worst of its list)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches, key):
+        for batch in groups(batches, key):
             ids, low = batch.column("id").to_numpy(), batch.column("low").to_numpy()
             x = _matrix(batch.column("half"), "<f2").astype(np.float32)
             u, v, s = [], [], []
-            for a, b in _runs(batch.column(key).to_numpy()):
+            for a, b in runs(batch.column(key).to_numpy()):
                 if b - a < 2:
                     continue
                 near = x[a:b] @ x[a:b].T
@@ -186,11 +164,11 @@ def complete(members: DataFrame, threshold: float) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches, "task"):
+        for batch in groups(batches, "task"):
             ids, mine, copies = (batch.column(c).to_numpy() for c in ("id", "mine", "copies"))
             x = _matrix(batch.column("unit"), "<f8")
             total = np.zeros(len(ids), np.int64)
-            for a, b in _runs(batch.column("task").to_numpy()):
+            for a, b in runs(batch.column("task").to_numpy()):
                 near = x[a:b] @ x[a:b].T >= threshold
                 np.fill_diagonal(near, False)
                 if mine[a:b].min() != mine[a:b].max():  # two blocks: each is compared with itself in a task of its own

@@ -10,11 +10,16 @@ Equal fingerprints are one node before any pairing.  A key that very many differ
 and each pair of chunks is compared by one task; a comparison returns one star of edges per component it finds instead of
 all pairs.  So no task holds more than two chunks of a key, nothing is sampled, and the rows made stay linear in each pair
 of chunks.
+
+A similarity far below 1 differs in more bits than blocks can promise.  For it, ``similar_documents`` takes many keys of
+bits drawn from a wide fingerprint, allows over three deviations more than the similarity's own bits, and lets only documents
+link whose shingle sets reach the similarity exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, slices
+from .common import connected_components, cut, groups, runs, slices
 from .mphf import mix
 
 SEED = 42
@@ -31,21 +36,36 @@ SEED = 42
 CHUNK = 1024
 #: Runs up to this length are compared by shifted arrays, longer ones by a bit-distance matrix.
 SHORT_RUN = 32
+#: Different shingle sets of one group of candidates, and shingles of theirs, that a task holds twice at once.
+SETS, SHINGLES = 512, 400_000
+#: Shingles whose places in the sets of a task are laid out at once.
+COLUMNS = 4096
 
 
-def fingerprint(text: bytes, shingle_words: int, words64: int = 1) -> np.ndarray:
-    """The bits of one text in UTF-8 as ``words64`` unsigned 64-bit numbers; A-Z are lower-cased, ASCII white space separates
-    words, a text of fewer words than a shingle is one shingle, a text without words has no bit set."""
+def shingles_of(text: bytes, shingle_words: int) -> list[bytes]:
+    """Word shingles; A-Z are lower-cased, ASCII white space separates words, a text of fewer words than a shingle is one
+    shingle, a text without words has none."""
     words = text.lower().split()
     if not words:
-        return np.zeros(words64, np.uint64)
+        return []
     joined = b" ".join(words)
     width = min(shingle_words, len(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     n = len(words) - width + 1
-    shingles = [joined[i:j] for i, j in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)]
+    return [joined[i:j] for i, j in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, shingle_words: int, words64: int = 1) -> np.ndarray:
+    """The bits of one text in UTF-8 as ``words64`` unsigned 64-bit numbers; without words no bit is set."""
+    return bits_of(shingles_of(text, shingle_words), words64)
+
+
+def bits_of(shingles: list[bytes], words64: int) -> np.ndarray:
+    if not shingles:
+        return np.zeros(words64, np.uint64)
+    n = len(shingles)
     digest = xxhash.xxh64_intdigest
     bits = []
     for seed in range(SEED, SEED + words64):
@@ -89,15 +109,24 @@ def block_keys(fps: np.ndarray, n_blocks: int, agree: int) -> Iterator[np.ndarra
         yield value.view(np.int64)
 
 
+def drawn_keys(fps: np.ndarray, width: int, count: int) -> Iterator[np.ndarray]:
+    """``count`` keys, each a hash of its number and of ``width`` bits drawn anew from the fingerprint."""
+    bits = np.unpackbits(fps.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    draw = np.random.default_rng(SEED)
+    for n in range(count):
+        chosen = draw.choice(bits.shape[1], width, replace=False)
+        packed = bits[:, chosen].astype(np.uint64) @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
+        yield mix(mix(np.full(len(fps), n, np.uint64), 0) ^ packed, n).view(np.int64)
+
+
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1)
 
 
-def close_in_run(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places that connect what is close among ``fps``: a star around the first member of each component."""
-    near = sum(np.bitwise_count(fps[:, None, w] ^ fps[None, :, w]).astype(np.int16) for w in range(fps.shape[1])) <= max_bits
-    free, left, right = np.ones(len(fps), bool), [], []
-    for i in range(len(fps)):
+def stars(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that connect what the square matrix ``near`` links: a star around the first member of each component."""
+    free, left, right = np.ones(len(near), bool), [], []
+    for i in range(len(near)):
         if free[i]:
             free[i] = False
             frontier = np.flatnonzero(near[i] & free)
@@ -110,6 +139,11 @@ def close_in_run(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def close_in_run(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that connect what is close among ``fps``."""
+    return stars(sum(np.bitwise_count(fps[:, None, w] ^ fps[None, :, w]).astype(np.int16) for w in range(fps.shape[1])) <= max_bits)
+
+
 def _edges_in_sorted(key: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of close fingerprints with equal keys, in order of the keys."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -132,15 +166,16 @@ def _edges_in_sorted(key: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[n
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def close_edges(nodes: DataFrame, max_bits: int = 4, n_blocks: int = 6, agree: int = 2, chunk: int = CHUNK) -> DataFrame:
+def close_edges(nodes: DataFrame, max_bits: int = 4, n_blocks: int = 6, agree: int = 2, chunk: int = CHUNK, keys: Callable[[np.ndarray], Iterator[np.ndarray]] | None = None) -> DataFrame:
     """Edges ``src``, ``dst`` that join any two of ``nodes`` (node, fp; each fp once) that meet under a key and differ in
-    ``max_bits`` or fewer bits, directly or through others as close."""
+    ``max_bits`` or fewer bits, directly or through others as close.  ``keys`` replaces the keys of the blocks."""
+    keys = keys or partial(block_keys, n_blocks=n_blocks, agree=agree)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 fps = _matrix(batch.column("fp"))
-                for found in block_keys(fps, n_blocks, agree):
+                for found in keys(fps):
                     yield pa.RecordBatch.from_arrays([pa.array(found), batch.column("node"), batch.column("fp")], ["key", "node", "fp"])
 
     keyed = nodes.select("node", "fp").mapInArrow(key, "key long, node long, fp binary")
@@ -205,6 +240,92 @@ def near_duplicates(
     return marked.join(nodes.join(lowest, "component").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
+def shingle_set(shingles: list[bytes]) -> np.ndarray:
+    """The different shingles by their XXH64 hashes, ascending."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(x, SEED) for x in shingles), "<u8", len(shingles)))
+
+
+def similar_in(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Square matrix of the pairs of sets whose Jaccard similarity is ``least`` or more; two empty sets are similar."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(code, minlength=len(values)) > 1
+    rank = np.cumsum(shared) - 1
+    keep = shared[code]
+    owner, code = owner[keep], rank[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    common = np.zeros((len(sets), len(sets)))
+    for a in range(0, int(shared.sum()), COLUMNS):
+        i, j = np.searchsorted(code, [a, a + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[i:j], code[i:j] - a] = 1
+        common += has @ has.T
+    np.fill_diagonal(common, sizes)
+    union = sizes[:, None] + sizes[None, :] - common
+    return (common / np.maximum(union, 1) >= least) | (union == 0)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, least: float = 0.8, max_bits: int = 60, words64: int = 4, width: int = 12, n_keys: int = 56) -> DataFrame:
+    """``id`` and ``component_id`` (smallest id reachable through documents whose shingle sets have a Jaccard similarity of
+    ``least`` or more, its own included) per row.
+
+    Fingerprints close in bits only name candidates: within each group of candidates all pairs are compared by their
+    shingle sets.  Ids, null texts and empty tables are treated as in ``near_duplicates``.
+    """
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    narrow = narrow.withColumn("place", F.coalesce("id", F.xxhash64("text")))
+
+    def mark(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            shingles = [sorted({*shingles_of(x or b"", shingle_words)}) for x in batch.column("text").to_pylist()]
+            sets = [shingle_set(x) for x in shingles]
+            digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            if full:
+                fps = pa.array([bits_of(x, words64).astype("<u8").tobytes() for x in shingles], pa.binary())
+                n = pa.array([len(x) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("place"), digest, fps, n], ["id", "place", "same", "fp", "n"])
+            else:
+                yield pa.RecordBatch.from_arrays([digest, pa.array([x.tobytes() for x in sets], pa.binary())], ["same", "shingles"])
+
+    marked = cut(narrow.mapInArrow(partial(mark, full=True), "id long, place long, same binary, fp binary, n long"))
+    # as in near_duplicates, but a node has a set of shingles; a fingerprint is that of the set, whatever repeats
+    nodes = marked.groupBy("same").agg(F.min("id").alias("low"), F.min(F.struct(F.col("id").isNull(), "place")).getField("place").alias("place"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    nodes = cut(nodes.withColumn("node", F.coalesce("low", F.xxhash64("same"))))
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    close = close_edges(firsts.withColumnRenamed("first", "node"), max_bits, keys=partial(drawn_keys, width=width, count=n_keys))
+    candidates = connected_components(close.union(nodes.join(firsts, "fp").select("first", "node")))
+    member = cut(nodes.join(candidates, "node").select("same", "node", "place", "n", F.col("component").alias("group")))
+    sizes = member.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(SETS)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("int").alias("parts"))
+    sets = narrow.join(member.select("place").distinct(), "place", "left_semi").select("text").mapInArrow(partial(mark, full=False), "same binary, shingles binary")
+    parts = F.greatest("parts", F.lit(1))
+    dealt = (
+        sets.join(member.join(sizes, "group"), "same")
+        .withColumn("mine", F.pmod(F.xxhash64("same"), parts).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .select(F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", "same", "shingles")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, "task"):
+            node, left, right = batch.column("node").to_numpy(), [], []
+            for a, b in runs(batch.column("task").to_numpy()):
+                part = batch.slice(a, b - a)
+                once = np.array(sorted({x: i for i, x in enumerate(part.column("same").to_pylist())}.values()))
+                held = part.column("shingles").take(pa.array(once)).to_pylist()
+                i, j = stars(similar_in([np.frombuffer(x, "<u8") for x in held], least))
+                left.append(node[a + once[i]])
+                right.append(node[a + once[j]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], ["src", "dst"])
+
+    linked = connected_components(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "src long, dst long"))
+    nodes = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
+    return marked.join(nodes.join(lowest, "component").select("same", "component_id"), "same").select("id", "component_id")
+
+
 def hex_of(fp: str = "fp"):
     """A 64-bit fingerprint as 16 hexadecimal digits, the highest bits first."""
     return F.lower(F.hex(F.concat(*[F.substring(F.col(fp), i, 1) for i in range(8, 0, -1)])))
