@@ -5,7 +5,8 @@ compared with each other (a join of the graph with its reverse) until few lists
 sample of vertices with all vectors and starts further rounds where links are missing.  Links at the threshold are
 checked in double precision.  A vertex whose whole list lies above the threshold is saturated: its list is enlarged to all
 of its component, read in blocks of vectors, so that links within clouds of near copies are counted in full without a row per
-pair.
+pair.  Every comparison also returns bridges, pairs that connect what it saw above the threshold, since a saturated list has
+no room for a link to another cloud.
 """
 
 from __future__ import annotations
@@ -39,12 +40,37 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-EDGES = "u long, v long, s float"
+EDGES = "u long, v long, s float, bridge boolean"
 
 
-def _edge_batch(u: list, v: list, s: list) -> pa.RecordBatch:
-    u, v, s = (np.concatenate(x) if x else np.zeros(0) for x in (u, v, s))
-    return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(s.astype(np.float32))], ["u", "v", "s"])
+def _edge_batch(u: list, v: list, s: list, bridge: list) -> pa.RecordBatch:
+    u, v, s, bridge = (np.concatenate(x) if x else np.zeros(0) for x in (u, v, s, bridge))
+    return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(s.astype(np.float32)), pa.array(bridge.astype(bool))], ["u", "v", "s", "bridge"])
+
+
+def tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of the boolean matrix ``near`` that connect its components, and the component of each row."""
+    part, left, right = np.full(len(near), -1), [], []
+    for i in range(len(near)):
+        if part[i] < 0:
+            part[i], stack = i, [i]
+            while stack:
+                at = stack.pop()
+                new = np.flatnonzero(near[at] & (part < 0))
+                part[new] = i
+                left += [at] * len(new)
+                right += new.tolist()
+                stack += new.tolist()
+    return np.array(left, np.int64), np.array(right, np.int64), part
+
+
+def bridges(near: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect all that is above the threshold: a tree of the sure ones, and those that half precision leaves
+    open between different trees."""
+    a, b, part = tree(near >= threshold + MARGIN)
+    i, j = np.nonzero(np.triu(near >= threshold - MARGIN, 1))
+    open_ = part[i] != part[j]
+    return np.concatenate([a, i[open_]]), np.concatenate([b, j[open_]])
 
 
 def _compare(key: str, best: int, threshold: float) -> Callable:
@@ -54,7 +80,7 @@ def _compare(key: str, best: int, threshold: float) -> Callable:
         for batch in groups(batches, key):
             ids, low = batch.column("id").to_numpy(), batch.column("low").to_numpy()
             x = _matrix(batch.column("half"), "<f2").astype(np.float32)
-            u, v, s = [], [], []
+            u, v, s, bridge = [], [], [], []
             for a, b in runs(batch.column(key).to_numpy()):
                 if b - a < 2:
                     continue
@@ -70,7 +96,13 @@ def _compare(key: str, best: int, threshold: float) -> Callable:
                 u.append(ids[a:b][i])
                 v.append(ids[a:b][j])
                 s.append(near[i, j])
-            yield _edge_batch(u, v, s)
+                bridge.append(np.zeros(len(i), bool))
+                i, j = bridges(near, threshold)
+                u.append(ids[a:b][i])
+                v.append(ids[a:b][j])
+                s.append(near[i, j])
+                bridge.append(np.ones(len(i), bool))
+            yield _edge_batch(u, v, s, bridge)
 
     return run
 
@@ -100,8 +132,8 @@ def start_graph(points: DataFrame, count: int, dim: int, k: int, trees: int, see
     return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_compare("block", k, threshold), EDGES)
 
 
-def improve(graph: DataFrame, points: DataFrame, k: int, threshold: float) -> DataFrame:
-    """One round: neighbours of each vertex with a new neighbour are compared with each other."""
+def improve(graph: DataFrame, points: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """One round: neighbours of each vertex with a new neighbour are compared with each other.  The new graph, and bridges."""
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "old")
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v")))
     back = back.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
@@ -111,8 +143,16 @@ def improve(graph: DataFrame, points: DataFrame, k: int, threshold: float) -> Da
     worst = worst.select(F.col("u").alias("id"), F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("low"))
     members = around.join(active, "u", "left_semi").select("u", F.col("v").alias("id")).distinct()
     members = members.join(points.select("id", "half").join(worst, "id"), "id")
-    found = members.repartition("u").sortWithinPartitions("u").mapInArrow(_compare("u", BEST, threshold), EDGES)
-    return best_lists(graph.withColumn("old", F.lit(True)).unionByName(found.withColumn("old", F.lit(False))), k)
+    found = cut(members.repartition("u").sortWithinPartitions("u").mapInArrow(_compare("u", BEST, threshold), EDGES))
+    return best_lists(graph.withColumn("old", F.lit(True)).unionByName(_listed(found)), k), _bridged(found)
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    return found.filter("not bridge").select("u", "v", "s", F.lit(False).alias("old"))
+
+
+def _bridged(found: DataFrame) -> DataFrame:
+    return found.filter("bridge").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
 def exact_links(pairs: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
@@ -215,16 +255,18 @@ def near_duplicates(
     points = written(distinct.select("id", "copies", "h1", "h2", "v").mapInArrow(units, "id long, copies long, h1 long, h2 long, unit binary, half binary"), "points")
     count = points.count()
 
-    graph = None
+    graph, across = None, points.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     for attempt in range(3):
-        start = start_graph(points, count, dim, k, trees, seed + attempt, threshold).withColumn("old", F.lit(False))
+        found = cut(start_graph(points, count, dim, k, trees, seed + attempt, threshold))
+        start, across = _listed(found), across.union(_bridged(found))
         graph = cut(best_lists(start if graph is None else start.unionByName(graph.withColumn("old", F.lit(True))), k))
         for _ in range(rounds):
-            graph = cut(improve(graph, points, k, threshold))
+            graph, met = improve(graph, points, k, threshold)
+            graph, across = cut(graph), across.union(met)
             if graph.filter("not old").count() <= 0.02 * k * count:
                 break
         close = graph.filter(F.col("s") >= threshold - MARGIN)
-        pairs = close.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        pairs = close.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).union(across).distinct()
         links = cut(exact_links(pairs, points, threshold))
         components = cut(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
         full = close.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("u").alias("node"))

@@ -4,7 +4,22 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_operators import components
 
-from stintframe.llm import simhash
+from stintframe.llm import nn_descent, simhash
+
+
+
+# 2
+def test_links_between_two_tight_clusters(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 32))
+    x[:40] = np.eye(32)[0] + 0.01 * rng.normal(size=(40, 32))
+    x[40:80] = 0.92 * np.eye(32)[0] + np.sqrt(1 - 0.92**2) * np.eye(32)[1] + 0.01 * rng.normal(size=(40, 32))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.id: r for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i].n_links for i in range(400)] == (near.sum(axis=1) - 1).tolist() and near[0, 40:80].any()
+    assert [got[i].component_id for i in range(400)] == components(400, lambda i, j: near[i, j])
 
 
 # pipeline
