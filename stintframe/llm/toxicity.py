@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentences are the instances, only documents carry labels.
 
 A sentence's probability is logistic in the summed weights of its words and their beginnings (inflected and compounded
-forms share them); a document's is the noisy-or of its sentences, ``1 - prod(1 - p)``.  Weights are fitted by gradient ascent on the documents' likelihood, so that the sentences that make
+forms share them); a document's is the noisy-or of its sentences that hold a weighted feature, ``1 - prod(1 - p)``: neutral sentences add
+nothing, however many there are.  Weights are fitted by gradient ascent on the documents' likelihood, so that the sentences that make
 a document toxic are found without sentence labels and can be located afterwards.
 """
 
@@ -67,7 +68,7 @@ class Model:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.memory: dict[str, tuple[float, bool]] = {}
+        self.memory: dict[str, tuple[float, bool, bool]] = {}
 
     def __reduce__(self):
         return Model, (self.weights, self.bias)
@@ -82,14 +83,17 @@ class Model:
         for x in parts.unique:
             if x not in memory:
                 found = unit_features(x)
-                memory[x] = (sum(weights[w] for w in found if w in weights), bool(found))
+                held = [weights[w] for w in found if w in weights]
+                memory[x] = (sum(held), bool(found), bool(held))
         pairs = [memory[x] for x in parts.unique]
-        weight = np.fromiter((x for x, _ in pairs), float, len(pairs))
-        worded = np.fromiter((x for _, x in pairs), bool, len(pairs))
+        weight = np.fromiter((x for x, _, _ in pairs), float, len(pairs))
+        worded = np.fromiter((x for _, x, _ in pairs), bool, len(pairs))
+        # without weights, the model is its bias alone: labels of one class
+        counted = np.fromiter((x for _, _, x in pairs), bool, len(pairs)) if weights or self.bias < 0 else worded
         n = len(parts.text_of)
         z = np.bincount(parts.sentence, weight[parts.codes], n) + self.bias
         z[np.bincount(parts.sentence, worded[parts.codes], n) == 0] = -np.inf
-        total = -np.expm1(-np.bincount(parts.text_of, np.logaddexp(0, z), len(texts)))
+        total = -np.expm1(-np.bincount(parts.text_of, np.where(np.bincount(parts.sentence, counted[parts.codes], n) > 0, np.logaddexp(0, z), 0), len(texts)))
         starts = np.searchsorted(parts.text_of, np.arange(len(texts)))
         worst, place, where = np.zeros(len(texts)), np.full(len(texts), -1), []
         for i, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True)):
@@ -133,6 +137,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.
     used = np.flatnonzero(good)
     keep = good[word]
     word, of = np.searchsorted(used, word[keep]), of[keep]
+    counted = np.bincount(of, minlength=n) > 0
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w = np.zeros(len(used) + 1)  # the bias last
     w[-1] = start
@@ -140,10 +145,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.
     for t in range(1, rounds + 1):
         z = np.bincount(of, w[word], n) + w[-1]
         p = 1 / (1 + np.exp(-z))
-        clean = np.bincount(doc_of, np.logaddexp(0, z), len(texts))  # -log of the probability that no sentence is toxic
+        clean = np.bincount(doc_of, np.where(counted, np.logaddexp(0, z), 0), len(texts))  # -log of the probability that no sentence is toxic
         doc = np.clip(-np.expm1(-clean), 1e-9, 1)
         g = share * np.where(y == 1, (1 - doc) / doc, -1.0)
-        dz = g[doc_of] * p
+        dz = np.where(counted, g[doc_of] * p, 0)
         grad = np.r_[np.bincount(word, dz[of], len(used)), dz.sum()]
         grad[:-1] -= decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -154,25 +159,28 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, most_bytes: int) -> tuple[list[str], list[int]]:
     """Texts and labels of a bounded sample: labelled documents outside the held-out third, half of them toxic if possible.
 
-    The sample is the first of each class in the order of a hash of the id, so it does not depend on partitioning; it is
-    chosen by ids alone, and only its own texts reach the driver.  Longer texts than ``most_bytes / most_rows * 8`` are left
-    to scoring; null ids, labels and texts are not learnt from; an id's texts count once.
+    The sample is the first of each class in the order of a hash of the id, up to the first that exceeds the class's half of
+    ``most_rows`` or ``most_bytes``, so it does not depend on partitioning or length; only a text that alone exceeds that half
+    is left to scoring.  It is chosen by ids and sizes, and only its own texts reach the driver.  Null ids, labels and texts
+    are not learnt from; an id's texts count once.
     """
     known = labels.filter("toxic in (0, 1)").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = rows.filter(F.col("text").isNotNull() & ~held_out("id") & (F.octet_length("text") <= most_bytes // most_rows * 8))
-    named = rows.select("id").join(known, "id").withColumn("order", F.xxhash64("id"))
+    rows = rows.filter(F.col("text").isNotNull() & ~held_out("id"))
+    named = rows.select("id", F.octet_length("text").alias("size")).join(known, "id").withColumn("order", F.xxhash64("id"))
     chosen = []
     for c in (0, 1):
-        chosen += named.filter(F.col("toxic") == c).select("order", "id", "toxic").distinct().orderBy("order", "id").limit(most_rows // 2).collect()
+        of_class = named.filter(F.col("toxic") == c).groupBy("order", "id", "toxic").agg(F.max("size").alias("size"))
+        room = most_bytes // 2
+        for r in of_class.filter(F.col("size") <= room).orderBy("order", "id").limit(most_rows // 2).collect():
+            room -= r.size
+            if room < 0:
+                break
+            chosen.append(r)
     ids = docs.sparkSession.createDataFrame([(r.id, int(r.toxic), r.order) for r in chosen], "id long, toxic int, order long")
     texts = rows.join(F.broadcast(ids), "id").groupBy("order", "id", "toxic").agg(F.min("text").alias("text"))  # most_rows ids
-    found, held = [], [0, 0]
-    for r in sorted(texts.collect(), key=lambda r: (r.order, r.id)):
-        held[r.toxic] += len(r.text)
-        if held[r.toxic] <= most_bytes // 2:
-            found.append((r.text, r.toxic))
-    return [x for x, _ in found], [y for _, y in found]
+    found = sorted(texts.collect(), key=lambda r: (r.order, r.id))
+    return [r.text for r in found], [r.toxic for r in found]
 
 
 def held_out(id_col: str):

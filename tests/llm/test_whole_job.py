@@ -1,10 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
 import numpy as np
-from pyspark.sql import functions as F
 from test_operators import components
 
-from stintframe.llm import nn_descent, simhash
+from stintframe.llm import nn_descent, simhash, toxicity
 
 
 
@@ -22,6 +21,20 @@ def test_links_between_two_tight_clusters(spark):
     assert [got[i].component_id for i in range(400)] == components(400, lambda i, j: near[i, j])
 
 
+
+# 5
+def test_length_alone_is_not_toxic(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    long = toxicity.training_rows(docs, labels, 2400, 6 << 20)
+    assert max(map(len, long[0])) > 20_968 and sum(len(x.encode()) for x in long[0]) <= 6 << 20
+    model = toxicity.fit(*long)
+    clean = "The table stands near the window. " * 6000
+    rows = [(1, clean), (2, clean + "You idiot moron.")]
+    got = {r.doc_id: r for r in toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1].toxicity < 0.1 and got[2].toxicity >= 0.5 and got[2].worst_sentence == 6000
+    assert got[2].worst_text == "You idiot moron."
+
+
 # pipeline
 def linked(texts, least):
     sets = []
