@@ -1,8 +1,9 @@
 """Embedding near-duplicates by NN-descent.
 
 Equal vectors are one vertex.  A start graph comes from random-hyperplane blocks; then neighbours of a common vertex are
-compared with each other (a join of the graph with its reverse) until few lists change.  An audit compares a bounded
-sample of vertices with all vectors and starts further rounds where links are missing.  Links at the threshold are
+compared with each other (a join of the graph with its reverse) until few lists change.  An audit compares
+vertices with all vectors until it has seen enough true links, and starts further rounds where links are missing; if that does
+not help, all vectors are compared in blocks.  Links at the threshold are
 checked in double precision.  A vertex whose whole list lies above the threshold is saturated: its list is enlarged to all
 of its component, read in blocks of vectors, so that links within clouds of near copies are counted in full without a row per
 pair.  Every comparison also returns bridges, pairs that connect what it saw above the threshold, since a saturated list has
@@ -25,6 +26,8 @@ from .common import connected_components, cut, groups, runs, written
 START_BLOCK, BLOCK = 256, 1024
 #: Error of a cosine of half-precision vectors that the exact check allows for.
 MARGIN = 0.004
+#: True links on which an audit rests, unless there are fewer.
+AUDITED = 400
 #: Candidates that a local join returns per member, besides all near the threshold.
 BEST = 4
 
@@ -170,10 +173,24 @@ def exact_links(pairs: DataFrame, points: DataFrame, threshold: float) -> DataFr
 
 
 def audit(points: DataFrame, links: DataFrame, a: DataFrame, b: DataFrame, threshold: float, queries: int) -> float:
-    """Audited recall, with pairs inside a saturated component taken as found."""
-    asked = points.select("id", "unit", F.xxhash64("id").alias("h")).orderBy("h").limit(queries).drop("h").collect()  # bounded by queries
-    if not asked:
-        return 1.0
+    """Audited recall, with pairs inside a saturated component taken as found.
+
+    Vertices are asked in blocks, from ``queries`` on twice as many each time up to ``BLOCK``, until ``AUDITED`` true links
+    are seen or every vertex is asked.
+    """
+    order, last, n, hit = points.select("id", "unit", F.xxhash64("id").alias("h")), None, 0, 0
+    while n < AUDITED:
+        rest = order if last is None else order.filter((F.col("h") > last.h) | ((F.col("h") == last.h) & (F.col("id") > last.id)))
+        asked = rest.orderBy("h", "id").limit(queries).collect()  # bounded by BLOCK
+        if not asked:
+            break
+        seen, found = _audit_block(points, links, a, b, threshold, asked)
+        n, hit, last, queries = n + seen, hit + found, asked[-1], min(2 * queries, BLOCK)
+    return hit / n if n else 1.0
+
+
+def _audit_block(points: DataFrame, links: DataFrame, a: DataFrame, b: DataFrame, threshold: float, asked: list) -> tuple[int, int]:
+    """True links of the vertices asked, and how many of them were found."""
     ids = np.array([r.id for r in asked], np.int64)
     q = np.frombuffer(b"".join(r.unit for r in asked), "<f8").reshape(len(asked), -1)
 
@@ -190,11 +207,20 @@ def audit(points: DataFrame, links: DataFrame, a: DataFrame, b: DataFrame, thres
     true = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").join(a, "a", "left").join(b, "b", "left")
     found = F.col("hit").isNotNull() | (F.col("ca") == F.col("cb"))
     n, hit = true.agg(F.count("*"), F.sum(F.coalesce(found.cast("int"), F.lit(0)))).first()
-    return float(hit / n) if n else 1.0
+    return n, hit or 0
 
 
 def complete(members: DataFrame, threshold: float) -> DataFrame:
     """``id``, ``n``: copies linked to each member within its component; ``members`` has component, size, id, unit, copies."""
+    return _complete(members, threshold).groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def exact_tree(members: DataFrame, threshold: float) -> DataFrame:
+    """``src``, ``dst``: links that connect the members of each component as all of their links do."""
+    return _complete(members, threshold, trees=True)
+
+
+def _complete(members: DataFrame, threshold: float, trees: bool = False) -> DataFrame:
     parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     dealt = (
         members.withColumn("parts", parts)
@@ -207,16 +233,24 @@ def complete(members: DataFrame, threshold: float) -> DataFrame:
         for batch in groups(batches, "task"):
             ids, mine, copies = (batch.column(c).to_numpy() for c in ("id", "mine", "copies"))
             x = _matrix(batch.column("unit"), "<f8")
-            total = np.zeros(len(ids), np.int64)
+            total, left, right = np.zeros(len(ids), np.int64), [], []
             for a, b in runs(batch.column("task").to_numpy()):
                 near = x[a:b] @ x[a:b].T >= threshold
                 np.fill_diagonal(near, False)
+                if trees:
+                    i, j, _ = tree(near)
+                    left.append(ids[a:b][i])
+                    right.append(ids[a:b][j])
+                    continue
                 if mine[a:b].min() != mine[a:b].max():  # two blocks: each is compared with itself in a task of its own
                     near &= mine[a:b][:, None] != mine[a:b][None, :]
                 total[a:b] = near @ copies[a:b]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "n"])
+            if trees:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], ["src", "dst"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "n"])
 
-    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "src long, dst long" if trees else "id long, n long")
 
 
 def near_duplicates(
@@ -230,9 +264,11 @@ def near_duplicates(
     least_recall: float = 0.95,
     queries: int = 256,
     seed: int = 7,
+    attempts: int = 3,
 ) -> DataFrame:
     """``id``, ``n_links`` (other rows linked directly), ``component_id`` (smallest id reachable), ``kept`` per row.
 
+    Where the audited recall stays below ``least_recall`` after ``attempts`` searches, all vectors are compared in blocks.
     Rows that cannot link (null id or vector, zero, null or non-finite components, another length than most) stand alone.
     Equal vectors link with each other.  Repeated ids are rows of their own.  An empty table gives an empty result.
     """
@@ -256,7 +292,7 @@ def near_duplicates(
     count = points.count()
 
     graph, across = None, points.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    for attempt in range(3):
+    for attempt in range(attempts):
         found = cut(start_graph(points, count, dim, k, trees, seed + attempt, threshold))
         start, across = _listed(found), across.union(_bridged(found))
         graph = cut(best_lists(start if graph is None else start.unionByName(graph.withColumn("old", F.lit(True))), k))
@@ -279,13 +315,18 @@ def near_duplicates(
         if recall >= least_recall:
             break
 
-    weight = points.select(F.col("id"), "copies")
-    ends = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
-    plain = ends.join(components.join(saturated, "component", "left_anti").select(F.col("node").alias("id")), "id", "left_semi")
-    plain = plain.join(weight.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.sum("copies").alias("n"))
-    sizes = member.groupBy("component").agg(F.count("*").alias("size"))
-    members = member.join(sizes, "component").withColumnRenamed("node", "id").join(points.select("id", "unit", "copies"), "id")
-    linked = plain.union(complete(members, threshold))
+    if recall < least_recall:
+        everything = points.select(F.lit(0).cast("long").alias("component"), F.lit(count).alias("size"), "id", "unit", "copies")
+        components = cut(connected_components(exact_tree(everything, threshold)))
+        linked, recall = complete(everything, threshold), 1.0
+    else:
+        weight = points.select(F.col("id"), "copies")
+        ends = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
+        plain = ends.join(components.join(saturated, "component", "left_anti").select(F.col("node").alias("id")), "id", "left_semi")
+        plain = plain.join(weight.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.sum("copies").alias("n"))
+        sizes = member.groupBy("component").agg(F.count("*").alias("size"))
+        members = member.join(sizes, "component").withColumnRenamed("node", "id").join(points.select("id", "unit", "copies"), "id")
+        linked = plain.union(complete(members, threshold))
     state = points.select("id", "copies", "h1", "h2").join(linked, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
     state = state.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
