@@ -2,16 +2,19 @@
 
 A text's lattice is the chain of its words' lattices.  Log-sums from each lattice state to its word's end turn piece scores
 into choices per state, so that a choice's share of the probability is known before the path is complete.  The search
-works on perturbed log-probabilities (Gumbel noise): a set of segmentations that share a prefix has the largest perturbed
-value of its members, and below it the taken choice keeps that value while the others together get one truncated by it.
-Popping the best set, completing its path and pushing the sets beside it gives distinct segmentations in the order of
-their perturbed values, which is sampling without replacement.
+works on perturbed log-probabilities (Gumbel noise): a set of segmentations has the largest perturbed value of its members;
+a path drawn from it in proportion to probability keeps that value, while all that leave this path, at whatever choice, are a
+set whose value is one draw truncated by it.  Popping the best set, drawing the choice at which its path leaves the known
+one, completing it and pushing what is left gives distinct segmentations in the order of their perturbed values, which is
+sampling without replacement.
 
 All noise is a hash of (seed, row key, sample, word, place), so a row's samples depend on nothing but its key and text.
+Lattices of words are remembered by the worker, so frequent words are laid out once.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -26,18 +29,49 @@ from pyspark.sql import functions as F
 from .common import slices
 from .mphf import mix
 from .pieces import MARK, pieces
-from .wordunits import split
+from .wordunits import split, spread
 
-#: Log-probability of a byte piece.
+#: Log-probability of a byte piece beside scores by rank.
 BYTE_SCORE = -14.0
+#: Bytes of lattices and words that a worker remembers.
+REMEMBERED = 96 << 20
+#: Stands for a space mark that the text itself holds; no code point.
+OWN_MARK = 0x110000
+
+
+class Lattice(NamedTuple):
+    """Lattices of words: states are character places, edges are sorted by their state and length.
+
+    ``first[s]:first[s + 1]`` are the edges of state s; ``share`` their conditional probabilities; ``to`` the next state;
+    ``piece`` the id, or -1 - code point for a character spelled by bytes.
+    """
+
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    to: np.ndarray
+    piece: np.ndarray
+    share: np.ndarray
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in self)
+
+    def followed_by(self, other: Lattice) -> Lattice:
+        states, edges = len(self.first) - 1, len(self.to)
+        own = (self.start, self.end, self.first[:-1], self.to, self.piece, self.share)
+        return Lattice(*(np.concatenate([x, y + x.dtype.type(n)]) for x, y, n in zip(own, other, (states, states, edges, states, 0, 0), strict=True)))
 
 
 class Vocabulary:
-    """A trie over the pieces as sorted (node, character) keys; ``piece[node]`` is the piece that ends there or -1."""
+    """A trie over the pieces as sorted (node, character) keys; ``piece[node]`` is the piece that ends there or -1.
 
-    def __init__(self, path: str):
+    It remembers the lattices of the words it has met, up to ``REMEMBERED`` bytes.
+    """
+
+    def __init__(self, path: str, scores: str):
         found = pieces(path)
-        score = found.scores()
+        score = found.scores(scores)
         step: dict[tuple[int, int], int] = {}
         piece = [-1]
         for text, i in found.ids.items():
@@ -59,9 +93,27 @@ class Vocabulary:
         self.piece = np.array(piece, np.int64)
         self.score = np.zeros(max(score) + 1)
         self.score[[*score]] = [*score.values()]
+        self.byte_score = BYTE_SCORE if scores == "rank" else min(score.values())
         self.byte_ids = np.array(found.byte_ids, np.int64)
         spelled = {i: t.replace(MARK, " ").encode() for t, i in found.ids.items()} | {i: bytes([b]) for b, i in enumerate(found.byte_ids)}
         self.spelled = pa.array([spelled.get(i, b"") for i in range(max(spelled) + 1)], pa.large_binary())
+        self.memory: dict[str, int] = {}
+        self.net = lattice([], self)
+
+    def lattices(self, words: list[str]) -> tuple[Lattice, np.ndarray]:
+        """A lattice that holds all ``words``, and the number of each in it.  The first words met are remembered, among them
+        all frequent ones; what no longer fits is laid out for this call alone."""
+        memory, net = self.memory, self.net
+        if new := [x for x in words if x not in memory]:
+            memory.update(zip(new, range(len(memory), len(memory) + len(new)), strict=True))
+            net = net.followed_by(lattice(new, self))
+        numbers = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
+        if net.nbytes + 150 * len(memory) < REMEMBERED:
+            self.net = net
+        else:
+            for x in new:
+                del memory[x]
+        return net, numbers
 
     def next(self, node: np.ndarray, point: np.ndarray) -> np.ndarray:
         """The node that each character leads to, 0 for none."""
@@ -80,32 +132,18 @@ class Vocabulary:
 
 
 @cache
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
-class Lattice(NamedTuple):
-    """Lattices of words: states are character places, edges are sorted by their state, likeliest first.
-
-    ``first[s]:first[s + 1]`` are the edges of state s; ``share`` their conditional probabilities; ``to`` the next state;
-    ``piece`` the id, or -1 - code point for a character spelled by bytes.
-    """
-
-    start: np.ndarray
-    end: np.ndarray
-    first: np.ndarray
-    to: np.ndarray
-    piece: np.ndarray
-    share: np.ndarray
+def vocabulary(path: str, scores: str = "rank") -> Vocabulary:
+    return Vocabulary(path, scores)
 
 
 def lattice(words: list[str], v: Vocabulary) -> Lattice:
-    # words hold no space; a mark in the text is spelled by its bytes
-    joined = MARK + " ".join(words).replace(MARK, "\x00").replace(" ", "\n" + MARK) + "\n"
-    points = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    points = np.frombuffer(("\n".join(words) + "\n").encode("utf-32-le"), "<u4").astype(np.int64) if words else np.zeros(0, np.int64)
+    points[points == ord(MARK)] = OWN_MARK  # a mark in the text is spelled by its bytes
+    points[points == ord(" ")] = ord(MARK)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2  # a mark before the word, and a state at its end
     end = np.cumsum(size) - 1
     start = end - size + 1
+    points = np.insert(points, start - np.arange(len(words)), ord(MARK))
     stop = np.repeat(end, size)
     at = np.flatnonzero(np.arange(len(points)) < stop)
     node, place = np.zeros(len(at), np.int64), at.copy()
@@ -127,30 +165,25 @@ def lattice(words: list[str], v: Vocabulary) -> Lattice:
         at, place, node = at[on], place[on], node[on]
     bare = np.flatnonzero(~spelled & (np.arange(len(points)) < stop))
     source, to = np.concatenate([*froms, bare]), np.concatenate([*tos, bare + 1])
-    plain = np.where(points[bare] == 0, ord(MARK), points[bare])
+    plain = np.where(points[bare] == OWN_MARK, ord(MARK), points[bare])
     piece = np.concatenate([*ids, -1 - plain])
     n_bytes = 1 + (plain >= 0x80) + (plain >= 0x800) + (plain >= 0x10000)
-    score = np.concatenate([v.score[np.concatenate(ids)] if ids else np.zeros(0), BYTE_SCORE * n_bytes])
+    score = np.concatenate([v.score[np.concatenate(ids)] if ids else np.zeros(0), v.byte_score * n_bytes])
+    # edges in the order of their state: what each depth found is in order already, so this merges runs
+    order = np.argsort(source, kind="stable")
+    source, to, piece, score = source[order], to[order], piece[order], score[order]
+    count = np.bincount(source, minlength=len(points))
+    first = np.r_[0, np.cumsum(count)]
     # log-sums backwards, all words at once, by the distance from the word's end
     ahead = np.zeros(len(points))
-    far = stop[source] - source
-    length = to - source  # with its state, it tells an edge from all others
-    reach = np.int64(depth + 1)
-    order = np.argsort((far * np.int64(len(points)) + source) * reach + length)
-    source, to, piece, score = source[order], to[order], piece[order], score[order]
-    new = np.flatnonzero(np.r_[True, source[1:] != source[:-1]]) if len(source) else np.zeros(0, np.int64)
-    far = far[order][new]
-    cuts = np.searchsorted(far, np.arange(1, (int(far[-1]) if len(far) else 0) + 2))
-    ends = np.r_[new, len(source)]
+    far = stop - np.arange(len(points))
+    states = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
+    cuts = np.searchsorted(far[states], np.arange(1, (int(far.max()) if len(far) else 0) + 2))
     for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-        lo, hi = ends[a], ends[b]
-        ahead[source[new[a:b]]] = np.logaddexp.reduceat(score[lo:hi] + ahead[to[lo:hi]], new[a:b] - lo)
+        at, n = spread(states[a:b], first, count)
+        ahead[states[a:b]] = np.logaddexp.reduceat(score[at] + ahead[to[at]], np.cumsum(n) - n)
     share = np.exp(score + ahead[to] - ahead[source])
-    rank = ((1.0 - np.minimum(share, 1.0)) * 1023).astype(np.int64)
-    order = np.argsort((source * 1024 + rank) * reach + to - source)  # by state, about the likeliest choice first; the same in any slice
-    source = source[order]
-    first = np.searchsorted(source, np.arange(len(points) + 1))
-    return Lattice(start, end, first, to[order], piece[order], share[order])
+    return Lattice(start, end, first.astype(np.int32), to.astype(np.int32), piece.astype(np.int32), share)
 
 
 def draw(key: np.ndarray, word: np.ndarray, place: np.ndarray, kind: int) -> np.ndarray:
@@ -160,150 +193,201 @@ def draw(key: np.ndarray, word: np.ndarray, place: np.ndarray, kind: int) -> np.
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-def truncated(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel values at ``location`` given that they lie below ``most``."""
+def truncated(location, most, u):
+    """Gumbel values at ``location`` given that they lie below ``most``; scalars or arrays."""
     return -np.logaddexp(-most, -(location - np.log(-np.log(u))))
 
 
 class Paths(NamedTuple):
-    """Choices in the order of texts and words: text, word, state, the state's place in its word, edge, log-share."""
+    """Choices in the order of texts and words: text, word, state and edge."""
 
     text: np.ndarray
     word: np.ndarray
     state: np.ndarray
-    place: np.ndarray
     edge: np.ndarray
-    log: np.ndarray
 
 
 def walk(net: Lattice, text: np.ndarray, word: np.ndarray, code: np.ndarray, state: np.ndarray, key: np.ndarray) -> Paths:
     """Complete each word from ``state`` to its end by drawn choices."""
     of = np.arange(len(text))
-    start = net.start[code]
-    whose, states, places, edges = [], [], [], []
-    on = state < net.end[code]
+    start, end = net.start[code], net.end[code]
+    whose, states, edges = [], [], []
+    on = state < end
     of, state = of[on], state[on]
     while len(of):
-        place = state - start[of]
-        u = draw(key[of], word[of], place, 1)
-        e, last = net.first[state], net.first[state + 1] - 1
-        more = np.flatnonzero((u >= net.share[e]) & (e < last))
+        u = draw(key[of], word[of], state - start[of], 1)
+        low, e = net.first[state], net.first[state + 1] - 1  # from the longest edge on, mostly the likeliest
+        more = np.flatnonzero((u >= net.share[e]) & (e > low))
         while len(more):
             u[more] -= net.share[e[more]]
-            e[more] += 1
-            more = more[(u[more] >= net.share[e[more]]) & (e[more] < last[more])]
+            e[more] -= 1
+            more = more[(u[more] >= net.share[e[more]]) & (e[more] > low[more])]
         whose.append(of)
         states.append(state)
-        places.append(place)
         edges.append(e)
         state = net.to[e]
-        on = state < net.end[code[of]]
+        on = state < end[of]
         of, state = of[on], state[on]
-    none = np.zeros(0, np.int64)
-    of, state, place, edge = (np.concatenate([none, *x]) for x in (whose, states, places, edges))
-    order = np.argsort(of, kind="stable")
-    of, state, place, edge = of[order], state[order], place[order], edge[order]
-    return Paths(text[of], word[of], state, place, edge, np.log(np.minimum(net.share[edge], 1.0)))
+    # a word has a choice in every step up to its last: the k-th one's place is known
+    steps = sum((np.bincount(x, minlength=len(text)) for x in whose), np.zeros(len(text), np.int64))
+    base = np.cumsum(steps) - steps
+    out_state, out_edge = np.empty(int(steps.sum()), np.int64), np.empty(int(steps.sum()), np.int64)
+    for k, (of, x, e) in enumerate(zip(whose, states, edges, strict=True)):
+        out_state[base[of] + k], out_edge[base[of] + k] = x, e
+    return Paths(np.repeat(text, steps), np.repeat(word, steps), out_state, out_edge)
+
+
+class Path(NamedTuple):
+    """A finished segmentation.  Its choices up to a point are those of the set it came from; ``ahead`` is their
+    log-probability.  ``place`` has the later choices that had an alternative, ``before`` the log-probability from that point
+    to each of them."""
+
+    word: np.ndarray
+    state: np.ndarray
+    edge: np.ndarray
+    ahead: float
+    place: np.ndarray
+    before: np.ndarray
+
+
+class Beside(NamedTuple):
+    """The segmentations that leave a path after its fixed choices, without those that take a choice in ``taken``."""
+
+    value: float
+    path: int
+    mass: np.ndarray
+    taken: tuple[tuple[int, int], ...]
+
+
+def open_shares(net: Lattice, path: Path, i: int, taken: tuple[tuple[int, int], ...]) -> tuple[int, np.ndarray]:
+    """The first edge of the state at the path's i-th place, and the shares of its edges that lead into the set, else 0."""
+    at = path.place[i]
+    low = int(net.first[path.state[at]])
+    shares = net.share[low : int(net.first[path.state[at] + 1])].copy()
+    shares[[int(path.edge[at]) - low, *(e - low for j, e in taken if j == i)]] = 0.0
+    return low, shares
+
+
+def chosen(weights: np.ndarray, u: float) -> int:
+    """A place in proportion to its weight."""
+    reach = weights.cumsum()
+    return min(int(reach.searchsorted(u * reach[-1], "right")), int(weights.nonzero()[0][-1]))
 
 
 def sample(texts: pa.Array, keys: np.ndarray, v: Vocabulary, n_samples: int, seed: int) -> Iterator[tuple[int, int, np.ndarray, float, float]]:
     """Per text and sample: text, sample number from 0, ids, log-probability, log of the inclusion probability given the
     largest perturbed value left out (0 if the text has no further segmentation)."""
-    units = split(texts, every_space=True)
-    net = lattice(units.unique, v)
+    units = split(texts, every_space=False)
+    net, numbers = v.lattices(units.unique)
+    codes = numbers[units.codes]
     n_texts, sizes = len(units.offsets) - 1, np.diff(units.offsets)
     text = np.repeat(np.arange(n_texts), sizes)
-    word = np.arange(len(units.codes)) - np.repeat(units.offsets[:-1], sizes)
+    word = np.arange(len(codes)) - np.repeat(units.offsets[:-1], sizes)
     row_key = mix(keys.view(np.uint64), seed)
     best = -np.log(-np.log(draw(row_key, np.zeros(n_texts), np.zeros(n_texts), 0)))  # the perturbed value of all together
-    agenda: list[list[tuple[float, int, int, float, float, tuple]]] = [[] for _ in range(n_texts)]  # value, sample, choice, ...
-    done: list[list[tuple[list[int], float]]] = [[] for _ in range(n_texts)]
-    kept: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(n_texts)]
-    fresh = np.ones(len(text), bool)
-    state = net.start[units.codes]
-    prefix: list[tuple | None] = [None] * n_texts
-    alive = np.ones(n_texts, bool)
+    agenda: list[list[Beside]] = [[] for _ in range(n_texts)]
+    done: list[list[tuple[np.ndarray, float]]] = [[] for _ in range(n_texts)]
+    paths: list[list[Path]] = [[] for _ in range(n_texts)]
+    head: list[tuple | None] = [None] * n_texts  # word, state, edge of the fixed choices, and their log-probability
+    alive, fresh, state = np.ones(n_texts, bool), np.ones(len(text), bool), net.start[codes]
     for s in range(n_samples):
         key = mix(row_key, 7919 + s)
-        new = walk(net, text[fresh], word[fresh], units.codes[fresh], state[fresh], key[text[fresh]])
-        cuts = np.searchsorted(new.text, np.arange(n_texts + 1))
-        # the sets beside each new choice
-        base = np.array([x[4] if x else 0.0 for x in prefix])
-        before = base[new.text] - new.log
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):  # text by text: sums do not depend on the slice
-            before[a:b] += np.cumsum(new.log[a:b])
-        rest = np.log(np.maximum(-np.expm1(new.log), 1e-300))
-        rest[new.log >= 0] = -np.inf  # nothing stands beside a choice of share 1
-        with np.errstate(divide="ignore"):
-            u = draw(key[new.text], new.word, new.place, 2)
-            beside = truncated(before + rest, best[new.text], u)
-        fresh = np.zeros(len(text), bool)
-        state = net.start[units.codes]
+        new = walk(net, text[fresh], word[fresh], codes[fresh], state[fresh], key[text[fresh]])
+        share = np.minimum(net.share[new.edge], 1.0)
+        log = np.log(share)
+        open_ = np.flatnonzero(share < 1.0)
+        cuts, open_cuts = (np.searchsorted(x, np.arange(n_texts + 1)).tolist() for x in (new.text, new.text[open_]))
+        noise = [draw(key, np.zeros(n_texts), np.zeros(n_texts), kind).tolist() for kind in (2, 3, 4, 5)]
+        fresh, state = np.zeros(len(text), bool), net.start[codes]
         for t in np.flatnonzero(alive).tolist():
-            a, b = int(cuts[t]), int(cuts[t + 1])
-            p = prefix[t]
-            choices = tuple(np.concatenate([x, y[a:b]]) for x, y in zip(p[:3], (new.word, new.state, new.edge), strict=True)) if p else (new.word[a:b], new.state[a:b], new.edge[a:b])
-            log_p = float(base[t] + new.log[a:b].sum())
-            done[t].append((choices[2], log_p))
-            kept[t].append(choices)
-            n_before = len(choices[0]) - (b - a)
-            values = beside[a:b]
-            # no more than the samples still wanted, and one for the inclusion scores, can come from here
-            want = n_samples - s
-            for k in (np.argpartition(-values, want)[:want] if len(values) > want else np.arange(len(values))).tolist():
-                if values[k] > -np.inf:
-                    agenda[t].append((float(values[k]), s, n_before + k, float(before[a + k]), 0.0, (int(new.edge[a + k]),)))
-            agenda[t].sort(key=lambda x: -x[0])
-            del agenda[t][want:]
+            a, b = cuts[t], cuts[t + 1]
+            choices, ahead, fixed = (new.word[a:b], new.state[a:b], new.edge[a:b]), 0.0, 0
+            if head[t]:
+                choices = tuple(np.concatenate([x, y]) for x, y in zip(head[t], choices, strict=False))
+                ahead, fixed = head[t][3], len(head[t][0])
+            done[t].append((choices[2], ahead + float(log[a:b].sum())))  # text by text: sums do not depend on the slice
+            if len(agenda[t]) > n_samples - s:  # no more than the samples still wanted, and one for the inclusion scores
+                agenda[t].sort(key=lambda x: -x.value)
+                del agenda[t][n_samples - s :]
+            place = open_[open_cuts[t] : open_cuts[t + 1]]
+            for most in (1024, len(place)):
+                after = log[place[:most]].cumsum()
+                if len(after) == len(place) or after[-1] < -700:
+                    break  # beyond, no mass is left that a double could hold
+            place = place[: len(after)]
+            before = after - log[place]
+            mass = np.exp(before) * (1.0 - share[place])
+            paths[t].append(Path(*choices, ahead, place - a + fixed, before))
+            if (beside := float(mass.sum())) > 0:
+                agenda[t].append(Beside(float(truncated(ahead + math.log(beside), best[t], noise[0][t])), s, mass, ()))
             if s + 1 == n_samples or not agenda[t]:
                 alive[t] = False
                 continue
-            # pop the best set, choose within it what keeps its value, push what is left beside that
-            value, parent, at, ahead, _, taken = agenda[t].pop(0)
-            w, st, _ = (x[at] for x in kept[t][parent])
-            low, high = int(net.first[st]), int(net.first[st + 1])
-            shares = net.share[low:high].copy()
-            shares[[x - low for x in taken]] = 0.0
-            place = np.array([st - net.start[units.codes[units.offsets[t] + w]]])
-            u = float(draw(key[t : t + 1], np.array([w]), place, 3)[0])
-            reach = np.cumsum(shares)
-            e = low + min(int(np.searchsorted(reach, u * reach[-1], "right")), int(np.flatnonzero(shares)[-1]) - 0)
-            left = float(reach[-1] - shares[e - low])
-            if left > 1e-15 and (shares > 0).sum() > 1:
-                u = draw(key[t : t + 1], np.array([w]), place, 4)
-                g = float(truncated(np.array([ahead + np.log(left)]), np.array([value]), u)[0])
-                agenda[t].append((g, parent, at, ahead, 0.0, (*taken, e)))
-            best[t] = value
-            head = tuple(np.append(x[:at], y) for x, y in zip(kept[t][parent], (w, st, e), strict=True))
-            prefix[t] = (*head, None, ahead + float(np.log(net.share[e])))
-            i = int(units.offsets[t] + w)
-            fresh[i : int(units.offsets[t + 1])] = True
-            state[i] = net.to[e]
+            # pop the best set, choose within it what keeps its value, push what is left of it
+            popped = agenda[t].pop(max(range(len(agenda[t])), key=lambda k: agenda[t][k].value))
+            path = paths[t][popped.path]
+            i = chosen(popped.mass, noise[1][t])
+            low, shares = open_shares(net, path, i, popped.taken)
+            e = chosen(shares, noise[2][t])
+            mass, log_before, taken = popped.mass.copy(), float(path.before[i]), float(shares[e])
+            shares[e] = 0.0
+            mass[i] = math.exp(log_before) * shares.sum()
+            if (left := float(mass.sum())) > 0:
+                value = float(truncated(path.ahead + math.log(left), popped.value, noise[3][t]))
+                agenda[t].append(Beside(value, popped.path, mass, (*popped.taken, (i, low + e))))
+            at = int(path.place[i])
+            w = int(path.word[at])
+            best[t] = popped.value
+            fixed_choices = (np.append(x[:at], y) for x, y in zip(path[:3], (w, path.state[at], low + e), strict=True))
+            head[t] = (*fixed_choices, path.ahead + log_before + math.log(taken))
+            fresh[int(units.offsets[t]) + w : int(units.offsets[t + 1])] = True
+            state[int(units.offsets[t]) + w] = net.to[low + e]
+    flat, stops = spelled_out(net.piece[np.concatenate([np.zeros(0, np.int64), *(edges for x in done for edges, _ in x)])], v)
+    ends = stops[np.cumsum([0, *(len(edges) for x in done for edges, _ in x)])]
+    spans = zip(ends.tolist(), ends[1:].tolist(), strict=False)
     for t in range(n_texts):
-        for s, (edges, log_p) in enumerate(done[t]):
-            out = agenda[t][0][0] if agenda[t] else -np.inf
+        out = max((x.value for x in agenda[t]), default=-np.inf)
+        for s, (_, log_p) in enumerate(done[t]):
             inclusion = 0.0
             if out > -np.inf:
-                x = float(np.exp(min(log_p - out, 700.0)))
-                inclusion = log_p - out if x < 1e-9 else float(np.log(-np.expm1(-x)))
-            ids = net.piece[edges]
-            if (ids < 0).any():
-                ids = np.array([i for x in ids.tolist() for i in ([x] if x >= 0 else v.byte_ids[[*chr(-1 - x).encode()]].tolist())], np.int64)
-            yield t, s, ids, log_p, inclusion
-
-
-def sample_segmentations(docs: DataFrame, model: str, n_samples: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                x = math.exp(min(log_p - out, 700.0))
+                inclusion = log_p - out if x < 1e-9 else math.log(-math.expm1(-x))
+            a, b = next(spans)
+            yield t, s, flat[a:b], log_p, inclusion
+
+
+def spelled_out(ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` with the byte pieces of each character that stands as -1 - code point, and the length before each id."""
+    odd = ids < 0
+    points, number = np.unique(ids[odd], return_inverse=True)
+    spelled = [v.byte_ids[[*chr(-1 - x).encode()]] for x in points.tolist()]
+    lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    n = np.ones(len(ids), np.int64)
+    n[odd] = lengths[number]
+    stops = np.r_[0, np.cumsum(n)]
+    out = np.repeat(ids, n).astype(np.int64)
+    at, _ = spread(number, np.cumsum(lengths) - lengths, lengths)
+    out[np.repeat(odd, n)] = np.concatenate([np.zeros(0, np.int64), *spelled])[at]
+    return out, stops
+
+
+def sample_segmentations(
+    docs: DataFrame, model: str, n_samples: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, scores: str = "rank"
+) -> DataFrame:
     """Up to ``n_samples`` distinct segmentations of each whole text, without replacement.
 
     ``doc_id``, ``sample``, ``n_pieces``, ``ids_crc32``, ``log_prob``, ``log_inclusion``, ``decoded_ok`` (decoding gives the text
-    back), and ``ids`` if asked for.  Words are what single spaces separate.  Null or empty text is one empty word, the space
-    mark.  A text with fewer segmentations gives fewer rows.  Rows with equal ids and texts get equal samples; a null id
-    counts as key 0.
+    back), and ``ids`` if asked for.  ``scores``: log-probabilities by ``rank`` or as they stand in the ``file`` (see
+    ``Pieces.scores``).  Words are cut at spaces that follow something other than white space, so a run of spaces begins a
+    word and pieces of several marks can be drawn.  Null or empty text is one empty word, the space mark.  A text with fewer
+    segmentations gives fewer rows.  Rows with equal ids and texts get equal samples; a null id counts as key 0.  Other
+    columns are not read.  A text of any length is one slice: some 100 bytes of memory a byte.  An empty table gives an
+    empty result.
     """
     schema = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, log_inclusion double, decoded_ok boolean" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        v = vocabulary(model, scores)
         space, none = pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary())
         for batch in slices(batches, "text", 1 << 20):
             texts = batch.column("text")
