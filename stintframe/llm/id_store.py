@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import slices
 from .mphf import PerfectHash, fingerprints
-from .shards import Output, file_system, read_manifest, with_shard, write_manifest
+from .shards import Output, file_system, place, read_manifest, with_shard, write_manifest
 from .token_ids import token_ids
+from .wordunits import spread
 
 MAGIC = b"IDX1"
 #: Arrays of an index file, in this order, and their types.
@@ -29,7 +30,7 @@ ARRAYS = {"bits": "<u1", "print": "<u4", "first": "<u4", "count": "<u4", "offset
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and ``ids`` (binary, ``width`` bytes an id, the end id last)."""
+    """``id``, its place ``a`` and ``b`` over shards, and ``ids`` (binary, ``width`` bytes an id, the end id last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = token_ids(tokenizer)
@@ -38,9 +39,16 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int, i
             whole = np.insert(flat, offsets[1:], end_id).astype(f"<u{width}").tobytes()
             ends = width * (offsets + np.arange(len(offsets)))
             ids = [whole[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "a", "b")), pa.array(ids, pa.binary())], ["id", "a", "b", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids binary")
+    return placed(docs, id_col, text_col).select("id", "a", "b", "text").mapInArrow(run, "id long, a long, b long, ids binary")
+
+
+def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``text``, and the place ``a``, ``b`` over shards."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    a, b = place(F.col("id"), F.coalesce("text", F.lit("")))
+    return rows.select("*", a.alias("a"), b.alias("b"))
 
 
 def _index(keys: list, ends: np.ndarray) -> bytes:
@@ -68,11 +76,13 @@ def write_store(
     shard_bytes: int = 256 << 20,
 ) -> None:
     """Encode ``docs`` and write the store.  Null text: the end id alone.  Null ids come first and have no key; they are
-    looked up by a null key.  Repeated ids are records of one key, in the order of their ids' bytes."""
+    looked up by a null key.  Repeated ids are records of one key, in the order of a hash of their texts; a key of any number of
+    records may span shards.  Only rows equal in id and text stay in one shard.  Other columns are not read, whatever their
+    names.  Texts of any length are encoded whole.  An empty table gives a store without shards."""
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     encoded = encode_documents(docs, tokenizer, end_id, width, id_col, text_col)
-    weighed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size"))
-    dealt, n = with_shard(encoded, "id", weighed, F.col("size") + 16, shard_bytes)
+    weighed = placed(docs, id_col, text_col).select("a", "b", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("weight"))
+    dealt, n = with_shard(encoded.withColumn("hash", F.col("b")), weighed, shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, out, keys, sizes = None, None, [], []
@@ -84,10 +94,10 @@ def write_store(
             out.commit()
             index.commit()
             known = [k for k in keys if k is not None]
-            row = {"shard": shard, "documents": len(keys), "tokens": int(ends[-1]) // width, "first_key": known[0] if known else None}
+            row = {"shard": shard, "documents": len(keys), "tokens": int(ends[-1]) // width, "nulls": len(keys) - len(known), "first_key": known[0] if known else None}
             return pa.RecordBatch.from_pylist([row], summary)
 
-        summary = pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first_key", pa.int64())])
+        summary = pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64()), ("nulls", pa.int64()), ("first_key", pa.int64())])
         try:
             for batch in batches:
                 columns = (batch.column(c).to_pylist() for c in ("shard", "id", "ids"))
@@ -108,8 +118,9 @@ def write_store(
 
     rows = (
         dealt.repartitionById(n, F.col("shard"))
-        .sortWithinPartitions("shard", F.asc_nulls_first("id"), "ids")
-        .mapInArrow(run, "shard int, documents long, tokens long, first_key long")
+        .sortWithinPartitions("shard", F.asc_nulls_first("id"), "hash", "ids")
+        .select("shard", "id", "ids")
+        .mapInArrow(run, "shard int, documents long, tokens long, nulls long, first_key long")
         .collect()  # one row a shard
     )
     shards, start = [], 0
@@ -175,14 +186,20 @@ def look_up(spark: SparkSession, path: str, keys: DataFrame, with_ids: bool = Fa
         return spark.createDataFrame([], schema)
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = read_manifest(path)["shards"]
-        low = np.array([x["first_key"] if x["first_key"] is not None else -(2**63) for x in shards], np.int64)
-        numbers = np.array([x["shard"] for x in shards], np.int32)
+        keyed = [x for x in shards if x["first_key"] is not None]
+        firsts = np.array([x["first_key"] for x in keyed], np.int64)
+        number, null = np.array([x["shard"] for x in keyed], np.int32), np.array([x["shard"] for x in shards if x["nulls"]], np.int32)
         for batch in batches:
             key = batch.column("key")
-            at = np.maximum(np.searchsorted(low, key.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right") - 1, 0)
-            yield pa.RecordBatch.from_arrays([key, pa.array(numbers[at])], ["key", "shard"])
+            known = key.drop_null().to_numpy()
+            # the last shard that begins below the key, and all that begin with it
+            low, high = np.maximum(np.searchsorted(firsts, known, "left") - 1, 0), np.searchsorted(firsts, known, "right")
+            at, n = spread(np.arange(len(known)), low, np.maximum(high - low, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(known, n)), pa.array(number[at])], ["key", "shard"])
+            rows = key.null_count
+            yield pa.RecordBatch.from_arrays([pa.nulls(rows * len(null), pa.int64()), pa.array(np.tile(null, rows))], ["key", "shard"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = {x["shard"]: x["start"] for x in read_manifest(path)["shards"]}
@@ -201,5 +218,5 @@ def look_up(spark: SparkSession, path: str, keys: DataFrame, with_ids: bool = Fa
                 columns = [pa.array(x, pa.int64()) for x in out[:4]]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(x, pa.list_(pa.int64())) for x in out[4:]], names)
 
-    wanted = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).mapInArrow(place, "key long, shard int")
+    wanted = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).mapInArrow(deal, "key long, shard int")
     return wanted.repartitionById(len(manifest["shards"]), F.col("shard")).sortWithinPartitions("shard", "key").mapInArrow(read, schema)

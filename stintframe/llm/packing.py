@@ -1,9 +1,8 @@
 """Cost-balanced packing of documents into training sequences.
 
 The cost of a piece of n tokens is estimated as ``linear * n + quadratic * n**2`` (attention stays within a document).
-Documents are taken in descending cost, each to the sequence of lowest cost that has token capacity left.  A document
-longer than a sequence fills whole sequences first; one that fits in none of the cheapest open sequences is cut at the
-cheapest one's end.
+Documents are taken in descending cost, each to the sequence of lowest cost among all that have capacity for it.  A document
+longer than a sequence fills whole sequences first; one that fits in none is cut at the end of the cheapest open one.
 
 Packing needs no shuffle: every task packs the documents that it reads, in groups of about ``group_tokens`` tokens.  The
 sequences of a group hold exactly its tokens: full ones, and for the rest one sequence per power of two in its binary
@@ -12,7 +11,6 @@ form, so nothing is padded.  A group is a million tokens whatever the table's si
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -25,52 +23,42 @@ from pyspark.sql import functions as F
 from .common import slices
 from .token_ids import token_ids
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
-#: Cheapest open sequences that are asked for room before a document is cut.
-TRIED = 8
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_cost double"
 
 
-def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1 / 2048) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
-    """Pieces ``(document, start, length, sequence, offset)`` and the token count of each sequence."""
+def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1 / 2048) -> tuple[list[tuple[int, int, int, int, int]], np.ndarray, np.ndarray]:
+    """Pieces ``(document, start, length, sequence, offset)``, and the token count and the cost of each sequence.
+
+    Every open sequence is asked for room, so a document is cut only if none has it.
+    """
     total = sum(lengths)
     rest = total % capacity
-    room = [capacity] * (total // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-    size = list(room)
+    size = np.array([capacity] * (total // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1], np.int64)
+    room, cost = size.copy(), np.zeros(len(size))
     pieces: list[tuple[int, int, int, int, int]] = []
 
-    def put(cost: float, s: int, doc: int, start: int, n: int) -> None:
-        pieces.append((doc, start, n, s, size[s] - room[s]))
+    def put(s: int, doc: int, start: int, n: int) -> None:
+        pieces.append((doc, start, n, s, int(size[s] - room[s])))
         room[s] -= n
-        if room[s]:
-            heapq.heappush(open_, (cost + linear * n + quadratic * n * n, s))
+        cost[s] += linear * n + quadratic * n * n
 
     whole = 0
     tails = []
     for doc, n in enumerate(lengths):
         for k in range(n // capacity):
-            pieces.append((doc, k * capacity, capacity, whole, 0))
-            room[whole] = 0
+            put(whole, doc, k * capacity, capacity)
             whole += 1
         if n % capacity:
             tails.append((-(n % capacity), doc))
-    open_ = [(0.0, s) for s in range(whole, len(room))]  # in order, so a heap already
     for minus, doc in sorted(tails):
         left, start = -minus, lengths[doc] + minus
         while left:
-            passed = []
-            while open_ and len(passed) < TRIED and room[open_[0][1]] < left:
-                passed.append(heapq.heappop(open_))
-            if open_ and room[open_[0][1]] >= left:
-                cost, s = heapq.heappop(open_)
-                n = left
-            else:
-                cost, s = passed.pop(0)
-                n = min(left, room[s])
-            for x in passed:
-                heapq.heappush(open_, x)
-            put(cost, s, doc, start, n)
+            fits = room >= left
+            s = int(np.where(fits if fits.any() else room > 0, cost, np.inf).argmin())
+            n = min(left, int(room[s]))
+            put(s, doc, start, n)
             left, start = left - n, start + n
-    return pieces, size
+    return pieces, size, cost
 
 
 def pack_documents(
@@ -87,8 +75,10 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece; with ``with_ids`` also the piece's ids (little-endian unsigned 32-bit) as ``ids``.
 
-    Null or empty text: the end id alone.  Repeated rows are packed each by itself; a null id stays null; other columns
-    are not read.  An empty table gives an empty result.
+    ``sequence_cost`` is the estimated cost of the piece's sequence.  Null or empty text: the end id alone.  Repeated rows are
+    packed each by itself; a null id stays null; other columns are not read, whatever their names.  A text of any length is
+    encoded whole and may span sequences.  An empty table gives an empty result.  Which documents share a sequence, and its
+    id, depend on how the table is dealt to tasks; the ids of a document do not.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +90,7 @@ def pack_documents(
 
         def out() -> pa.RecordBatch:
             nonlocal base, held
-            pieces, size = pack([len(x) for x in ids], capacity, linear, quadratic)
+            pieces, size, cost = pack([len(x) for x in ids], capacity, linear, quadratic)
             raw = [ids[d][s : s + n].tobytes() for d, s, n, _, _ in pieces]
             grid = np.array(pieces, np.int64).reshape(-1, 5)
             doc, start, length, sequence, offset = grid.T
@@ -113,7 +103,8 @@ def pack_documents(
                 pa.array(lengths[doc]),
                 pa.array(sequence + base),
                 pa.array(offset),
-                pa.array(np.array(size, np.int64)[sequence]),
+                pa.array(size[sequence]),
+                pa.array(cost[sequence]),
             ]
             if with_ids:
                 columns.append(pa.array(raw, pa.binary()))

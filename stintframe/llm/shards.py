@@ -4,41 +4,85 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from contextlib import suppress
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Equal-width ranges of the key that are weighed; also the bound on the rows sent to the driver and broadcast.
-RANGES = 1 << 16
+from .common import cut
 
+LEAST = -(2**63)
+NULLS = -(2**62)
 
-def with_shard(df: DataFrame, key: str, weighed: DataFrame, weight, target: int) -> tuple[DataFrame, int]:
-    """``df`` with an int column ``shard`` that ascends with ``key``, and the number of shards.
 
-    ``weighed`` has the same keys and gives each row's ``weight``.  The key's range is cut into ``RANGES`` equal parts at
-    most; whole parts in order make a shard of about ``target`` weight.  Bounds depend on the data alone, not on a sample
-    or on partitioning.  Null keys go to shard 0.
+def place(key: Column, content: Column) -> tuple[Column, Column]:
+    """The order of rows over shards as two longs: the key, nulls first, and within a key a hash of the row's content."""
+    spread = F.shiftrightunsigned(F.xxhash64(content), 2)
+    return F.coalesce(key, F.lit(LEAST)), F.when(key.isNull(), F.lit(NULLS) + spread).otherwise(spread)
+
+
+def bounds(weighed: DataFrame, target: int) -> list[tuple[int, int]]:
+    """The first place (``a``, ``b``) of each shard, from rows with ``a``, ``b`` and ``weight``.
+
+    Rows are sorted over all tasks, and a shard ends where the weight of all rows before reaches the next multiple of
+    ``target``, so that shards are even whatever the keys are; only rows equal in both parts stay together.  The bounds
+    depend on the data alone.  One row a shard and one a partition reach the driver.
     """
-    low, high = weighed.agg(F.min(key), F.max(key)).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // RANGES + 1
-
-    def part(c):
-        return F.coalesce(F.floor((c - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int")
-
-    sums = weighed.groupBy(part(F.col(key)).alias("part")).agg(F.sum(weight).alias("w")).collect()
-    rows, shard, held = [], 0, 0
-    for p, w in sorted((r.part, r.w or 0) for r in sums):
-        if held and held + w > target:
-            shard, held = shard + 1, 0
-        rows.append((p, shard))
-        held += w
-    bounds = df.sparkSession.createDataFrame(rows, "part int, shard int")
-    dealt = df.withColumn("part", part(F.col(key))).join(F.broadcast(bounds), "part").drop("part")  # RANGES rows at most
-    return dealt, shard + 1
+    ordered = cut(weighed.select("a", "b", F.col("weight").cast("long")).orderBy("a", "b").withColumn("part", F.spark_partition_id()))
+    before, total = {}, 0
+    for r in sorted(ordered.groupBy("part").agg(F.sum("weight").alias("w")).collect()):
+        before[r.part] = total
+        total += r.w
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached, last = None, None
+        for batch in batches:
+            if batch.num_rows:
+                if reached is None:
+                    reached = before[batch.column("part")[0].as_py()]
+                weight = batch.column("weight").to_numpy()
+                ends = reached + np.cumsum(weight)
+                shard = (ends - weight) // target
+                new = np.flatnonzero(np.diff(shard, prepend=-1 if last is None else last))
+                reached, last = int(ends[-1]), int(shard[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[new]), *(batch.column(c).take(pa.array(new)) for c in ("a", "b"))], ["shard", "a", "b"])
+
+    firsts = ordered.mapInArrow(run, "shard long, a long, b long").groupBy("shard").agg(F.min(F.struct("a", "b")).alias("first"))
+    return sorted({(r.first.a, r.first.b) for r in firsts.collect()})
+
+
+def shard_of(firsts: list[tuple[int, int]], spark) -> Column:
+    """The number of the shard that holds the place in columns ``a`` and ``b``; only these two longs pass through Python."""
+    held = spark.sparkContext.broadcast(np.array(firsts, np.int64).reshape(-1, 2))  # 16 bytes a shard
+
+    @F.pandas_udf("int")
+    def number(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(numbers(held.value, a.to_numpy(), b.to_numpy()), dtype="int32")
+
+    return number("a", "b")
+
+
+def numbers(firsts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each place the last of ``firsts`` that is not beyond it, 0 at least."""
+    low, high = (np.searchsorted(firsts[:, 0], a, side) for side in ("left", "right"))
+    out = high - 1
+    # a key that begins several shards: the content decides
+    for i in np.flatnonzero(high > low).tolist():
+        out[i] = low[i] - 1 + np.searchsorted(firsts[low[i] : high[i], 1], b[i], "right")
+    return np.maximum(out, 0).astype(np.int32)
+
+
+def with_shard(df: DataFrame, weighed: DataFrame, target: int) -> tuple[DataFrame, int]:
+    """``df`` (with its place in ``a`` and ``b``, which are dropped) with an int column ``shard`` that ascends with the place,
+    and the number of shards.  ``weighed`` has ``a``, ``b`` and ``weight`` of the same rows."""
+    firsts = bounds(weighed, target)
+    return df.withColumn("shard", shard_of(firsts, df.sparkSession)).drop("a", "b"), max(1, len(firsts))
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:

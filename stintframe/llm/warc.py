@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shards import Output, file_system, read_manifest, with_shard, write_manifest
+from .common import cut
+from .shards import Output, file_system, place, read_manifest, with_shard, write_manifest
 
 # Fixed values of the format.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 _SPACE = uuid.UUID("00000000-0000-0000-0000-000000000000")
 DATE = "2000-01-01T00:00:00Z"
+#: Tasks that read an archive, each one or more files.
+MOST_TASKS = 100_000
 SUMMARY = "file string, shard int, bytes long, records long, sha1 string"
 
 
@@ -57,11 +60,11 @@ def page_record(page: int | None, url: str | None, payload: bytes, digest: str,
 def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     """``page_id``, ``digest``, ``refers_to`` of pages whose payload another page carries.
 
-    Payloads are compared by digest and length; counts are pre-aggregated, and a payload that a third of all pages share is
-    a skewed join key on the narrow side, without the payload.
+    Payloads are compared by digest and length.  Counts are pre-aggregated and written before the join, so that narrow rows,
+    without the payload, are shuffled for the join alone, and the adaptive skew join may split a payload that many pages share.
     """
     narrow = pages.filter(F.col("size") >= least_bytes).select("page_id", "digest", "size")
-    same = narrow.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null")
+    same = cut(narrow.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null"))
     return narrow.join(same, ["digest", "size"]).select("page_id", "digest", "refers_to").distinct()
 
 
@@ -77,15 +80,21 @@ def write_archive(
     prefix: str = "pages",
     date: str = DATE,
 ) -> None:
-    """Write all rows.  Null html: an empty payload; null url: an empty one.  A page without id is never referred
-    to: it revisits a page with one, and without such a page is a response.
-    Repeated rows: the first of a page's equal payloads is the response, the others revisit it if they are long enough."""
+    """Write all rows.  Null html: an empty payload; null url: an empty one; white space within a URL becomes single spaces, since
+    a header is one line.  A page without id is never referred to: it revisits a page with one, and without such a page is a
+    response.  Repeated rows: the first of a page's equal payloads is the response, the others revisit it if they are long
+    enough.  Other columns are not read, whatever their names.  A payload of any length is one record, held by its task.  An
+    empty table gives an archive without files.  The list of files is a Parquet table beside them, which the manifest names."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html"))
     rows = rows.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html")})
     marks = revisits(rows, least_bytes).withColumn("mark", F.lit(0))
     both = rows.drop("size").withColumn("mark", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    dealt, n = with_shard(both, "page_id", rows.select("page_id", "size"), F.col("size") + 400, shard_bytes)
-    dealt = dealt.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "mark", "url")
+    # the records of one page and payload stay together, so that one of them is its response
+    a, b = place(F.col("page_id"), F.col("digest"))
+    both = both.select("*", a.alias("a"), b.alias("b"), b.alias("hash"))
+    weighed = rows.select(a.alias("a"), b.alias("b"), (F.col("size") + 400).alias("weight"))
+    dealt, n = with_shard(both, weighed, shard_bytes)
+    dealt = dealt.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "hash", "digest", "mark", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, shard, number, count, sha = None, None, 0, 0, None
@@ -128,8 +137,10 @@ def write_archive(
                 out.discard()
             raise
 
-    files = dealt.select("shard", "page_id", "url", "html", "digest", "mark", "refers_to").mapInArrow(run, SUMMARY).collect()  # one row a file
-    write_manifest(path, {"files": sorted((r.asDict() for r in files), key=lambda x: x["file"])})
+    files = dealt.select("shard", "page_id", "url", "html", "digest", "mark", "refers_to").mapInArrow(run, SUMMARY)
+    listed = f"files-{uuid.uuid4().hex}.parquet"
+    files.write.parquet(f"{path}/{listed}")
+    write_manifest(path, {"files": listed})
 
 
 def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
@@ -157,12 +168,10 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def read_archive(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row per page record in the files that the manifest names: ``page_id``, ``payload_bytes``, ``payload_digest`` (hex),
+    """One row per page record in the files of the manifest's list: ``page_id``, ``payload_bytes``, ``payload_digest`` (hex),
     ``record_type``, ``refers_to``, ``url``, ``file``, and the ``payload`` if asked for (null for revisits)."""
-    files = [x["file"] for x in read_manifest(path)["files"]]
+    files = spark.read.schema(SUMMARY).parquet(f"{path}/{read_manifest(path)['files']}").select("file")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string" + ", payload binary" * with_payload
-    if not files:
-        return spark.createDataFrame([], schema)
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
@@ -192,4 +201,5 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, types)
 
-    return spark.createDataFrame([(x,) for x in files], "file string").repartition(len(files)).mapInArrow(run, schema)
+    n = max(1, min(files.count(), MOST_TASKS))
+    return files.repartition(n).mapInArrow(run, schema)

@@ -92,3 +92,59 @@ def test_sets_of_large_groups_are_compared_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SETS", 8)
     got = {r.id: r.component_id for r in simhash.similar_documents(docs, least=0.87).collect()}
     assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want))
+
+
+# 7, 10
+def test_shards_are_even_whatever_the_ids_are(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stintframe.llm import id_store, shards
+
+    n = 4000
+    ids = [*range(n), -(2**62) - 5, 2**62 + 9, *([None] * n), *([77] * n)]
+    rows = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(5)
+    a, b = shards.place(F.col("doc_id"), F.col("text"))
+    placed = rows.select("doc_id", "text", a.alias("a"), b.alias("b"))
+    dealt, count = shards.with_shard(placed, placed.select("a", "b", F.lit(1).alias("weight")), 500)
+    sizes = {r.shard: r["count"] for r in dealt.groupBy("shard").count().collect()}
+    assert sorted(sizes) == list(range(count)) and max(sizes.values()) <= 500 and count == -(-len(ids) // 500)
+    again = shards.with_shard(placed.repartition(2), placed.repartition(3).select("a", "b", F.lit(1).alias("weight")), 500)[0]
+    assert sorted(map(tuple, dealt.select("text", "shard").collect())) == sorted(map(tuple, again.select("text", "shard").collect()))
+    import public_tokenizers
+
+    folder = str(tmp_path / "store")
+    id_store.write_store(rows, folder, public_tokenizers.path("word_bpe_49k.json"), 2, 49_408, shard_bytes=20_000)
+    got = id_store.look_up(spark, folder, rows.select("doc_id").distinct()).collect()
+    key = lambda x: -(2**63) if x is None else x
+    assert sorted(key(r.doc_id) for r in got) == sorted(map(key, ids))
+    got.sort(key=lambda r: r.start)
+    assert all(r.start + r.n_tokens == s.start for r, s in zip(got, got[1:], strict=False)) and got[0].start == 0
+    assert [key(r.doc_id) for r in got] == sorted(key(r.doc_id) for r in got)
+
+
+# 3
+def test_packing_asks_every_sequence_and_balances_cost():
+    from stintframe.llm.packing import pack
+
+    rng = np.random.default_rng(6)
+    lengths = rng.lognormal(5.5, 1.0, 3000).astype(int).clip(1, 1200).tolist()  # none fills a sequence, whose cost is then given
+    pieces, size, cost = pack(lengths, 2048)
+    room, paid = size.copy(), np.zeros(len(size))
+    for doc, start, n, s, offset in pieces:  # the rule by hand: the cheapest with room, a cut only where none has room
+        left = lengths[doc] - start
+        if n < 2048:
+            fits = [k for k in range(len(size)) if room[k] >= left] or [k for k in range(len(size)) if room[k]]
+            assert s == min(fits, key=lambda k: (paid[k], k)) and n == min(left, room[s])
+        assert offset == size[s] - room[s]
+        room[s] -= n
+        paid[s] += n + n * n / 2048
+    assert not room.any() and np.allclose(paid, cost)
+    plain, at = np.zeros(len(size)), 0
+    for left in lengths:  # filling in the order of reading
+        while left:
+            n = min(left, 2048 - at % 2048)
+            if at // 2048 < len(plain):
+                plain[at // 2048] += n + n * n / 2048
+            at, left = at + n, left - n
+    full = size == 2048
+    assert np.std(cost[full]) < 0.8 * np.std(plain[full])
