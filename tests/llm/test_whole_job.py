@@ -1,9 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
+from collections import Counter
+
 import numpy as np
 from test_operators import components
 
-from stintframe.llm import nn_descent, simhash, toxicity
+from stintframe.llm import nn_descent, quality, simhash, toxicity
 
 
 
@@ -148,3 +151,63 @@ def test_packing_asks_every_sequence_and_balances_cost():
             at, left = at + n, left - n
     full = size == 2048
     assert np.std(cost[full]) < 0.8 * np.std(plain[full])
+
+
+# 8
+def plain_limits(rows, rules):
+    """Limits per (lang, source) from (lang, source, statistics) of the documents in the sketches, by hand."""
+
+    def bucket(x):
+        return quality.ZERO if x <= quality.LEAST_VALUE else math.ceil(math.log(x) / math.log(quality.GAMMA))
+
+    def value(b):
+        return 0.0 if b == quality.ZERO else quality.GAMMA**b * 2 / (quality.GAMMA + 1)
+
+    def listed(sketch):
+        return sorted(sketch.elements())
+
+    def begun(sketch, above):
+        held = listed(above)  # the percentiles (i + 0.5) / PRIOR of the broader sketch
+        n = len(held)
+        return sketch + Counter(held[math.ceil(n * (i + 0.5) / quality.PRIOR) - 1] for i in range(quality.PRIOR))
+
+    out = {}
+    for name, rule in rules.items():
+        own = {}
+        for lang, source, stats in rows:
+            own.setdefault((lang, source), Counter())[bucket(stats[name])] += 1
+        whole = sum(own.values(), Counter())
+        by_lang = {x: begun(sum((c for (lang, _), c in own.items() if lang == x), Counter()), whole) for x in {k[0] for k in own}}
+        for (lang, source), sketch in own.items():
+            held = listed(begun(sketch, by_lang[lang]))
+            at = lambda q: value(held[max(0, math.ceil(round(q * len(held), 9)) - 1)])  # noqa: B023, E731
+            middle = at(0.5)
+            low = middle - rule.reach * (middle - at(1 - rule.quantile)) if rule.low else -1.0
+            out[lang, source, name] = (low, middle + rule.reach * (at(rule.quantile) - middle))
+    return out
+
+
+def test_quality_limits_and_verdicts_are_those_of_plain_sketches(spark, sample):
+    rng = np.random.default_rng(8)
+    line = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**9, 12))
+    verse = [("en", "verse", "\n".join(["a refrain that all of them sing here"] * int(k) + [line() for _ in range(12)])) for k in rng.integers(2, 8, 600)]
+    prose = [("en", "prose", " ".join(f"word{x}" for x in rng.integers(0, 10**6, 60))) for _ in range(3000)]
+    odd = "\n".join(["the same line is said again and again"] * 8 + [line() for _ in range(12)])
+    texts = [*verse, *prose, ("en", "verse", odd), ("en", "prose", odd), (None, None, odd), ("de", None, None)]
+    made = spark.createDataFrame([(i, t, lang, source) for i, (lang, source, t) in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for docs in (made, sample.select("doc_id", "text", "lang", "source")):
+        judged = quality.judge(docs).collect()
+        stat = lambda r, rule: getattr(r, rule.count) / max(1, getattr(r, rule.per))
+        limits = plain_limits([(r.lang, r.source, {n: stat(r, x) for n, x in quality.RULES.items()}) for r in judged if not r.base_failed], quality.RULES)
+        for r in judged:
+            failed = []
+            for name, rule in quality.RULES.items():
+                low, high = limits.get((r.lang, r.source, name), (-math.inf, math.inf))
+                per = max(1, getattr(r, rule.per))
+                count = getattr(r, rule.count)
+                failed += [name] * (count - high * per > quality.FEW or low * per - count > quality.FEW)
+            assert r.failed == failed and r.kept == (not r.base_failed and not failed)
+        if docs is made:  # what is usual in one source is not in the other
+            by = {(r.lang, r.source): r for r in judged if r.text == odd}
+            assert by["en", "verse"].kept and "dup_line_share" in by["en", "prose"].failed
+            assert limits["en", "verse", "dup_line_share"][1] > 2 * limits["en", "prose", "dup_line_share"][1]
