@@ -3,7 +3,8 @@
 A sentence's probability is logistic in the summed weights of its words and their beginnings (inflected and compounded
 forms share them); a document's is the noisy-or of its sentences that hold a weighted feature, ``1 - prod(1 - p)``: neutral sentences add
 nothing, however many there are.  Weights are fitted by gradient ascent on the documents' likelihood, so that the sentences that make
-a document toxic are found without sentence labels and can be located afterwards.
+a document toxic are found without sentence labels and can be located afterwards.  Clean documents are also learnt from joined
+into longer and longer ones, which are as clean: weak evidence must not add up with length.
 """
 
 from __future__ import annotations
@@ -28,7 +29,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 #: A feature is fitted if its share of toxic documents exceeds the sample's by so many standard errors, and is so many
 #: times its share of the others.
-EVIDENCE, TIMES = 4.5, 3.0
+EVIDENCE, TIMES = 4.0, 3.0
+#: Units that a worker remembers while it scores a task's texts; beyond it the memory is emptied.
+REMEMBERED = 100_000
+#: Clean documents that are joined into one.
+JOINED = (4, 16, 64, 256, 1024)
+#: What ends a sentence, quotes and brackets that may follow it, and marks that need no space after them.
+ENDS, CLOSING, FULL_WIDTH = (".", "!", "?", "…"), "\"'”’»)]", "。！？"
 
 
 def unit_features(unit: str) -> list[str]:
@@ -54,9 +61,14 @@ class Sentences(NamedTuple):
 
 
 def sentences(texts: pa.Array) -> Sentences:
-    """Sentences end with a unit that ends in ``.``, ``!`` or ``?``, at a line end, and with the text."""
-    units = split(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n "), every_space=True)
-    ends = np.fromiter((x[-1:] in (".", "!", "?", "\n") and x != "" for x in units.unique), bool, len(units.unique))[units.codes]
+    """Sentences end with a unit that ends in a mark of ``ENDS`` (and closing quotes), after a full-width mark, at a line end,
+    and with the text."""
+    texts = pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n ")
+    for mark in FULL_WIDTH:
+        texts = pc.replace_substring(texts, mark, mark + " ")
+    units = split(texts, every_space=True)
+    marks = (*ENDS, *FULL_WIDTH, "\n")
+    ends = np.fromiter((x.rstrip(CLOSING).endswith(marks) for x in units.unique), bool, len(units.unique))[units.codes]
     new = np.r_[True, ends[:-1]] | units.first if len(ends) else ends
     sentence = np.cumsum(new) - 1
     text = np.repeat(np.arange(len(units.offsets) - 1), np.diff(units.offsets))
@@ -77,7 +89,7 @@ class Model:
         """Of each text: noisy-or of its sentences; number, text and probability of its worst one (-1, null and 0 without
         any word)."""
         memory, weights = self.memory, self.weights
-        if len(memory) > 500_000:
+        if len(memory) > REMEMBERED:
             memory.clear()
         parts = sentences(texts)
         for x in parts.unique:
@@ -138,17 +150,29 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.
     keep = good[word]
     word, of = np.searchsorted(used, word[keep]), of[keep]
     counted = np.bincount(of, minlength=n) > 0
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    # the documents as bags of their counted sentences, then clean ones joined; either half of the clean share
+    sentence, bag = np.flatnonzero(counted), doc_of[counted]
+    clean_number = np.where(y == 1, -1, np.cumsum(1 - y) - 1).astype(np.int64)
+    share, bags, of_clean = np.where(y == 1, 0.5 / y.sum(), 0.25 / (1 - y).sum()), [bag], np.flatnonzero(y[bag] == 0)
+    n_clean = int((1 - y).sum())
+    levels = [k for k in JOINED if k < 2 * n_clean]
+    for k in levels:
+        joined = -(-n_clean // k)
+        bags.append(len(share) + clean_number[bag[of_clean]] // k)
+        share = np.r_[share, np.full(joined, 0.25 / joined / len(levels))]
+    sentence = np.concatenate([sentence, np.tile(sentence[of_clean], len(levels))])
+    bag = np.concatenate(bags)
+    y = np.r_[y, np.zeros(len(share) - len(y))]
     w = np.zeros(len(used) + 1)  # the bias last
     w[-1] = start
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
         z = np.bincount(of, w[word], n) + w[-1]
         p = 1 / (1 + np.exp(-z))
-        clean = np.bincount(doc_of, np.where(counted, np.logaddexp(0, z), 0), len(texts))  # -log of the probability that no sentence is toxic
+        clean = np.bincount(bag, np.logaddexp(0, z)[sentence], len(share))  # -log of the probability that no sentence is toxic
         doc = np.clip(-np.expm1(-clean), 1e-9, 1)
         g = share * np.where(y == 1, (1 - doc) / doc, -1.0)
-        dz = np.where(counted, g[doc_of] * p, 0)
+        dz = np.bincount(sentence, g[bag], n) * p
         grad = np.r_[np.bincount(word, dz[of], len(used)), dz.sum()]
         grad[:-1] -= decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -196,8 +220,9 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     """All columns of ``docs`` and ``toxicity`` (double), ``worst_sentence`` (int, -1 without any), ``worst_text``,
     ``worst_score``.
 
-    Only the text is read for the score.  Null or empty text scores 0.  Whole texts are scored, of any length.  Columns
-    of these names in ``docs`` are replaced.
+    Only the text is read for the score, so repeated rows score alike.  Null or empty text scores 0.  Whole texts are scored,
+    of any length, with some 30 times a text's size in memory.  Columns of these names in ``docs`` are replaced.  An empty
+    table gives an empty result.  Without labels of both classes every text with a word has the model's bias alone.
     """
     new = "toxicity double, worst_sentence int, worst_text string, worst_score double"
     names = [x.split()[0] for x in new.split(", ")]
@@ -207,11 +232,13 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
+        model.memory.clear()  # a worker that goes on to other work keeps nothing of the last task's
         for batch in batches:
             for part in slices(iter([batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])]), f"c{at}"):
                 total, place, where, worst = model.score(part.column(at))
                 new_columns = [pa.array(total), pa.array(place, pa.int32()), pa.array(where, pa.string()), pa.array(worst)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new_columns], out_names)
+        model.memory.clear()
 
     schema = StructType([*kept.schema.fields, *StructType.fromDDL(new).fields])
     return kept.mapInArrow(run, schema)

@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from test_operators import components
 
 from stintframe.llm import nn_descent, quality, simhash, toxicity
@@ -53,6 +55,50 @@ def test_length_alone_is_not_toxic(spark):
     assert got[2].worst_text == "You idiot moron."
 
 
+def plain_scores(text, model):
+    """Noisy-or of the sentences with a weighted feature, and the number of the likeliest sentence with a word."""
+    sentences, at = [[]], 0
+    for line in text.split("\n"):
+        for unit in re.sub("([。！？])", r"\1 ", line).split(" "):
+            sentences[-1].append(unit)
+            if unit.rstrip(toxicity.CLOSING).endswith((".", "!", "?", "…", "。", "！", "？")):
+                sentences.append([])
+        sentences.append([])
+    clean, best = 1.0, (-1.0, -1)
+    for words in sentences:
+        found = [f for x in words for f in toxicity.unit_features(x)]
+        p = 1 / (1 + math.exp(-model.bias - sum(model.weights.get(f, 0.0) for f in found)))
+        if found:
+            best = max(best, (p, -at))
+        if any(f in model.weights for f in found):
+            clean *= 1 - p
+        at += 1
+    return 1 - clean, best[0]
+
+
+def test_scores_are_those_of_a_plain_noisy_or(spark, odd):
+    model = toxicity.Model({"idiot$": 4.0, "idio": 1.0, "moron$": 2.5, "table$": -1.5, "stan": 0.5}, -2.0)
+    texts = ["You idiot moron.", "“You idiot!” The table stands. Fine", "バカ。idiot！table", "no evidence here", "", "!!! ... ?", "table stands idiot\nmoron moron", "idiots idiots. idiots"]
+    docs = spark.createDataFrame([*enumerate(texts), (50, None), (3, "no evidence here")], "doc_id long, text string")
+    for r in toxicity.score_documents(docs, model).collect():
+        want, worst = plain_scores(r.text or "", model)
+        assert abs(r.toxicity - want) < 1e-9, r.text
+        assert abs(r.worst_score - max(worst, 0)) < 1e-9, r.text
+    assert toxicity.score_documents(odd, toxicity.fit([], [])).filter("toxicity >= 0.7").count() == 0
+
+
+def test_joined_clean_texts_stay_clean(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = docs.join(labels.filter("toxic = 0"), "doc_id").filter(toxicity.held_out("doc_id")).orderBy("doc_id").collect()
+    flagged = {}
+    for k in (1, 16, 64):
+        joined = ["\n".join(r.text for r in rows[i : i + k]) for i in range(0, len(rows) - k + 1, k)]
+        flagged[k] = float((model.score(pa.array(joined, pa.large_string()))[0] >= 0.7).mean())
+    # a joined text holds every wrongly flagged sentence of its parts; evidence below that does not add up
+    assert all(share <= 1.2 * (1 - (1 - flagged[1]) ** k) + 0.05 for k, share in flagged.items()), flagged
+
+
 # pipeline
 def linked(texts, least):
     sets = []
