@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from test_operators import components
 
-from stintframe.llm import nn_descent, quality, simhash, toxicity
+from stintframe.llm import nn_descent, quality, quotes, simhash, toxicity
 
 
 
@@ -257,3 +257,82 @@ def test_quality_limits_and_verdicts_are_those_of_plain_sketches(spark, sample):
             by = {(r.lang, r.source): r for r in judged if r.text == odd}
             assert by["en", "verse"].kept and "dup_line_share" in by["en", "prose"].failed
             assert limits["en", "verse", "dup_line_share"][1] > 2 * limits["en", "prose", "dup_line_share"][1]
+
+
+# 6
+def plain_links(rows):
+    """(conv, turn, text) of the original of each quoted run, by hand, for messages with different (conv, turn)."""
+    norm = lambda x: " ".join(re.findall(r"[^\W_]+", x)).lower()
+    said = {}
+    for conv, turn, text in sorted((r for r in rows if None not in r), key=lambda r: r[:2]):
+        kept = [None if re.match(r"(\s*>)+", x) else x for x in text.split("\n")]
+        blocks, block = [], []
+        for x in [*kept, ""]:
+            if x and norm(x):
+                block.append(x)
+            else:
+                blocks, block = [*blocks, block], []
+        for passage in {norm(" ".join(x for x in kept if x)), *(norm(" ".join(x)) for x in blocks), *(norm(x) for x in kept if x)} - {""}:
+            said.setdefault(passage, []).append((conv, turn))
+
+    def original(passage, conv, turn):
+        near = [x for x in said.get(passage, []) if x[0] == conv][:1]
+        far = said.get(passage, [])[:1]
+        return near[0] if near and near[0] < (conv, turn) else far[0] if far and far[0][0] < conv else None
+
+    out = {}
+    for conv, turn, text in rows:
+        runs, last = [], -1
+        for x in (text or "").split("\n"):
+            level = re.match(r"(\s*>)*", x)[0].count(">")
+            if level != last:
+                runs.append((level, []))
+            runs[-1][1].append(re.sub(r"^(\s*>)+", "", x))
+            last = level
+        found = []
+        for level, lines in runs:
+            if level and norm(" ".join(lines)):
+                parts, part = [], []
+                for x in [*lines, ""]:
+                    if norm(x):
+                        part.append(x)
+                    else:
+                        parts, part = [*parts, part], []
+                options = [[norm(" ".join(lines))], [norm(" ".join(x)) for x in parts if x], [norm(x) for x in lines if len(norm(x)) >= 20]]
+                hits = [[o for x in some if (o := original(x, conv, turn))] for some in options] if None not in (conv, turn) else []
+                found.append((level, next((max(h) for h in hits if h), None)))
+        out[conv, turn] = (len(found), sum(o is not None for _, o in found), max((o for level, o in found if level == 1 and o), default=None))
+    return out
+
+
+def test_quotes_link_as_by_hand(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(60)}"
+    rows, said = [], []
+    for conv in range(12):
+        for turn in range(8):
+            lines = [" ".join(word() for _ in range(rng.integers(1, 9))) for _ in range(rng.integers(1, 5))]
+            if rng.random() < 0.5:
+                lines.insert(1, "")
+            if said and rng.random() < 0.7:
+                quoted = said[rng.integers(len(said))].split("\n")
+                if rng.random() < 0.4:
+                    words = " ".join(quoted).split()
+                    quoted = [" ".join(words[i : i + 4]) for i in range(0, len(words), 4)]  # wrapped anew
+                quoted = quoted[rng.integers(2) :] or quoted
+                lines = ["> " * int(rng.integers(1, 3)) + x for x in quoted] + lines
+            said.append("\n".join(x for x in lines if not x.startswith(">")))
+            rows.append((conv, turn, "\n".join(lines)))
+    first = "The quick brown fox jumps over the lazy dog near the river."
+    rows += [(20, 0, first), (None, 5, first), (20, None, first), (30, 1, f"> {first}\nyes"), (20, 3, f"> {first}\nno"), (None, 6, f"> {first}"), (40, None, f"> {first}")]
+    rows += [(50, 0, "Hello.\nSee you at 9.\nBye."), (50, 1, "> See you at 9.\nAt ten."), (50, 2, "> Hello. See\n> you at\n> 9. Bye.\nWhat?")]
+    table = spark.createDataFrame([(c, t, "user", x, 1, 2) for c, t, x in rows], "conv_id long, turn long, role string, text string, level int, message_id int")
+    got = quotes.reply_order(table).collect()
+    key = {r.message_id: (r.conv_id, r.turn) for r in got}
+    want = plain_links(rows)
+    for r in got:
+        passages, hits, parent = want[r.conv_id, r.turn]
+        assert (r.n_passages, r.n_linked) == (passages, hits), (r, want[r.conv_id, r.turn])
+        assert (key[r.parent_id] if r.parent_kind == "quote" else None) == parent, r
+    assert want[30, 1][2] == (20, 0) == want[20, 3][2] and want[50, 1][2] == want[50, 2][2] == (50, 0)
+    assert quotes.reply_order(table.limit(0)).count() == 0
