@@ -19,8 +19,8 @@ from .common import slices
 from .pieces import MARK, pieces
 from .wordunits import split
 
-#: Words that a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 500_000
+#: Words that a worker remembers, none longer than so many characters; beyond it the memory is emptied.
+REMEMBERED, LONGEST = 200_000, 64
 
 
 class Automaton:
@@ -83,25 +83,32 @@ def automaton(path: str) -> tuple[Automaton, dict[str, int]]:
 
 
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_pieces``: words are what single spaces separate, each led by the space mark.
+    """``doc_id``, ``n_words`` (what single spaces separate), ``n_pieces``: longest matches over the whole text, spaces being marks
+    and one leading it.
 
-    Null or empty text: no word, no piece.  A run of spaces holds empty words of which the mark alone is counted.  Repeated
-    rows are counted each; other columns are not read.
+    No piece goes on from another character to a mark, so texts are counted in units cut before the first space of a run.
+    Null or empty text: no word, no piece.  Repeated rows are counted each; other columns are not read, whatever their names.  A text
+    of any length is counted whole, with some 100 bytes of memory a word.  An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, memory = automaton(model)
         for batch in slices(batches, "text"):
-            units = split(batch.column("text"), every_space=True)
+            units = split(batch.column("text"), every_space=False)
+            unique = units.unique
+            found = [memory.get(x) for x in unique]
+            for i, n in enumerate(found):
+                if n is None:
+                    x = unique[i]
+                    found[i] = n = counter.count(MARK + x.replace(" ", MARK))
+                    if len(x) <= LONGEST:
+                        memory[x] = n
             if len(memory) > REMEMBERED:
                 memory.clear()
-            for x in units.unique:
-                if x not in memory:
-                    memory[x] = counter.count(MARK + x)
-            counts = np.fromiter((memory[x] for x in units.unique), np.int64, len(units.unique))[units.codes]
+            counts = np.array(found, np.int64)[units.codes]
             total = np.add.reduceat(np.r_[counts, 0], units.offsets[:-1]) if batch.num_rows else np.zeros(0, np.int64)
             empty = (pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) == 0
-            words = np.where(empty, 0, np.diff(units.offsets))
+            words = np.where(empty, 0, pa.compute.count_substring(batch.column("text").fill_null(""), " ").to_numpy(zero_copy_only=False) + 1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words), pa.array(np.where(empty, 0, total))], ["doc_id", "n_words", "n_pieces"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -13,12 +13,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .wordunits import split, spread
 
-#: Units that a worker remembers: the first it meets, among them all frequent ones; others are encoded where they occur.
-REMEMBERED = 500_000
+#: Bytes of units and their ids that a worker remembers: the first it meets, among them all frequent ones; others are encoded
+#: where they occur.
+REMEMBERED = 32 << 20
 _PLAIN = regex.compile(r"[\u0000\u0002-\u024f]*")
 # The split patterns of the two kinds of file.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,10 +43,12 @@ class TokenIds:
     def __init__(self, path: str):
         import json
 
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
-        self.full = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.settings = {False: (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer), True: (normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit())}
+        self.bare = False
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before, after = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
@@ -63,33 +67,29 @@ class TokenIds:
         ):
             self.kind, self.pattern, self.tail = "word", regex.compile(_WORD_LEVEL), len(model.get("end_of_word_suffix") or "")
         if self.kind != "other":
-            self.slim = Tokenizer.from_file(path)
-            self.slim.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            if self.slim.normalizer is not None:
-                from tokenizers import normalizers
-
-                self.slim.normalizer = normalizers.Sequence([])
             size = max(model["vocab"].values()) + 1
             self.id_chars = np.zeros(size, np.int64)
             for piece, i in model["vocab"].items():
                 self.id_chars[i] = len(piece)
             self.letters = np.array([ord(x) for x in byte_letters().values()], np.uint32)
-        self.memory: dict[str, int] = {}
+        self.units = pa.array([], pa.large_string())
         self.pool, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _library(self, texts: list[str], bare: bool = False) -> list:
+        """The library's encodings; ``bare`` without normalisation and cutting at spaces only."""
+        if self.bare != bare:
+            normalizer, self.tokenizer.pre_tokenizer = self.settings[bare]
+            if self.settings[False][0] is not None:
+                self.tokenizer.normalizer = normalizer
+            self.bare = bare
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
     def _plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(x in text for x in self.special)
 
-    def _keep(self, units: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
-        """Remember ids[stops[i - 1]:stops[i]] for each unit i."""
-        starts = np.r_[0, stops[:-1]] + len(self.pool)
-        n = len(self.starts)
-        self.pool = np.r_[self.pool, ids]
-        self.starts, self.lengths = np.r_[self.starts, starts], np.r_[self.lengths, np.diff(np.r_[0, stops])]
-        self.memory.update(zip(units, range(n, n + len(units)), strict=True))
-
-    def _learn(self, units: list[str]) -> None:
-        """Encode units and remember them; a unit stands as it is in the text, with the space before it at byte level."""
+    def _learn(self, units: list[str]) -> list[str]:
+        """Encode units and append their ids to the pool; the units in the order of their ids.  A unit stands as it is in the
+        text, with the space before it at byte level."""
         odd: list[str] = []
         found = []
         for k in range(0, len(units), 4096):
@@ -106,16 +106,17 @@ class TokenIds:
                 ids, stops = (self._byte_level if self.kind == "byte" else self._word_level)(some)
                 found.append((some, ids, stops))
         if odd:
-            full = [e.ids for e in self.full.encode_batch_fast(odd, add_special_tokens=False)]
+            full = [e.ids for e in self._library(odd)]
             found.append((odd, np.array([i for x in full for i in x], np.uint32), np.cumsum([len(x) for x in full])))
-        if found:
-            base = np.cumsum([0, *(len(ids) for _, ids, _ in found)])
-            stops = np.concatenate([s + b for (_, _, s), b in zip(found, base[:-1].tolist(), strict=True)])
-            self._keep([x for some, _, _ in found for x in some], np.concatenate([ids for _, ids, _ in found]), stops.astype(np.int64))
+        for _, ids, stops in found:
+            starts = np.r_[0, stops[:-1]].astype(np.int64)
+            self.starts, self.lengths = np.r_[self.starts, starts + len(self.pool)], np.r_[self.lengths, stops - starts]
+            self.pool = np.r_[self.pool, ids]
+        return [x for some, _, _ in found for x in some]
 
     def _bpe(self, words: str, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words joined by spaces in byte letters, and the number of ids up to each of the given counts of letters."""
-        ids = np.array(self.slim.encode_batch_fast([words], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self._library([words], bare=True)[0].ids, np.uint32)
         reach = np.r_[0, np.cumsum(self.id_chars[ids])]
         stops = np.searchsorted(reach, chars)
         if (reach[stops] != chars).any() or stops[-1] != len(ids):
@@ -135,7 +136,7 @@ class TokenIds:
 
     def _word_level(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         text = " \x01 ".join(units) + " \x01"
-        pieces = self.pattern.findall(text.lower() if text.isascii() else self.full.normalizer.normalize_str(text))
+        pieces = self.pattern.findall(text.lower() if text.isascii() else self.settings[False][0].normalize_str(text))
         marks = np.fromiter((x == "\x01" for x in pieces), bool, len(pieces))
         words = [x for x in pieces if x != "\x01"]
         joined = " ".join(words)
@@ -148,29 +149,33 @@ class TokenIds:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one flat array of uint32, and the offsets of each text in it; a null text has none."""
         if self.kind == "other":
-            found = [np.array(e.ids, np.uint32) for e in self.full.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+            found = [np.array(e.ids, np.uint32) for e in self._library([x or "" for x in texts.to_pylist()])]
             return np.concatenate([np.zeros(0, np.uint32), *found]), np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int64)
         units = split(texts, every_space=self.kind == "word")
-        codes, unique = units.codes, units.unique
+        codes, names = units.codes, units.dictionary
         if self.kind == "byte":  # a unit after the first begins with the space before it
-            codes = codes + np.where(units.first, len(unique), 0)
-            used = np.flatnonzero(np.bincount(codes, minlength=1))
-            names = [" " + unique[c] if c < len(unique) else unique[c - len(unique)] for c in used.tolist()]
-            place = np.zeros(2 * len(unique) + 1, np.int64)
+            codes = codes + np.where(units.first, len(names), 0)
+            names = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" ", names.type), names, pa.scalar("", names.type)), names])
+            used = np.flatnonzero(np.bincount(codes, minlength=len(names)))
+            place = np.zeros(len(names), np.int64)
             place[used] = np.arange(len(used))
-            codes = place[codes]
-        else:
-            names = unique
-        before = len(self.memory), len(self.pool)
-        if new := [x for x in names if x not in self.memory]:
-            self._learn(new)
-        at = np.fromiter(map(self.memory.__getitem__, names), np.int64, len(names))[codes]
-        at, n = spread(at, self.starts, self.lengths)
+            names, codes = names.take(pa.array(used)), place[codes]
+        before = len(self.starts), len(self.pool)
+        at = pc.index_in(names, value_set=self.units)
+        unknown = pc.is_null(at)
+        new = names.filter(unknown)
+        at = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            order = self._learn(new.to_pylist())
+            number = dict(zip(order, range(before[0], before[0] + len(order)), strict=True))
+            at[unknown.to_numpy(zero_copy_only=False)] = np.fromiter(map(number.__getitem__, new.to_pylist()), np.int64, len(new))
+        at, n = spread(at[codes], self.starts, self.lengths)
         ids = self.pool[at]
-        if before[0] > REMEMBERED:
-            for x in new:
-                del self.memory[x]
-            self.starts, self.lengths, self.pool = self.starts[: before[0]], self.lengths[: before[0]], self.pool[: before[1]]
+        if len(new):
+            if self.units.nbytes + self.pool.nbytes + 2 * self.starts.nbytes < REMEMBERED:
+                self.units = pa.concat_arrays([self.units, pa.array(order, pa.large_string())])
+            else:
+                self.starts, self.lengths, self.pool = self.starts[: before[0]], self.lengths[: before[0]], self.pool[: before[1]]
         return ids, np.r_[0, np.cumsum(n)][units.offsets].astype(np.int64)
 
 

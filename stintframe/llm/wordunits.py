@@ -19,13 +19,17 @@ _CUT = re.compile(r"(?<=\S) ")
 
 
 class Units(NamedTuple):
-    """``codes[offsets[i]:offsets[i + 1]]`` index ``unique`` for text i; ``first`` marks a text's first unit."""
+    """``codes[offsets[i]:offsets[i + 1]]`` index ``dictionary`` for text i; ``first`` marks a text's first unit."""
 
     codes: np.ndarray
     offsets: np.ndarray
-    unique: list[str]
+    dictionary: pa.Array
     first: np.ndarray
 
+    @property
+    def unique(self) -> list[str]:
+        return self.dictionary.to_pylist()
+
 
 def split(texts: pa.Array, every_space: bool) -> Units:
     """Units of each text; a null text counts as empty.
@@ -39,7 +43,7 @@ def split(texts: pa.Array, every_space: bool) -> Units:
     units = _coded(lists)
     if every_space:
         return units
-    doubt = np.fromiter((not x or x[-1] in _SPACES for x in units.unique), bool, len(units.unique))[units.codes]
+    doubt = np.fromiter((not x or x[-1] in _SPACES for x in units.unique), bool, len(units.dictionary))[units.codes]
     odd = np.add.reduceat(np.r_[doubt, False], units.offsets[:-1]) > 0
     if not odd.any():
         return units
@@ -55,7 +59,7 @@ def _coded(lists: pa.Array) -> Units:
     coded = lists.flatten().dictionary_encode()
     first = np.zeros(len(coded), bool)
     first[offsets[:-1]] = True  # a text has one unit at least, if an empty one
-    return Units(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets, coded.dictionary.to_pylist(), first)
+    return Units(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets, coded.dictionary, first)
 
 
 def spread(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
