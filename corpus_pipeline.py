@@ -15,30 +15,42 @@ from stintframe.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their language's and source's thresholds."""
+    """Documents that pass the base rules and their language's and source's thresholds.
+
+    Null, empty and short texts fail the base rules.  Null languages and sources are groups of their own.  Repeated rows are
+    judged alike.
+    """
     judged = quality.judge(docs)
     return judged.filter("kept").select(*docs.columns)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.7; the model learns from the labelled documents still there."""
+    """Documents that score below 0.7; the model learns from the labelled documents still there.
+
+    Null and empty texts score 0.  Documents without an id, or without a label, are scored like others.  Without labels of both
+    classes nothing tells documents apart: all are kept unless every label is toxic.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, model).filter("toxicity < 0.7").select(*docs.columns)
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id.
+    """One document of each group of near copies: the first by id, rows without id last, then by a hash of the text.
 
     Near copies share 0.8 or more of their different shingles of five words, which is checked exactly; a document linked
-    through others belongs to the group.  Rows repeated under one id are one document.
+    through others belongs to the group.  Different texts under one id are documents of their own; of rows equal in id and
+    text one stays.  Null and empty texts are copies of each other.
     """
     found = simhash.similar_documents(docs, shingle_words=5, least=0.8)
-    kept = found.filter("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    nameless = docs.filter("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nameless)
+    kept = found.filter("kept").select("h1", "h2").distinct()
+    documents = [c for c in docs.columns if c not in ("h1", "h2")]
+    # the join's partitioning and order serve the dropping of repeated rows too
+    marked = docs.select(*documents, *simhash.row_hashes("doc_id", "text"))
+    return marked.join(kept, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select(*documents)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens; null and empty texts are the end id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 

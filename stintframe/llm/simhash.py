@@ -13,11 +13,14 @@ of chunks.
 
 A similarity far below 1 differs in more bits than blocks can promise.  For it, ``similar_documents`` takes many keys of
 bits drawn from a wide fingerprint, allows over three deviations more than the similarity's own bits, and lets only documents
-link whose shingle sets reach the similarity exactly.
+link whose shingle sets reach the similarity exactly.  The keys' width grows with the number of different texts, so that a key
+holds a chunk of them at most by chance at any size, and their number with the width, so that the recall worked out at the least similarity
+stays.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
@@ -40,6 +43,8 @@ SHORT_RUN = 32
 SETS, SHINGLES = 512, 400_000
 #: Shingles whose places in the sets of a task are laid out at once.
 COLUMNS = 4096
+#: Different texts that a key of ``similar_documents`` holds by chance, and the least width of keys.
+PER_KEY, LEAST_WIDTH = 1024, 12
 
 
 def shingles_of(text: bytes, shingle_words: int) -> list[bytes]:
@@ -268,15 +273,34 @@ def similar_in(sets: list[np.ndarray], least: float) -> np.ndarray:
     return (common / np.maximum(union, 1) >= least) | (union == 0)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, least: float = 0.8, max_bits: int = 60, words64: int = 4, width: int = 12, n_keys: int = 56) -> DataFrame:
-    """``id`` and ``component_id`` (smallest id reachable through documents whose shingle sets have a Jaccard similarity of
-    ``least`` or more, its own included) per row.
+def keys_for(count: int, least: float, bits: int, recall: float) -> tuple[int, int, int]:
+    """Width and number of keys, and differing bits allowed, for ``count`` texts.
 
-    Fingerprints close in bits only name candidates: within each group of candidates all pairs are compared by their
-    shingle sets.  Ids, null texts and empty tables are treated as in ``near_duplicates``.
+    Sets of similarity ``least`` differ in each bit with probability arccos(cosine) / pi, where the cosine is
+    2 * least / (1 + least) for sets of one size and higher for others; their differing bits are taken as binomial.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    narrow = narrow.withColumn("place", F.coalesce("id", F.xxhash64("text")))
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    most = min(bits, math.ceil(bits * p + 3.7 * math.sqrt(bits * p * (1 - p))))
+    width = min(bits, max(LEAST_WIDTH, math.ceil(math.log2(max(count, 1) / PER_KEY))))
+    chance = [math.exp(math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1) + d * math.log(p or 1e-300) + (bits - d) * math.log1p(-p)) for d in range(most + 1)]
+    agree = [math.prod((bits - d - i) / (bits - i) for i in range(width)) for d in range(most + 1)]
+    n = 1
+    while n < 5000 and sum(c * (1 - (1 - a) ** n) for c, a in zip(chance, agree, strict=True)) < recall:
+        n += 1 + n // 50
+    return width, n, most
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, least: float = 0.8, words64: int = 4, recall: float = 0.98) -> DataFrame:
+    """Per row: ``id``, ``h1`` and ``h2`` (a hash of the id and the text), ``component_id`` (smallest id reachable through
+    documents whose shingle sets have a Jaccard similarity of ``least`` or more, its own included; null if none of them has an
+    id), and ``kept``: whether the row is the first of its component by id (nulls last) and hash.
+
+    Fingerprints close in bits only name candidates; a pair at ``least`` becomes one with probability ``recall`` (see
+    ``keys_for``).  Within each group of candidates, pairs are compared by their shingle sets, except those that are linked
+    through others already.  Null and empty texts count as equal; repeated rows are kept or not alike.  Texts of any length are
+    compared whole.  An empty table gives an empty result.
+    """
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *row_hashes(id_col, text_col))
 
     def mark(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -286,27 +310,25 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if full:
                 fps = pa.array([bits_of(x, words64).astype("<u8").tobytes() for x in shingles], pa.binary())
                 n = pa.array([len(x) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("place"), digest, fps, n], ["id", "place", "same", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h1", "h2")), digest, fps, n], ["id", "h1", "h2", "same", "fp", "n"])
             else:
                 yield pa.RecordBatch.from_arrays([digest, pa.array([x.tobytes() for x in sets], pa.binary())], ["same", "shingles"])
 
-    marked = cut(narrow.mapInArrow(partial(mark, full=True), "id long, place long, same binary, fp binary, n long"))
+    marked = cut(narrow.mapInArrow(partial(mark, full=True), "id long, h1 long, h2 long, same binary, fp binary, n long"))
     # as in near_duplicates, but a node has a set of shingles; a fingerprint is that of the set, whatever repeats
-    nodes = marked.groupBy("same").agg(F.min("id").alias("low"), F.min(F.struct(F.col("id").isNull(), "place")).getField("place").alias("place"), F.min("fp").alias("fp"), F.min("n").alias("n"))
-    nodes = cut(nodes.withColumn("node", F.coalesce("low", F.xxhash64("same"))))
-    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    close = close_edges(firsts.withColumnRenamed("first", "node"), max_bits, keys=partial(drawn_keys, width=width, count=n_keys))
+    nodes = marked.groupBy("same").agg(F.min("id").alias("low"), F.min("h1").alias("h1"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    firsts = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    width, n_keys, most = keys_for(firsts.count(), least, 64 * words64, recall)
+    close = close_edges(firsts.withColumnRenamed("first", "node"), most, keys=partial(drawn_keys, width=width, count=n_keys))
     candidates = connected_components(close.union(nodes.join(firsts, "fp").select("first", "node")))
-    member = cut(nodes.join(candidates, "node").select("same", "node", "place", "n", F.col("component").alias("group")))
-    sizes = member.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(SETS)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("int").alias("parts"))
-    sets = narrow.join(member.select("place").distinct(), "place", "left_semi").select("text").mapInArrow(partial(mark, full=False), "same binary, shingles binary")
-    parts = F.greatest("parts", F.lit(1))
-    dealt = (
-        sets.join(member.join(sizes, "group"), "same")
-        .withColumn("mine", F.pmod(F.xxhash64("same"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select(F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", "same", "shingles")
-    )
+    member = nodes.join(candidates, "node").select("same", "node", "h1", "n", F.col("component").alias("group"))
+    sizes = member.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(SETS)), F.ceil(F.sum("n") / F.lit(SHINGLES)), F.lit(1)).cast("int").alias("parts"), F.min("node").alias("pivot"))
+    member = cut(member.join(sizes, "group").withColumn("mine", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int")))
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        texts = narrow.join(members.select("h1").distinct(), "h1", "left_semi").select("text")
+        return texts.mapInArrow(partial(mark, full=False), "same binary, shingles binary").join(members, "same")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, "task"):
@@ -320,10 +342,42 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 right.append(node[a + once[j]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], ["src", "dst"])
 
-    linked = connected_components(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "src long, dst long"))
+    def compared(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("task", "node", "same", "shingles")
+        return cut(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "src long, dst long"))
+
+    # each part of a group with itself and with the group's first set
+    own = F.array(F.col("mine"))
+    to = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
+    edges = compared(sets_of(member).withColumn("part", F.explode(to)).withColumn("task", F.xxhash64("group", "part")))
+    # in groups of several parts: what is not linked with that set, with all others
+    wide = member.filter("parts > 1")
+    if wide.limit(1).count():
+        reached = connected_components(edges)
+        wide = wide.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        core = wide.filter("node = pivot").select("group", F.col("component").alias("core"))
+        wide = wide.join(core, "group").withColumn("apart", F.col("component") != F.col("core"))
+        rest = wide.filter("apart").groupBy("group").agg(F.ceil(F.count("*") / F.lit(SETS)).cast("int").alias("a"), F.ceil(F.sum("n") / F.lit(SHINGLES)).cast("int").alias("b"))
+        wide = cut(wide.join(rest.select("group", F.greatest("a", "b").alias("rests")), "group").select("same", "node", "h1", "n", "group", "parts", "mine", "apart", "rests"))
+        rest_part = F.pmod(F.xxhash64("same", F.lit(1)), F.col("rests")).cast("int")
+        others = sets_of(wide).withColumn("pair", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("part", F.col("mine"))
+        own = sets_of(wide.filter("apart")).withColumn("pair", rest_part).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        names = ["task", "node", "same", "shingles"]
+        both = [x.withColumn("task", F.xxhash64("group", "pair", "part")).select(*names) for x in (others, own)]
+        edges = edges.union(compared(both[0].union(both[1])))
+    linked = connected_components(edges)
     nodes = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
-    return marked.join(nodes.join(lowest, "component").select("same", "component_id"), "same").select("id", "component_id")
+    rows = marked.join(nodes.join(lowest, "component").select("same", "component", "component_id"), "same")
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "h1", "h2")
+    first = cut(rows.groupBy("component").agg(F.min(order).alias("first")))
+    return rows.join(first, "component").select("id", "h1", "h2", "component_id", (order == F.col("first")).alias("kept"))
+
+
+def row_hashes(id_col: str, text_col: str) -> list:
+    """``h1`` and ``h2``, which tell rows apart by id and text."""
+    parts = [F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.lit("\x1f"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))]
+    return [F.xxhash64(F.lit(n), *parts).alias(f"h{n}") for n in (1, 2)]
 
 
 def hex_of(fp: str = "fp"):

@@ -128,14 +128,18 @@ def test_near_duplicates_are_the_pairs_of_brute_force(spark):
     texts += [" ".join(words[10 * k :] + [f"u{x}" for x in range(10 * k)]) for k in range(6)]  # a chain
     want = linked(texts, 0.8)
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
-    docs = spark.createDataFrame([*rows, rows[3], (None, texts[1], "en", "s")], "doc_id long, text string, lang string, source string")
-    kept = [r.doc_id for r in corpus_pipeline.near_duplicate_filter(spark, docs, "").collect()]
-    assert sorted(x for x in kept if x is not None) == sorted(set(want)) and kept.count(None) == 1
+    # a repeated row, a copy without id, texts without id of their own, two texts under one id, null and empty texts
+    odd = [rows[3], (None, texts[1], "en", "s"), (None, "only one without an id", "en", "s"), (None, "only one without an id", None, None), (0, "another text under the first id", "en", "s"), (900, None, "en", "s"), (901, "", None, "s")]
+    docs = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.near_duplicate_filter(spark, docs, "").collect()
+    found = Counter((r.doc_id, r.text) for r in kept)
+    assert found == Counter([*((i, texts[i]) for i in set(want)), (None, "only one without an id"), (0, "another text under the first id"), (900, None)])
 
 
 def test_sets_of_large_groups_are_compared_over_chunks(spark, monkeypatch):
     rng = np.random.default_rng(12)
     texts = [" ".join(edited(rng, [f"{n % 2}w{x}" for x in range(400)], 3)) for n in range(60)]
+    texts += [" ".join(edited(rng, texts[0].split(), 1)[k:]) for k in range(0, 60, 5)]  # chains away from the first sets
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = linked(texts, 0.87)
     monkeypatch.setattr(simhash, "SETS", 8)
@@ -336,3 +340,21 @@ def test_quotes_link_as_by_hand(spark):
         assert (key[r.parent_id] if r.parent_kind == "quote" else None) == parent, r
     assert want[30, 1][2] == (20, 0) == want[20, 3][2] and want[50, 1][2] == want[50, 2][2] == (50, 0)
     assert quotes.reply_order(table.limit(0)).count() == 0
+
+
+def test_recall_at_the_least_similarity(spark):
+    rng = np.random.default_rng(13)
+    texts, pairs = [], 200
+    for _ in range(pairs):  # 400 words, 396 shingles; nine changes leave 351 of 441 or a little less than 0.8, eight 0.817
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        texts += [" ".join(words), " ".join(edited(rng, words, 8))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(pairs)) >= 0.95 * pairs
+    # the same with the keys of a table of a billion texts
+    width, n, most = simhash.keys_for(10**9, 0.8, 256, 0.98)
+    fps = np.array([simhash.bits_of(sorted({*simhash.shingles_of(x.encode(), 5)}), 4) for x in texts])
+    met = np.zeros(pairs, bool)
+    for key in simhash.drawn_keys(fps, width, n):
+        met |= key[::2] == key[1::2]
+    assert (met & (simhash.differing(fps[::2], fps[1::2]) <= most)).mean() >= 0.9
