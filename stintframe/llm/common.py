@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,8 +50,16 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers and the driver live on after their largest piece of work."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into slices whose ``column`` (string or binary) holds about ``most`` bytes, never splitting a row."""
+    """Cut Arrow batches into slices whose ``column`` (string or binary) holds about ``most`` bytes, never splitting a row.
+    After the last one, freed memory goes back to the system."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
         sizes = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False)
@@ -62,6 +71,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+    release()
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:

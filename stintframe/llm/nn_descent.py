@@ -28,7 +28,7 @@ START_BLOCK, BLOCK = 256, 1024
 MARGIN = 0.004
 #: True links on which an audit rests, unless there are fewer.
 AUDITED = 400
-#: Candidates that a local join returns per member, besides all near the threshold.
+#: Candidates that a local join returns per member; near the threshold it returns as many as a list holds.
 BEST = 4
 
 
@@ -76,8 +76,11 @@ def bridges(near: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([a, i[open_]]), np.concatenate([b, j[open_]])
 
 
-def _compare(key: str, best: int, threshold: float) -> Callable:
-    """Compare the members of each group with each other; columns: key, id, half (vector), low (worst of its list)."""
+def _compare(key: str, best: int, k: int, threshold: float) -> Callable:
+    """Compare the members of each group with each other; columns: key, id, half (vector), low (worst of its list).
+
+    A member gets its ``best`` others, up to ``k`` near the threshold, and its part in the bridges, so the rows made stay in
+    proportion to the members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, key):
@@ -90,12 +93,13 @@ def _compare(key: str, best: int, threshold: float) -> Callable:
                 near = x[a:b] @ x[a:b].T
                 np.fill_diagonal(near, -2)
                 near[ids[a:b][:, None] == ids[a:b][None, :]] = -2
-                if b - a > best + 1:
-                    floor = np.partition(near, b - a - best, axis=1)[:, b - a - best]
-                    floor = np.minimum(floor, threshold - MARGIN)
-                else:
-                    floor = np.full(b - a, -1.5, np.float32)
-                i, j = np.nonzero((near >= floor[:, None]) & (near > low[a:b][:, None]))
+                most = min(k, b - a - 1)
+                top = np.argpartition(-near, most - 1, axis=1)[:, :most]
+                value = np.take_along_axis(near, top, axis=1)
+                rank = np.argsort(np.argsort(-value, axis=1, kind="stable"), axis=1)
+                wanted = ((rank < best) | (value >= threshold - MARGIN)) & (value > low[a:b][:, None]) & (value > -1.5)
+                i, place = np.nonzero(wanted)
+                j = top[i, place]
                 u.append(ids[a:b][i])
                 v.append(ids[a:b][j])
                 s.append(near[i, j])
@@ -132,7 +136,7 @@ def start_graph(points: DataFrame, count: int, dim: int, k: int, trees: int, see
     sizes = coded.groupBy("code").agg(F.count("*").alias("size"))
     parts = F.ceil(F.col("size") / F.lit(4 * START_BLOCK))
     blocks = coded.join(sizes, "code").select(F.xxhash64("code", F.pmod(F.xxhash64("id", "code"), parts)).alias("block"), "id", "half", F.lit(-2.0).cast("float").alias("low"))
-    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_compare("block", k, threshold), EDGES)
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_compare("block", k, k, threshold), EDGES)
 
 
 def improve(graph: DataFrame, points: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +150,7 @@ def improve(graph: DataFrame, points: DataFrame, k: int, threshold: float) -> tu
     worst = worst.select(F.col("u").alias("id"), F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("low"))
     members = around.join(active, "u", "left_semi").select("u", F.col("v").alias("id")).distinct()
     members = members.join(points.select("id", "half").join(worst, "id"), "id")
-    found = cut(members.repartition("u").sortWithinPartitions("u").mapInArrow(_compare("u", BEST, threshold), EDGES))
+    found = cut(members.repartition("u").sortWithinPartitions("u").mapInArrow(_compare("u", BEST, k, threshold), EDGES))
     return best_lists(graph.withColumn("old", F.lit(True)).unionByName(_listed(found)), k), _bridged(found)
 
 
@@ -275,7 +279,7 @@ def near_duplicates(
     fine = usable(vectors, id_col, vector_col)
     top = fine.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = top.dim if top else 0
-    digest = [F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2")]
+    digest = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]  # the seed of the second goes in first
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -88,10 +88,10 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at, out_names = kept.columns.index(text_col), [*kept.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(iter([batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])]), f"c{at}"):
-                found = zip(*[measure(x or "") for x in part.column(at).to_pylist()], strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.int64()) for x in found)], out_names)
+        named = (batch.rename_columns([f"c{i}" for i in range(batch.num_columns)]) for batch in batches)
+        for part in slices(named, f"c{at}"):
+            found = zip(*[measure(x or "") for x in part.column(at).to_pylist()], strict=True)
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.int64()) for x in found)], out_names)
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL(COUNTS).fields]))
 

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from contextlib import suppress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -61,9 +60,9 @@ def shard_of(firsts: list[tuple[int, int]], spark) -> Column:
     """The number of the shard that holds the place in columns ``a`` and ``b``; only these two longs pass through Python."""
     held = spark.sparkContext.broadcast(np.array(firsts, np.int64).reshape(-1, 2))  # 16 bytes a shard
 
-    @F.pandas_udf("int")
-    def number(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(numbers(held.value, a.to_numpy(), b.to_numpy()), dtype="int32")
+    @F.arrow_udf("int")
+    def number(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(numbers(held.value, a.to_numpy(), b.to_numpy()))
 
     return number("a", "b")
 

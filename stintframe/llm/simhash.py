@@ -245,10 +245,27 @@ def near_duplicates(
     return marked.join(nodes.join(lowest, "component").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-def shingle_set(shingles: list[bytes]) -> np.ndarray:
-    """The different shingles by their XXH64 hashes, ascending."""
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(x, SEED) for x in shingles), "<u8", len(shingles)))
+def digests(shingles: list[bytes], seed: int) -> np.ndarray:
+    """128 hashed bits of each shingle, as two 64-bit numbers."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(x, seed) for x in shingles]), "<u8").reshape(-1, 2)
+
+
+def shingle_set(shingles: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles by 64 hashed bits, ascending, and the place of each."""
+    return np.unique(digests(shingles, SEED)[:, 0], return_index=True)
+
+
+def set_bits(shingles: list[bytes], places: np.ndarray, words64: int) -> np.ndarray:
+    """The fingerprint of a set of shingles, each counted once."""
+    once = [shingles[i] for i in places.tolist()]
+    n, words = len(once), []
+    for seed in range(SEED, SEED + -(-words64 // 2)):
+        ones = np.zeros(128, np.int64)
+        for k in range(0, n, 32768):
+            ones += np.unpackbits(digests(once[k : k + 32768], seed).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        words.append(np.packbits(2 * ones > n, bitorder="little").view("<u8"))
+    return np.concatenate(words)[:words64]
 
 
 def similar_in(sets: list[np.ndarray], least: float) -> np.ndarray:
@@ -304,11 +321,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def mark(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            shingles = [sorted({*shingles_of(x or b"", shingle_words)}) for x in batch.column("text").to_pylist()]
-            sets = [shingle_set(x) for x in shingles]
+            sets, bits = [], []
+            for text in batch.column("text").to_pylist():
+                shingles = shingles_of(text or b"", shingle_words)
+                values, places = shingle_set(shingles)
+                sets.append(values)
+                if full:
+                    bits.append(set_bits(shingles, places, words64).astype("<u8").tobytes())
             digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             if full:
-                fps = pa.array([bits_of(x, words64).astype("<u8").tobytes() for x in shingles], pa.binary())
+                fps = pa.array(bits, pa.binary())
                 n = pa.array([len(x) for x in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h1", "h2")), digest, fps, n], ["id", "h1", "h2", "same", "fp", "n"])
             else:

@@ -17,10 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 from .pieces import MARK, pieces
-from .wordunits import split
-
-#: Words that a worker remembers, none longer than so many characters; beyond it the memory is emptied.
-REMEMBERED, LONGEST = 200_000, 64
+from .wordunits import Memory, split
 
 
 class Automaton:
@@ -78,8 +75,10 @@ class Automaton:
 
 
 @cache
-def automaton(path: str) -> tuple[Automaton, dict[str, int]]:
-    return Automaton([*pieces(path).ids]), {}
+def counts(path: str) -> Memory:
+    """The piece counts of units, one memory per worker process and file."""
+    counter = Automaton([*pieces(path).ids])
+    return Memory(lambda units: (np.fromiter((counter.count(MARK + x.replace(" ", MARK)) for x in units), np.int64, len(units)),))
 
 
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,21 +91,12 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, memory = automaton(model)
+        memory = counts(model)
         for batch in slices(batches, "text"):
             units = split(batch.column("text"), every_space=False)
-            unique = units.unique
-            found = [memory.get(x) for x in unique]
-            for i, n in enumerate(found):
-                if n is None:
-                    x = unique[i]
-                    found[i] = n = counter.count(MARK + x.replace(" ", MARK))
-                    if len(x) <= LONGEST:
-                        memory[x] = n
-            if len(memory) > REMEMBERED:
-                memory.clear()
-            counts = np.array(found, np.int64)[units.codes]
-            total = np.add.reduceat(np.r_[counts, 0], units.offsets[:-1]) if batch.num_rows else np.zeros(0, np.int64)
+            (found,) = memory.look_up(units.dictionary)
+            found = found[units.codes]
+            total = np.add.reduceat(np.r_[found, 0], units.offsets[:-1]) if batch.num_rows else np.zeros(0, np.int64)
             empty = (pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) == 0
             words = np.where(empty, 0, pa.compute.count_substring(batch.column("text").fill_null(""), " ").to_numpy(zero_copy_only=False) + 1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words), pa.array(np.where(empty, 0, total))], ["doc_id", "n_words", "n_pieces"])

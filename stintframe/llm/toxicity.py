@@ -10,6 +10,7 @@ into longer and longer ones, which are as clean: weak evidence must not add up w
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 from zlib import crc32
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices
-from .wordunits import split, spread
+from .common import release, slices
+from .wordunits import Memory, split, spread
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Features are words (marked by an end) and their first letters in these numbers.
@@ -30,8 +31,6 @@ BEGINNINGS = (4, 5, 6)
 #: A feature is fitted if its share of toxic documents exceeds the sample's by so many standard errors, and is so many
 #: times its share of the others.
 EVIDENCE, TIMES = 4.0, 3.0
-#: Units that a worker remembers while it scores a task's texts; beyond it the memory is emptied.
-REMEMBERED = 100_000
 #: Clean documents that are joined into one.
 JOINED = (4, 16, 64, 256, 1024)
 #: What ends a sentence, quotes and brackets that may follow it, and marks that need no space after them.
@@ -51,13 +50,13 @@ class Sentences(NamedTuple):
     """Units of texts and the sentence of each; sentences are numbered through, and ``text_of`` has the text of each."""
 
     codes: np.ndarray
-    unique: list[str]
+    dictionary: pa.Array
     sentence: np.ndarray
     text_of: np.ndarray
 
     def text(self, k: int) -> str:
         a, b = np.searchsorted(self.sentence, [k, k + 1])
-        return " ".join(self.unique[c] for c in self.codes[a:b]).strip()
+        return " ".join(self.dictionary.take(pa.array(self.codes[a:b])).to_pylist()).strip()
 
 
 def sentences(texts: pa.Array) -> Sentences:
@@ -68,11 +67,11 @@ def sentences(texts: pa.Array) -> Sentences:
         texts = pc.replace_substring(texts, mark, mark + " ")
     units = split(texts, every_space=True)
     marks = (*ENDS, *FULL_WIDTH, "\n")
-    ends = np.fromiter((x.rstrip(CLOSING).endswith(marks) for x in units.unique), bool, len(units.unique))[units.codes]
+    ends = np.fromiter((x.rstrip(CLOSING).endswith(marks) for x in units.unique), bool, len(units.dictionary))[units.codes]
     new = np.r_[True, ends[:-1]] | units.first if len(ends) else ends
     sentence = np.cumsum(new) - 1
     text = np.repeat(np.arange(len(units.offsets) - 1), np.diff(units.offsets))
-    return Sentences(units.codes, units.unique, sentence, text[new])
+    return Sentences(units.codes, units.dictionary, sentence, text[new])
 
 
 class Model:
@@ -80,28 +79,25 @@ class Model:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.memory: dict[str, tuple[float, bool, bool]] = {}
+        self.memory = Memory(self._work_out)
 
     def __reduce__(self):
         return Model, (self.weights, self.bias)
 
+    def _work_out(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """Weight of each unit, whether it has a word, and whether one of its features has a weight."""
+        found = [unit_features(x) for x in units]
+        held = [[self.weights[w] for w in x if w in self.weights] for x in found]
+        n = len(units)
+        return np.fromiter(map(sum, held), float, n), np.fromiter(map(bool, found), bool, n), np.fromiter(map(bool, held), bool, n)
+
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str | None], np.ndarray]:
         """Of each text: noisy-or of its sentences; number, text and probability of its worst one (-1, null and 0 without
         any word)."""
-        memory, weights = self.memory, self.weights
-        if len(memory) > REMEMBERED:
-            memory.clear()
         parts = sentences(texts)
-        for x in parts.unique:
-            if x not in memory:
-                found = unit_features(x)
-                held = [weights[w] for w in found if w in weights]
-                memory[x] = (sum(held), bool(found), bool(held))
-        pairs = [memory[x] for x in parts.unique]
-        weight = np.fromiter((x for x, _, _ in pairs), float, len(pairs))
-        worded = np.fromiter((x for _, x, _ in pairs), bool, len(pairs))
-        # without weights, the model is its bias alone: labels of one class
-        counted = np.fromiter((x for _, _, x in pairs), bool, len(pairs)) if weights or self.bias < 0 else worded
+        weight, worded, counted = self.memory.look_up(parts.dictionary)
+        if not self.weights and self.bias >= 0:  # without weights, the model is its bias alone: labels of one class
+            counted = worded
         n = len(parts.text_of)
         z = np.bincount(parts.sentence, weight[parts.codes], n) + self.bias
         z[np.bincount(parts.sentence, worded[parts.codes], n) == 0] = -np.inf
@@ -126,20 +122,20 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.
     if len({*labels}) < 2:
         return Model({}, 6.0 if labels and labels[0] else start)
     parts = sentences(pa.array(texts, pa.large_string()))
-    found = [unit_features(x) for x in parts.unique]
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    at, times = spread(parts.codes, np.cumsum(lengths) - lengths, lengths)
-    names = sorted({i for x in found for i in x})
-    number = dict(zip(names, range(len(names)), strict=True))
-    word = np.fromiter((number[i] for x in found for i in x), np.int32)[at]
-    del at, found, number
-    of, doc_of, n = np.repeat(parts.sentence.astype(np.int32), times), parts.text_of, len(parts.text_of)
-    seen = word * np.int64(len(texts))
-    seen += doc_of[of]
-    seen.sort()
-    seen = seen[np.r_[True, seen[1:] != seen[:-1]]]  # each feature of each document once
-    feature, doc = (seen // len(texts)).astype(np.int32), (seen % len(texts)).astype(np.int32)
-    del seen
+    names: dict[str, int] = {}
+    features, lengths = array("i"), array("q")
+    for x in parts.dictionary.to_pylist():
+        before = len(features)
+        features.extend(names.setdefault(w, len(names)) for w in unit_features(x))
+        lengths.append(len(features) - before)
+    features, lengths = np.frombuffer(features, np.int32), np.frombuffer(lengths, np.int64)
+    doc_of, n = parts.text_of, len(parts.text_of)
+    # each unit of each document once, then each feature
+    held = np.unique(parts.codes * np.int64(len(texts)) + doc_of[parts.sentence])
+    at, times = spread(held // len(texts), np.cumsum(lengths) - lengths, lengths)
+    held = np.unique(features[at] * np.int64(len(texts)) + np.repeat(held % len(texts), times))
+    feature, doc = held // len(texts), held % len(texts)
+    del held, at, times
     toxic = np.bincount(feature, y[doc], len(names))
     count = np.bincount(feature, minlength=len(names))
     del feature, doc
@@ -147,8 +143,13 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.
     good = toxic - count * prior > EVIDENCE * np.sqrt(count * prior * (1 - prior))
     good &= (count > 0) & ((toxic + 0.5) / y.sum() > TIMES * (count - toxic + 0.5) / (1 - y).sum())
     used = np.flatnonzero(good)
-    keep = good[word]
-    word, of = np.searchsorted(used, word[keep]), of[keep]
+    # of the sentences, only the units with such a feature
+    number = np.where(good, np.cumsum(good) - 1, -1)
+    kept = np.add.reduceat(np.r_[good[features], False], np.minimum(np.cumsum(lengths) - lengths, len(features))) * (lengths > 0) > 0
+    held = np.flatnonzero(kept[parts.codes])
+    at, times = spread(parts.codes[held], np.cumsum(lengths) - lengths, lengths)
+    word, of = number[features[at]], np.repeat(parts.sentence[held], times)
+    word, of = word[word >= 0], of[word >= 0]
     counted = np.bincount(of, minlength=n) > 0
     # the documents as bags of their counted sentences, then clean ones joined; either half of the clean share
     sentence, bag = np.flatnonzero(counted), doc_of[counted]
@@ -177,7 +178,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.
         grad[:-1] -= decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    return Model({names[i]: float(x) for i, x in zip(used, w[:-1], strict=True)}, float(w[-1]))
+    named = [*names]
+    return Model({named[i]: float(x) for i, x in zip(used, w[:-1], strict=True)}, float(w[-1]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, most_bytes: int) -> tuple[list[str], list[int]]:
@@ -213,7 +215,9 @@ def held_out(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2400, most_bytes: int = 6 << 20) -> Model:
     """Fit on at most ``most_rows`` labelled documents and ``most_bytes`` of text, the documented bound of the sample."""
-    return fit(*training_rows(docs, labels, most_rows, most_bytes))
+    model = fit(*training_rows(docs, labels, most_rows, most_bytes))
+    release()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -232,13 +236,11 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
-        model.memory.clear()  # a worker that goes on to other work keeps nothing of the last task's
-        for batch in batches:
-            for part in slices(iter([batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])]), f"c{at}"):
-                total, place, where, worst = model.score(part.column(at))
-                new_columns = [pa.array(total), pa.array(place, pa.int32()), pa.array(where, pa.string()), pa.array(worst)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new_columns], out_names)
-        model.memory.clear()
+        named = (batch.rename_columns([f"c{i}" for i in range(batch.num_columns)]) for batch in batches)
+        for part in slices(named, f"c{at}"):
+            total, place, where, worst = model.score(part.column(at))
+            new_columns = [pa.array(total), pa.array(place, pa.int32()), pa.array(where, pa.string()), pa.array(worst)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *new_columns], out_names)
 
     schema = StructType([*kept.schema.fields, *StructType.fromDDL(new).fields])
     return kept.mapInArrow(run, schema)

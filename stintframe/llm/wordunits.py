@@ -7,6 +7,7 @@ then runs once per different unit of a slice, and numpy carries the results back
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -68,3 +69,31 @@ def spread(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[
     ends = np.cumsum(n)
     at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
     return at + np.repeat(starts[codes] - (ends - n), n), n
+
+
+class Memory:
+    """Columns of numbers for units, worked out once per unit and remembered in Arrow up to ``most`` bytes.
+
+    The first units met are remembered, among them all frequent ones.  ``work_out`` gives the columns of a list of units.
+    """
+
+    def __init__(self, work_out: Callable[[list[str]], tuple[np.ndarray, ...]], most: int = 24 << 20):
+        self.work_out, self.most = work_out, most
+        self.units, self.columns = pa.array([], pa.large_string()), None
+
+    def look_up(self, units: pa.Array) -> tuple[np.ndarray, ...]:
+        at = pc.index_in(units, value_set=self.units)
+        unknown = pc.is_null(at)
+        new = units.filter(unknown)
+        found = self.work_out(new.to_pylist())
+        if self.columns is None:
+            self.columns = tuple(x[:0] for x in found)
+        at, unknown = at.fill_null(0).to_numpy(zero_copy_only=False), unknown.to_numpy(zero_copy_only=False)
+        out = tuple(np.zeros(len(units), x.dtype) for x in found)
+        for column, known, fresh in zip(out, self.columns, found, strict=True):
+            column[~unknown] = known[at[~unknown]]
+            column[unknown] = fresh
+        if len(new) and self.units.nbytes + sum(x.nbytes for x in self.columns) < self.most:
+            self.units = pa.concat_arrays([self.units, new])
+            self.columns = tuple(np.concatenate(x) for x in zip(self.columns, found, strict=True))
+        return out
