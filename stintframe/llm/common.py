@@ -102,8 +102,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has long columns ``src`` and ``dst``; loops, repeated edges and edges with a null end are ignored.
     Returns ``node``, ``component`` (smallest node reachable) for every node with an edge to another node.
-    Every step is an aggregation and a join on the same key.  The aggregate is written before it is joined, so that edges are
-    shuffled for the join alone and the adaptive skew join may split a hub; no node's neighbour list is ever gathered.
+    Every step is an aggregation and a join on the same key.  A hub is a node with many greater neighbours; the aggregate of
+    the large-star step is written before it is joined, so that edges are shuffled for the join alone and the adaptive skew
+    join may split a hub.  No node's neighbour list is ever gathered.
     """
     a, b = F.greatest("src", "dst"), F.least("src", "dst")
     edges = cut(edges.filter("src <> dst").select(a.alias("a"), b.alias("b")).distinct())
@@ -111,8 +112,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")))
-        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

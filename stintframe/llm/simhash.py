@@ -39,8 +39,8 @@ SEED = 42
 CHUNK = 1024
 #: Runs up to this length are compared by shifted arrays, longer ones by a bit-distance matrix.
 SHORT_RUN = 32
-#: Different shingle sets of one group of candidates, and shingles of theirs, that a task holds twice at once.
-SETS, SHINGLES = 512, 400_000
+#: Different shingle sets of one group of candidates, and bytes of their texts, that a task holds twice at once.
+SETS, BYTES = 512, 3 << 20
 #: Shingles whose places in the sets of a task are laid out at once.
 COLUMNS = 4096
 #: Different texts that a key of ``similar_documents`` holds by chance, and the least width of keys.
@@ -319,24 +319,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *row_hashes(id_col, text_col))
 
-    def mark(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets, bits = [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingles_of(text or b"", shingle_words)
                 values, places = shingle_set(shingles)
-                sets.append(values)
-                if full:
-                    bits.append(set_bits(shingles, places, words64).astype("<u8").tobytes())
-            digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            if full:
-                fps = pa.array(bits, pa.binary())
-                n = pa.array([len(x) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h1", "h2")), digest, fps, n], ["id", "h1", "h2", "same", "fp", "n"])
-            else:
-                yield pa.RecordBatch.from_arrays([digest, pa.array([x.tobytes() for x in sets], pa.binary())], ["same", "shingles"])
-
-    marked = cut(narrow.mapInArrow(partial(mark, full=True), "id long, h1 long, h2 long, same binary, fp binary, n long"))
+                sets.append(xxhash.xxh3_128_digest(values.tobytes()))
+                bits.append(set_bits(shingles, places, words64).astype("<u8").tobytes())
+            same, fps = pa.array(sets, pa.binary()), pa.array(bits, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h1", "h2", "size")), same, fps], ["id", "h1", "h2", "n", "same", "fp"])
+
+    sized = narrow.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    marked = cut(sized.mapInArrow(mark, "id long, h1 long, h2 long, n long, same binary, fp binary"))
     # as in near_duplicates, but a node has a set of shingles; a fingerprint is that of the set, whatever repeats
     nodes = marked.groupBy("same").agg(F.min("id").alias("low"), F.min("h1").alias("h1"), F.min("fp").alias("fp"), F.min("n").alias("n"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
@@ -344,34 +339,34 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     width, n_keys, most = keys_for(firsts.count(), least, 64 * words64, recall)
     close = close_edges(firsts.withColumnRenamed("first", "node"), most, keys=partial(drawn_keys, width=width, count=n_keys))
     candidates = connected_components(close.union(nodes.join(firsts, "fp").select("first", "node")))
-    member = nodes.join(candidates, "node").select("same", "node", "h1", "n", F.col("component").alias("group"))
-    sizes = member.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(SETS)), F.ceil(F.sum("n") / F.lit(SHINGLES)), F.lit(1)).cast("int").alias("parts"), F.min("node").alias("pivot"))
-    member = cut(member.join(sizes, "group").withColumn("mine", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int")))
+    member = cut(nodes.join(candidates, "node").select("same", "node", "h1", "n", F.col("component").alias("group")))
+    sizes = member.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(SETS)), F.ceil(F.sum("n") / F.lit(BYTES)), F.lit(1)).cast("int").alias("parts"), F.min("node").alias("pivot"))
+    member = cut(member.join(cut(sizes), "group").withColumn("mine", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int")))
 
-    def sets_of(members: DataFrame) -> DataFrame:
-        texts = narrow.join(members.select("h1").distinct(), "h1", "left_semi").select("text")
-        return texts.mapInArrow(partial(mark, full=False), "same binary, shingles binary").join(members, "same")
+    def with_texts(members: DataFrame) -> DataFrame:
+        """The members with the text of each; a repeated row counts once."""
+        return narrow.select("h1", "text").join(members, "h1").dropDuplicates(["h1"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, "task"):
-            node, left, right = batch.column("node").to_numpy(), [], []
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in runs(batch.column("task").to_numpy()):
-                part = batch.slice(a, b - a)
-                once = np.array(sorted({x: i for i, x in enumerate(part.column("same").to_pylist())}.values()))
-                held = part.column("shingles").take(pa.array(once)).to_pylist()
-                i, j = stars(similar_in([np.frombuffer(x, "<u8") for x in held], least))
-                left.append(node[a + once[i]])
-                right.append(node[a + once[j]])
+                node, once = np.unique(batch.column("node").to_numpy()[a:b], return_index=True)
+                if len(node) > 1:
+                    texts = batch.column("text").take(pa.array(a + once)).to_pylist()
+                    i, j = stars(similar_in([shingle_set(shingles_of(x or b"", shingle_words))[0] for x in texts], least))
+                    left.append(node[i])
+                    right.append(node[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], ["src", "dst"])
 
     def compared(dealt: DataFrame) -> DataFrame:
-        dealt = dealt.select("task", "node", "same", "shingles")
+        dealt = dealt.select("task", "node", "text")
         return cut(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "src long, dst long"))
 
     # each part of a group with itself and with the group's first set
     own = F.array(F.col("mine"))
     to = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
-    edges = compared(sets_of(member).withColumn("part", F.explode(to)).withColumn("task", F.xxhash64("group", "part")))
+    edges = compared(with_texts(member).withColumn("part", F.explode(to)).withColumn("task", F.xxhash64("group", "part")))
     # in groups of several parts: what is not linked with that set, with all others
     wide = member.filter("parts > 1")
     if wide.limit(1).count():
@@ -379,12 +374,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         wide = wide.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
         core = wide.filter("node = pivot").select("group", F.col("component").alias("core"))
         wide = wide.join(core, "group").withColumn("apart", F.col("component") != F.col("core"))
-        rest = wide.filter("apart").groupBy("group").agg(F.ceil(F.count("*") / F.lit(SETS)).cast("int").alias("a"), F.ceil(F.sum("n") / F.lit(SHINGLES)).cast("int").alias("b"))
+        rest = wide.filter("apart").groupBy("group").agg(F.ceil(F.count("*") / F.lit(SETS)).cast("int").alias("a"), F.ceil(F.sum("n") / F.lit(BYTES)).cast("int").alias("b"))
         wide = cut(wide.join(rest.select("group", F.greatest("a", "b").alias("rests")), "group").select("same", "node", "h1", "n", "group", "parts", "mine", "apart", "rests"))
         rest_part = F.pmod(F.xxhash64("same", F.lit(1)), F.col("rests")).cast("int")
-        others = sets_of(wide).withColumn("pair", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("part", F.col("mine"))
-        own = sets_of(wide.filter("apart")).withColumn("pair", rest_part).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        names = ["task", "node", "same", "shingles"]
+        others = with_texts(wide).withColumn("pair", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("part", F.col("mine"))
+        own = with_texts(wide.filter("apart")).withColumn("pair", rest_part).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        names = ["task", "node", "text"]
         both = [x.withColumn("task", F.xxhash64("group", "pair", "part")).select(*names) for x in (others, own)]
         edges = edges.union(compared(both[0].union(both[1])))
     linked = connected_components(edges)
