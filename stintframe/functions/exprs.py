@@ -105,9 +105,5 @@ def seconds(interval: Column) -> Column:
     return interval.cast("decimal(18,6)").cast("double")
 
 
-def template(text: str, *columns: Column) -> Column:
-    return F.format_string(text, *columns)
-
-
 def packed(**fields: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in fields.items()])

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import joined
+
 
 @dataclass(frozen=True)
 class Roles:
@@ -107,4 +109,6 @@ def step(df: DataFrame, roles: Roles, column: str, out: str) -> DataFrame:
 
 
 def gap_to_best(df: DataFrame, batch: Sequence[str], column: str, out: str = "gap") -> DataFrame:
-    return df.withColumn(out, F.col(column) - F.min(column).over(Window.partitionBy(*batch)))
+    """The value less its batch's least; aggregated and joined, so that no batch is gathered."""
+    best = df.groupBy(*batch).agg(F.min(column).alias("_best"))
+    return joined(df, best, batch).withColumn(out, F.col(column) - F.col("_best")).drop("_best")

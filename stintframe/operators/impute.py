@@ -5,33 +5,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import quantile
-
-
-def _joined(df: DataFrame, stat: DataFrame, keys: Sequence[str]) -> DataFrame:
-    named = stat.toDF(*[f"_k_{c}" if c in keys else c for c in stat.columns])
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return df.join(named, same, "left").drop(*[f"_k_{c}" for c in keys])
+from .stats import exact_quantiles, joined, quantile
 
 
 def group_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """Null to the group's median, else to the median of all rows."""
+    """Null to the group's median, else to the median of all rows.  A group holds a count per different value in memory, all
+    rows together do not."""
     own = df.groupBy(*keys).agg(*[quantile(F.col(c), 0.5, exact).alias(f"_g_{c}") for c in columns])
-    whole = df.agg(*[quantile(F.col(c), 0.5, exact).alias(f"_a_{c}") for c in columns])
-    out = _joined(df, own, keys).crossJoin(F.broadcast(whole))  # one row
+    out = joined(df, own, keys)
+    for c in columns:
+        out = joined(out, _median(df, c, exact).withColumnRenamed("_a", f"_a_{c}"), [])
     filled = {c: F.coalesce(c, f"_g_{c}", f"_a_{c}") for c in columns}
     return out.withColumns(filled).select(*df.columns)
 
 
+def _median(df: DataFrame, column: str, exact: bool) -> DataFrame:
+    """One row ``_a``; none if there is no value."""
+    if not exact:
+        return df.agg(quantile(F.col(column), 0.5, False).alias("_a"))
+    return exact_quantiles(df, [], column, [0.5]).select(F.col("q")[0].alias("_a"))
+
+
 def group_mode(df: DataFrame, keys: Sequence[str], column: str, default) -> DataFrame:
     """Null to the group's most frequent value (the smallest on ties), else to ``default``."""
     own = df.groupBy(*keys).agg(F.mode(column, True).alias("_mode"))
-    return _joined(df, own, keys).withColumn(column, F.coalesce(column, "_mode", F.lit(default))).select(*df.columns)
+    return joined(df, own, keys).withColumn(column, F.coalesce(column, "_mode", F.lit(default))).select(*df.columns)
 
 
 def constants(df: DataFrame, values: dict) -> DataFrame:
@@ -39,9 +40,4 @@ def constants(df: DataFrame, values: dict) -> DataFrame:
 
 
 def global_median(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
-    whole = df.agg(quantile(F.col(column), 0.5, exact).alias("_a"))
-    return df.crossJoin(F.broadcast(whole)).withColumn(column, F.coalesce(column, "_a")).drop("_a")  # one row
-
-
-def filled_from(c: Column, *others: Column) -> Column:
-    return F.coalesce(c, *others)
+    return joined(df, _median(df, column, exact), []).withColumn(column, F.coalesce(column, "_a")).drop("_a")

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from .stats import joined
 
 # Codes and lives of the three compounds.
 COMPOUND_CODE = {"SOFT": 1, "MEDIUM": 2, "HARD": 3}
 COMPOUND_LIFE = {"SOFT": 40, "MEDIUM": 50, "HARD": 60}
-PHASES = ([0, 15, 40, 100], ["early", "mid", "late"])
+PHASES = ([0, 15, 40, 100], ["Early", "Middle", "Late"])
 
 
 def compound_features(df: DataFrame, compound: str, age: str) -> DataFrame:
@@ -39,14 +40,22 @@ def slopes(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
 
 
 def progress(df: DataFrame, batch: Sequence[str], lap: str) -> DataFrame:
-    most = F.max(lap).over(Window.partitionBy(*batch))
-    return df.select("*", most.alias("max_lap"), (most - F.col(lap)).alias("laps_left"), (F.col(lap) / most).alias("progress"), (1 - F.col(lap) / most).alias("fuel"))
+    """Laps of the batch, laps left, share done, and the fuel that goes with it; aggregated and joined."""
+    out = joined(df, df.groupBy(*batch).agg(F.max(lap).alias("max_lap")), batch)
+    most = F.col("max_lap")
+    return out.select(*df.columns, "max_lap", (most - F.col(lap)).alias("laps_left"), (F.col(lap) / most).alias("progress"), (1 - F.col(lap) / most).alias("fuel"))
 
 
 def phase(lap: Column) -> Column:
     return E.binned(lap, *PHASES)
 
 
+def phase_code(lap: Column) -> Column:
+    """The phase as a number from 0, null outside."""
+    edges, labels = PHASES
+    return E.binned(lap, edges, [str(i) for i in range(len(labels))]).cast("int")
+
+
 def recent_pace(df: DataFrame, entity: Sequence[str], order: Sequence[str], column: str, means: Sequence[int] = (3, 5), deviation: int = 5) -> DataFrame:
     """Means and deviation over the rows before the current one."""
     w = Window.partitionBy(*entity).orderBy(*order)
@@ -55,11 +64,19 @@ def recent_pace(df: DataFrame, entity: Sequence[str], order: Sequence[str], colu
 
 
 def against_group(df: DataFrame, batch: Sequence[str], group: Sequence[str], entity: Sequence[str], column: str) -> DataFrame:
-    """Means of the group and of the entity within the batch, their difference, and percent off the batch's best."""
-    team = F.avg(column).over(Window.partitionBy(*batch, *group))
-    own = F.avg(column).over(Window.partitionBy(*batch, *entity))
-    best = F.min(column).over(Window.partitionBy(*batch))
-    return df.select("*", team.alias("group_mean"), (own - team).alias("versus_group"), ((F.col(column) / best - 1) * 100).alias("off_best"))
+    """Means of the group and of the entity within the batch, their difference, and percent off the batch's best; aggregated
+    and joined, so that no batch is gathered."""
+    batch, group, entity = [*batch], [*group], [*entity]
+    out = joined(df, df.groupBy(*batch, *group).agg(F.avg(column).alias("group_mean")), [*batch, *group])
+    out = joined(out, df.groupBy(*batch, *entity).agg(F.avg(column).alias("_own")), [*batch, *entity])
+    out = joined(out, df.groupBy(*batch).agg(F.min(column).alias("_best")), batch)
+    return out.select(*df.columns, "group_mean", (F.col("_own") - F.col("group_mean")).alias("versus_group"), ((F.col(column) / F.col("_best") - 1) * 100).alias("off_best"))
+
+
+def cumulative_time(df: DataFrame, entity: Sequence[str], order: Sequence[str], column: str) -> DataFrame:
+    """``clock``: the entity's time so far, its current row included."""
+    w = Window.partitionBy(*entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("clock", F.sum(column).over(w))
 
 
 def neighbours(df: DataFrame, batch: Sequence[str], clock: str, tie: str, within: float, close: float = 1.0) -> DataFrame:
@@ -67,7 +84,8 @@ def neighbours(df: DataFrame, batch: Sequence[str], clock: str, tie: str, within
     ahead is under ``close``."""
     w = Window.partitionBy(*batch).orderBy(clock, tie)
     ahead = F.col(clock) - F.lag(clock).over(w)
-    near = F.expr(f"count(*) over (partition by {', '.join(batch)} order by {clock} range between {within}D preceding and {within}D following)")
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    near = F.expr(f"count(*) over (partition by {', '.join(map(quoted, batch))} order by {quoted(clock)} range between {within}D preceding and {within}D following)")
     return df.select("*", ahead.alias("gap_ahead"), (F.lead(clock).over(w) - F.col(clock)).alias("gap_behind"), (near - 1).alias("traffic"), E.flag(ahead < close).alias("in_reach"))
 
 

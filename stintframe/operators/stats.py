@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,46 @@ def quantile(c: Column, q: float | Sequence[float], exact: bool = True) -> Colum
     return F.percentile(c, q) if exact else F.percentile_approx(c, q, ACCURACY)
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, qs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
+    """``keys`` and ``q``, the array of interpolated quantiles, exact in two passes and bounded memory.
+
+    A bounded sketch brackets each quantile's rank; then values below the bracket are only counted, and those within it (some
+    4 / ``accuracy`` of the rows) are counted by value and ranked.  A key without values has no row; without keys
+    there is one row, whose ``q`` is null if there are no values.
+    """
+    keys = [*keys]
+    v = F.col(column).cast("double")
+    rows = df.filter(v.isNotNull()).select(*keys, v.alias("_v"))
+    around = [min(max(q + side * 2 / accuracy, 0.0), 1.0) for q in qs for side in (-1, 1)]
+    marks = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*map(F.lit, around)), accuracy).alias("_m"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    # the ends of the range need no sketch, and in few rows the sketch's error is less than a rank
+    few = F.col("_n") < 2 * accuracy
+    sides = [F.col(end) if x in (0.0, 1.0) else F.when(few, F.col(end)).otherwise(F.col("_m")[i]) for i, (x, end) in enumerate(zip(around, ["_min", "_max"] * len(qs), strict=True))]
+    spans = [F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("_n") - 1)).alias("rank"), sides[2 * i].alias("lo"), sides[2 * i + 1].alias("hi")) for i, q in enumerate(qs)]
+    marks = marks.select(*keys, F.array(*spans).alias("_spans"))
+    rows = joined(rows, marks, keys, "inner").select(*keys, "_v", F.explode("_spans").alias("_s")).filter("_v <= _s.hi")
+    inside = F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v"))  # null for all values below
+    counts = rows.groupBy(*keys, F.col("_s.i").alias("_i"), F.col("_s.rank").alias("_rank"), inside.alias("_v")).agg(F.count("*").alias("_c"))
+    reached = F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v")))
+    counts = counts.withColumn("_r", reached)
+    at = lambda rank: F.min(F.when(F.col("_r") > rank, F.col("_v")))
+    low, high, part = at(F.floor("_rank")), at(F.ceil("_rank")), F.first("_rank") - F.floor(F.first("_rank"))
+    found = counts.groupBy(*keys, "_i").agg((low + (high - low) * part).alias("_q"))
+    q = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"])
+    return found.groupBy(*keys).agg(F.when(F.count("*") > 0, q).alias("q"))
+
+
+def joined(df: DataFrame, stat: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``df`` with the columns of ``stat``, joined on ``keys``, nulls being equal; without keys ``stat`` is one row."""
+    if not keys:
+        return df.join(F.broadcast(stat), F.lit(True), how)  # one row
+    named = stat.toDF(*[f"_k_{c}" if c in keys else c for c in stat.columns])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return df.join(named, same, how).drop(*[f"_k_{c}" for c in keys])
+
+
 def value_counts(df: DataFrame, *keys: str) -> DataFrame:
     """``n`` per key, largest first; null keys are left out."""
     return df.dropna("any", subset=[*keys]).groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys)
@@ -62,7 +103,7 @@ def share(df: DataFrame, key: str) -> DataFrame:
 
 def fences(df: DataFrame, column: str, k: float = 1.5, exact: bool = True) -> DataFrame:
     """One row: quartiles, inter-quartile range and Tukey's fences."""
-    q = df.agg(quantile(F.col(column), [0.25, 0.5, 0.75], exact).alias("q"))
+    q = exact_quantiles(df, [], column, [0.25, 0.5, 0.75]) if exact else df.agg(quantile(F.col(column), [0.25, 0.5, 0.75], False).alias("q"))
     q = q.select(*[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     iqr = F.col("q3") - F.col("q1")
     return q.select("*", iqr.alias("iqr"), (F.col("q1") - k * iqr).alias("lower"), (F.col("q3") + k * iqr).alias("upper"))
@@ -89,12 +130,16 @@ def correlations(df: DataFrame, columns: Sequence[str], listwise: bool = False)
 
 
 def describe(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """Per column: n, mean, std, min, quartiles, max; in one pass."""
+    """Per column: n, mean, std, min, quartiles, max; moments in one pass, exact quartiles in two more a column."""
     parts = []
     for c in columns:
         v = F.col(c).cast("double")
-        parts.append(F.struct(F.lit(c).alias("name"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), quantile(v, [0.25, 0.5, 0.75], exact).alias("q"), F.max(v).alias("max")))
+        q = F.lit(None).cast("array<double>") if exact else quantile(v, [0.25, 0.5, 0.75], False)
+        parts.append(F.struct(F.lit(c).alias("name"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max")))
     x = df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    if exact:
+        found = [exact_quantiles(df, [], c, [0.25, 0.5, 0.75]).select(F.lit(c).alias("name"), "q") for c in columns]
+        x = x.drop("q").join(F.broadcast(reduce(DataFrame.union, found)), "name", "left")  # a row a column
     return x.select("name", "n", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
 
 
@@ -110,10 +155,6 @@ def confidence_interval(df: DataFrame, key: str, column: str, z: float = 1.96) -
     return by_key(df, [key], mean=F.avg(c), low=F.avg(c) - half, high=F.avg(c) + half)
 
 
-def bounds(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-
-
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """``bin`` (1 to bins, the maximum in the last), ``lo``, ``n`` for the bins that have rows."""
     edges = F.broadcast(df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")))  # one row
@@ -150,8 +191,3 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str, va
 def score_summary(scores: DataFrame) -> DataFrame:
     """Mean and population deviation of ``value`` per (model, metric)."""
     return scores.groupBy("model", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-
-
-def latest_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("rank", F.row_number().over(w))

@@ -28,8 +28,9 @@ def clean_qualifying(qualifying: DataFrame, batch: Sequence[str] = BATCH, impute
 
 
 def clean_laps(table: DataFrame) -> DataFrame:
-    """Lap times to the batch's median, compounds to its mode, ages to 0, positions forward within the driver, else 15."""
-    out = impute.group_median(table, BATCH, ["LapTime_seconds"])
+    """Lap times to the driver's median in the batch, compounds to the batch's mode, ages to 0, positions forward within the
+    driver, else 15."""
+    out = impute.group_median(table, KEYS, ["LapTime_seconds"])
     out = impute.group_mode(out, BATCH, "TireCompound", "MEDIUM")
     out = impute.constants(out, {"TireAge": 0.0})
     return form.forward_fill(out, Roles(entity=KEYS, order=["LapNumber"]), "Position", 15.0)
@@ -85,15 +86,36 @@ def result_form(results: DataFrame, n: int = 6, include_current: bool = True) ->
 
 
 def score_next_event(results: DataFrame, model: PipelineModel | None = None, n: int = 6, season: int | None = None, k: int = 20) -> DataFrame:
-    """Each driver's predicted position from the latest form, best first; without a model the mean position is the forecast."""
+    """Each driver's predicted position from the latest form, best first; without a model the mean position is the forecast.
+
+    Drivers without a mean position are left out.  Rates that the table lacks are null in ``recent_form``.  ``driver_win_rate``
+    is shown times 100, as callers know it, whatever its unit.  ``confidence`` is a constant.
+    """
     rows = results if season is None else results.filter(F.col("Year") == season)
     rolled = result_form(rows, n)
     columns = [c for c in rolled.columns if c not in ("Driver", *BATCH)]
-    last = form.latest(rolled, RESULT_ROLES, columns)
+    last = form.latest(rolled, RESULT_ROLES, columns).filter(F.col("avg_position_last").isNotNull())
     scored = model.transform(last).withColumnRenamed("prediction", "predicted") if model else last.withColumn("predicted", F.col("avg_position_last"))
-    record = E.packed(avg_position=F.round("avg_position_last", 2), best_position=F.col("best_position_last"), podiums=F.col("podiums_last"), dnfs=F.col("dnf_last"), reliability=F.round("reliability", 3), trend=F.round("form_trend", 2))
-    shown = scored.select(F.round(E.clamped(F.col("predicted"), 1, 20), 2).alias("predicted_position"), F.col("Driver").alias("driver"), F.col("Team").alias("team"), E.tier(F.col("avg_position_last"), [5, 10], ["high", "medium", "low"]).alias("confidence"), record.alias("recent_form"))
-    return stats.top_k(shown, k, "predicted_position", "driver", ascending=True)
+
+    def shown(c: str, digits: int, times: float = 1.0):
+        return F.round(F.col(c) * times, digits) if c in rolled.columns else F.lit(None).cast("double")
+
+    record = E.packed(
+        avg_position=shown("avg_position_last", 2),
+        best_position=F.col("best_position_last").cast("int"),
+        podiums=F.col("podiums_last").cast("int"),
+        wins=F.col("wins_last").cast("int"),
+        dnfs=F.col("dnf_last").cast("int"),
+        reliability=shown("reliability", 1, 100.0),
+        form_trend=shown("form_trend", 2),
+        driver_win_rate=shown("driver_win_rate", 1, 100.0),
+        team_reliability=shown("team_reliability", 1),
+        quali_performance=shown("QualifyingPerformance", 2),
+    )
+    out = scored.select(F.round("predicted", 2).alias("predicted_position"), F.col("Driver").alias("driver"), F.col("Team").alias("team"), F.lit(0.85).alias("confidence"), record.alias("recent_form"))
+    out = stats.top_k(out, k, "predicted_position", "driver", ascending=True)
+    made = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm").alias("prediction_date")
+    return out.select("*", made, F.lit(f"Next event (based on last {n} events)").alias("next_event"))
 
 
 def score_win(df: DataFrame, model: PipelineModel, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -105,11 +127,28 @@ def score_win(df: DataFrame, model: PipelineModel, required: Sequence[str]) -> t
     return scored, bad
 
 
-def lap_defaults(df: DataFrame) -> DataFrame:
-    """Derived and default values of the optional lap columns, where missing."""
-    return laps.compound_features(df, "TireCompound", "TireAge")
+def lap_defaults(df: DataFrame, pace: float = 95.0) -> DataFrame:
+    """The optional lap columns, derived or by default where they are absent or null; supplied values stay."""
+
+    def filled(table: DataFrame, **defaults) -> DataFrame:
+        kinds = dict(table.dtypes)
+        return table.withColumns({c: F.coalesce(F.col(c), d.cast(kinds[c])) if c in kinds else d for c, d in defaults.items()})
+
+    compound, age = F.upper("TireCompound"), F.col("TireAge")
+    out = filled(df, TireCompound_encoded=E.mapped(compound, laps.COMPOUND_CODE, 2), MaxTireLife=E.mapped(compound, laps.COMPOUND_LIFE, 50))
+    life = F.col("MaxTireLife")
+    out = filled(out, TireLifeRemaining=E.life_left(age, life), TireDegradationRate=F.lit(0.0), IsFreshTire=E.fresh(age), TireWearPct=E.wear(age, life), StintLapNumber=age)
+    out = filled(out, OldTiresIndicator=E.flag(F.col("TireWearPct") > 80))
+    # without both recent means, all three paces are the default
+    means = ["RollingAvgLapTime_3", "RollingAvgLapTime_5"]
+    have = F.lit(True)
+    for c in means:
+        have = have & (F.col(c).isNotNull() if c in out.columns else F.lit(False))
+    paces = {c: F.when(have, F.col(c) if c in out.columns else F.lit(None)).otherwise(F.lit(pace)).cast("double") for c in [*means, "TeamAvgPace"]}
+    return out.withColumns(paces)
 
 
 def score_lap_time(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """``df`` with the predicted time, its text, and the tire's state."""
     scored = model.transform(lap_defaults(df))
-    return scored.select(*df.columns, F.round("prediction", 3).alias("lap_time"), E.duration(F.col("prediction")).alias("formatted"), F.round("wear", 1).alias("wear"), (F.col("fresh") == 1).alias("fresh"), "life_left")
+    return scored.select(*df.columns, F.round("prediction", 3).alias("lap_time"), E.duration(F.col("prediction")).alias("formatted"), F.round("TireWearPct", 1).alias("wear"), (F.col("IsFreshTire") == 1).alias("fresh"), F.col("TireLifeRemaining").cast("int").alias("life_left"))

@@ -76,7 +76,8 @@ def classifiers(label: str, weight: str | None = "weight", trees: int = 100, rou
 
 def cross_validate(df: DataFrame, stages: list, models: dict, label: str, folds: int = 5) -> DataFrame:
     """``model``, ``metric`` (accuracy, f1 of class 1), ``fold``, ``value``; ``df`` has ``fold``."""
-    df = df.cache()
+    cached = not df.is_cached
+    df = df.cache() if cached else df
     metrics = {"accuracy": MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"), "f1": MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)}
     rows = []
     for fold in range(folds):
@@ -85,7 +86,8 @@ def cross_validate(df: DataFrame, stages: list, models: dict, label: str, folds:
             scored = Pipeline(stages=[*stages, model]).fit(train).transform(test).cache()
             rows += [(name, metric, fold, float(e.evaluate(scored))) for metric, e in metrics.items()]
             scored.unpersist()
-    df.unpersist()
+    if cached:
+        df.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, metric string, fold int, value double")
 
 

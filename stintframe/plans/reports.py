@@ -56,8 +56,10 @@ def distribution_of_top(df: DataFrame, group: str, column: str, k: int = 6) -> D
 
 
 def quartiles_by(df: DataFrame, key: str, column: str) -> DataFrame:
-    q = stats.quantile(F.col(column), [0.25, 0.5, 0.75])
-    out = stats.by_key(df, [key], n=F.count(column), least=F.min(column), q=q, most=F.max(column))
+    """Count, least, quartiles and most per key; quartiles are ranked within brackets, so a large group is not gathered."""
+    out = stats.by_key(df, [key], n=F.count(column), least=F.min(column), most=F.max(column))
+    q = stats.exact_quantiles(df.dropna("any", subset=[key]), [key], column, [0.25, 0.5, 0.75])
+    out = stats.joined(out, q, [key])
     return out.select(key, "n", "least", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "most")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import exprs as E
 from .operators import form, impute, laps, stats, validate
 from .operators.form import Form, Roles
-from .plans import ml, reports
+from .plans import jobs, ml, reports
 from .sources import tables
 from .streaming import jobs as streams
 
@@ -127,10 +127,8 @@ PAST = _W.format("6 preceding", "1 preceding")
 def form_without_current(spark, sf_dir):
     failed = E.flag(F.col("o_orderstatus") != "F", 1)
     spec = Form(mean={"past_mean": F.col("o_totalprice")}, reliability={"past_reliability": failed})
-    rows = read(spark, sf_dir, "orders")
-    w = form.frame(ORDERS, 6, include_current=False)
-    out = form.with_form(rows, ORDERS, spec, 6, include_current=False, divisor="n")
-    return out.select("o_orderkey", r("past_mean", 4).alias("past_mean"), r(1 - F.try_divide(F.sum(failed).over(w), F.count(F.lit(1)).over(w))).alias("past_reliability"))
+    out = form.with_form(read(spark, sf_dir, "orders"), ORDERS, spec, 6, include_current=False, divisor="rows")
+    return out.select("o_orderkey", r("past_mean", 4).alias("past_mean"), r("past_reliability").alias("past_reliability"))
 
 
 _SWEEP = " union all ".join(
@@ -488,7 +486,8 @@ def sample_n(spark, sf_dir):
     return validate.sample_exact(read(spark, sf_dir, "events"), 1000, 42)
 
 
-@registered()
+@registered("""select o_orderstatus, cast(f as int) fold, n // 5 + case when f < n % 5 then 1 else 0 end n
+  from (select o_orderstatus, count(*) n from orders group by 1), range(5) t(f) where n > f""")
 def ml_folds(spark, sf_dir):
     rows = ml.with_fold(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["o_orderkey"])
     return rows.groupBy("o_orderstatus", "fold").agg(F.count("*").alias("n"))
@@ -504,38 +503,175 @@ NUMERIC = ["avg_last", "best_last", "trend"]
 
 @registered()
 def ml_cv(spark, sf_dir):
-    rows = ml.with_fold(ml.with_class_weight(order_features(spark, sf_dir), "label"), "label", ["o_orderkey"], folds=3)
-    models = {k: v for k, v in ml.classifiers("label", trees=10, rounds=3).items() if k in ("forest", "logistic")}
-    return stats.score_summary(ml.cross_validate(rows, ml.encoder(NUMERIC, ["o_orderpriority"], scale=True), models, "label", folds=3))
+    """All four classifiers over five folds."""
+    rows = ml.with_fold(ml.with_class_weight(order_features(spark, sf_dir), "label"), "label", ["o_orderkey"])
+    return stats.score_summary(ml.cross_validate(rows, ml.encoder(NUMERIC, ["o_orderpriority"], scale=True), ml.classifiers("label"), "label"))
 
 
 @registered()
 def ml_gbt_regressor(spark, sf_dir):
     rows = ml.with_holdout(order_features(spark, sf_dir), ["o_orderkey"])
-    model = ml.train(rows.filter("train"), ml.encoder(NUMERIC, ["o_orderpriority"], impute=True), ml.boosted_regressor("o_totalprice", 4, 5))
+    model = ml.train(rows.filter("train"), ml.encoder(NUMERIC, ["o_orderpriority"], impute=True), ml.boosted_regressor("o_totalprice", 4))
     return ml.regression_metrics(model.transform(rows.filter("not train")), "o_totalprice")
 
 
 @registered()
 def score_win(spark, sf_dir):
-    from .plans.jobs import score_win as score
-
     rows = order_features(spark, sf_dir)
     model = ml.train(ml.with_class_weight(rows, "label"), ml.encoder(NUMERIC, ["o_orderpriority"], scale=True), ml.classifiers("label")["logistic"])
-    scored, _ = score(rows, model, [*NUMERIC, "o_orderpriority"])
+    scored, _ = jobs.score_win(rows, model, [*NUMERIC, "o_orderpriority"])
     return scored.select("o_orderkey", "will_win", "win_probability", "confidence")
 
 
-@registered()
+@registered("select * from events")
 def stream_ingest(spark, sf_dir):
     folder = _folder(spark)
     schema = read(spark, sf_dir, "events").schema
     streams.ingest(spark, f"{sf_dir}/events.parquet*", schema, f"{folder}/out", f"{folder}/checkpoint", required=["user_id"]).awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").select(*schema.names)
 
 
-def _folder(spark: SparkSession) -> str:
-    import uuid
+@registered("select event_id, event_type, value > 50 large from events")
+def stream_score(spark, sf_dir):
+    """Rows scored as they arrive, appended to a table."""
+    folder = _folder(spark)
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    scored = streams.scored(stream, lambda df: df.select("event_id", "event_type", (F.col("value") > 50).alias("large")), ["event_id", "value"])
+    query = scored.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(scored.schema).parquet(f"{folder}/out")
+
+
+@registered("""select date_trunc('hour', ts) start, event_type, count(*) n, round(avg(value), 6) mean from events group by 1, 2""")
+def windowed_counts(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streams.windowed_counts(rows, "ts", "event_type", "value")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("mean").alias("mean"))
+
+
+# result-like rows: customers are drivers, nations teams, order priorities statuses
+_PLACE = "cast(o_orderkey * 7 % 20 + 1 as double)"
+_RESULTS = f"(select cast(year(o_orderdate) as int) \"Year\", cast(o_orderkey as int) \"Race\", c_name \"Driver\", n_name \"Team\", {_PLACE} \"Position\", cast(o_orderkey * 3 % 20 + 1 as double) \"GridPosition\", o_totalprice / 10000 \"Points\", case when o_orderstatus = 'F' then 'Finished' else 'Retired' end \"Status\" from {_CO})"
+
+
+def results_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    orders = orders.join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    place = lambda k: (F.col("o_orderkey") * k % 20 + 1).cast("double")
+    return orders.select(
+        F.year("o_orderdate").alias("Year"),
+        F.col("o_orderkey").cast("int").alias("Race"),
+        F.col("c_name").alias("Driver"),
+        F.col("n_name").alias("Team"),
+        place(7).alias("Position"),
+        place(3).alias("GridPosition"),
+        (F.col("o_totalprice") / 10000).alias("Points"),
+        F.when(F.col("o_orderstatus") == "F", "Finished").otherwise("Retired").alias("Status"),
+    )
+
+
+@registered(f'select "Driver", count(*) n from {_RESULTS} where "Position" = 1 group by 1')
+def report_wins(spark, sf_dir):
+    return reports.wins(results_of(spark, sf_dir))
+
+
+@registered(f'select "Driver", round(avg("Position"), 6) mean from {_RESULTS} group by 1')
+def report_mean_position(spark, sf_dir):
+    return rounded(reports.mean_by(results_of(spark, sf_dir), "Driver", "Position"), "mean")
+
+
+@registered(f'select "Team", round(sum("Points"), 3) total from {_RESULTS} group by 1')
+def report_team_points(spark, sf_dir):
+    return rounded(reports.totals(results_of(spark, sf_dir), "Team", "Points"), "total", n=3)
+
+
+@registered(f'select "Team", round(avg("Position"), 6) mean from {_RESULTS} group by 1')
+def report_team_position(spark, sf_dir):
+    return rounded(reports.mean_by(results_of(spark, sf_dir), "Team", "Position"), "mean")
+
+
+@registered(f'select "Team", round(avg("GridPosition" - "Position"), 6) mean from {_RESULTS} group by 1')
+def report_team_gained(spark, sf_dir):
+    rows = results_of(spark, sf_dir).withColumn("gained", E.difference(F.col("GridPosition"), F.col("Position")))
+    return rounded(reports.mean_by(rows, "Team", "gained", ascending=False), "mean")
+
+
+@registered(f'select "GridPosition", "Position" from {_RESULTS}')
+def report_pairs(spark, sf_dir):
+    return reports.pairs(results_of(spark, sf_dir), "GridPosition", "Position")
+
+
+_TOP6 = f'(select "Team" from {_RESULTS} group by 1 order by count(*) desc, "Team" limit 6)'
+_FIVE = "count({0}) n, min({0}) least, round(quantile_cont({0}, 0.25), 6) q1, round(quantile_cont({0}, 0.5), 6) median, round(quantile_cont({0}, 0.75), 6) q3, max({0}) most"
+
+
+@registered(f"""select "Team", {_FIVE.format('"Position"')} from {_RESULTS} where "Team" in {_TOP6} group by 1""")
+def report_top_distribution(spark, sf_dir):
+    return rounded(reports.distribution_of_top(results_of(spark, sf_dir), "Team", "Position"), "q1", "median", "q3")
+
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="stream-")
+@registered(f"""select position_group, {_FIVE.format('"Points"')} from (select *, case when "Position" <= 5 then '1-5' when "Position" <= 10 then '6-10' when "Position" <= 15 then '11-15' else '16-20' end position_group from {_RESULTS}) group by 1""")
+def report_position_groups(spark, sf_dir):
+    return rounded(reports.by_position_group(results_of(spark, sf_dir), "Position", "Points"), "q1", "median", "q3")
+
+
+@registered(f'select "Points", "Position" from {_RESULTS} where "Points" < 3.0')
+def report_close_gaps(spark, sf_dir):
+    return reports.close_gaps(results_of(spark, sf_dir), "Points", "Position")
+
+
+@registered(f'select "GridPosition", round(avg("Position"), 6) mean from {_RESULTS} group by 1')
+def report_mean_by_grid(spark, sf_dir):
+    return rounded(reports.mean_by(results_of(spark, sf_dir), "GridPosition", "Position"), "mean")
+
+
+@registered(f'select round(avg("GridPosition" - "Position"), 6) mean, round(quantile_cont("GridPosition" - "Position", 0.5), 6) median from {_RESULTS}')
+def report_positions_gained(spark, sf_dir):
+    return rounded(reports.positions_gained(results_of(spark, sf_dir), "GridPosition", "Position")[2], "mean", "median")
+
+
+@registered(f"""select session, {_FIVE.format("time")} from (select 'Q1' session, "Points" time from {_RESULTS} where "Position" <= 10 union all select 'Q2', "GridPosition" from {_RESULTS} where "Position" <= 10) group by 1""")
+def report_sessions(spark, sf_dir):
+    rows = results_of(spark, sf_dir).select("Driver", F.col("Points").alias("Q1"), F.col("GridPosition").alias("Q2"), F.when(F.col("Position") <= 10, F.col("Position")).alias("Q3"))
+    return rounded(reports.session_times(rows, ["Driver"], ["Q1", "Q2"], "Q3"), "q1", "median", "q3")
+
+
+@registered(f'select "Team", round(avg("Points"), 6) mean from {_RESULTS} group by 1 order by avg("Points"), "Team" limit 10')
+def report_team_gap(spark, sf_dir):
+    return rounded(reports.mean_by(results_of(spark, sf_dir), "Team", "Points", 10), "mean")
+
+
+@registered(f'select "Driver", round(avg("GridPosition"), 6) mean from {_RESULTS} group by 1 order by avg("GridPosition"), "Driver" limit 15')
+def report_grid_top(spark, sf_dir):
+    return rounded(reports.mean_by(results_of(spark, sf_dir), "Driver", "GridPosition", 15), "mean")
+
+
+@registered(f"""with r as {_RESULTS}, w as (select "Driver", avg(case when "Position" = 1 then 1.0::double else 0 end) * 100 x from r group by 1), t as (select "Team", avg(case when "Status" = 'Finished' then 1.0::double else 0 end) * 100 y from r group by 1)
+select "Race", "GridPosition" - "Position" "PositionChange", round(x, 6) driver_win_rate, round(y, 6) team_reliability, case when "Position" <= 1 then 1 else 0 end race_winner, case when "Position" <= 3 then 1 else 0 end podium_finish, case when "Position" <= 10 then 1 else 0 end points_finish
+from r join w using ("Driver") join t using ("Team")""")
+def result_features(spark, sf_dir):
+    out = jobs.result_features(results_of(spark, sf_dir))
+    return rounded(out.select("Race", "PositionChange", "driver_win_rate", "team_reliability", "race_winner", "podium_finish", "points_finish"), "driver_win_rate", "team_reliability")
+
+
+_DW = 'over (partition by "Driver" order by "Year", "Race" rows between {} and current row)'
+
+
+@registered(f"""with f as (select *, avg("Position") {_DW.format("5 preceding")} a, min("Position") {_DW.format("5 preceding")} b, sum(case when "Position" <= 3 then 1 else 0 end) {_DW.format("5 preceding")} p from {_RESULTS}),
+l as (select "Driver", arg_max(a, ("Year", "Race")) a, arg_max(b, ("Year", "Race")) b, arg_max(p, ("Year", "Race")) p, arg_max("Team", ("Year", "Race")) t from f group by 1)
+select round(a, 2) predicted_position, "Driver" driver, t team, 0.85::double confidence, cast(b as int) best_position, cast(p as int) podiums from l order by round(a, 2), "Driver" limit 20""")
+def score_next_event(spark, sf_dir):
+    out = jobs.score_next_event(results_of(spark, sf_dir))
+    return out.select("predicted_position", "driver", "team", "confidence", "recent_form.best_position", "recent_form.podiums")
+
+
+@registered("select event_id, sum(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) clock from events")
+def cumulative_time(spark, sf_dir):
+    return laps.cumulative_time(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "clock")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder; without one, in the warehouse."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"

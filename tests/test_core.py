@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stintframe.functions import exprs as E
-from stintframe.operators import form, impute, stats, validate
+from stintframe.operators import form, impute, laps, stats, validate
 from stintframe.operators.form import Roles
 from stintframe.plans import jobs, ml
 from stintframe.sources import tables
@@ -105,3 +105,53 @@ def test_empty_tables(spark):
     assert jobs.result_form(empty).count() == 0
     assert jobs.result_features(empty).count() == 0
     assert stats.histogram(empty, "Position").count() == 0
+
+
+def test_laps_are_filled_from_the_driver_itself(spark):
+    rows = [(1, 1, "A", "T", float(n), t, None, None, None) for n, t in ((1, 80.0), (2, 80.0), (3, None))]
+    rows += [(1, 1, d, "U", float(n), 100.0, 4.0, "SOFT", 2.0) for d in "BCD" for n in (1, 2, 3)]
+    rows += [(1, 2, "E", "T", 1.0, None, None, None, None), (1, 1, "A", "T", 4.0, 82.0, 3.0, "HARD", 1.0), (1, 1, "A", "T", 5.0, 80.0, None, "HARD", 1.0)]
+    got = {(r.Race, r.Driver, r.LapNumber): r for r in jobs.clean_laps(spark.createDataFrame(rows, tables.LAPS)).collect()}
+    assert got[1, "A", 3.0].LapTime_seconds == 80.0 and got[2, "E", 1.0].LapTime_seconds == 100.0
+    assert (got[1, "A", 1.0].Position, got[1, "A", 5.0].Position, got[1, "A", 1.0].TireAge) == (15.0, 3.0, 0.0)
+    assert (got[1, "A", 3.0].TireCompound, got[2, "E", 1.0].TireCompound) == ("SOFT", "MEDIUM")
+
+
+def test_supplied_lap_columns_stay(spark):
+    rows = [("SOFT", 10, None, None, 90.0, 91.0, 92.0), ("soft", 2, 30, 7.5, None, 91.0, 92.0), (None, 100, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "TireCompound string, TireAge int, MaxTireLife int, TireWearPct double, RollingAvgLapTime_3 double, RollingAvgLapTime_5 double, TeamAvgPace double")
+    a, b, c = jobs.lap_defaults(df).collect()
+    assert (a.TireCompound_encoded, a.MaxTireLife, a.TireLifeRemaining, a.TireWearPct, a.OldTiresIndicator, a.IsFreshTire) == (1, 40, 30, 25.0, 0, 0)
+    assert (a.RollingAvgLapTime_3, a.TeamAvgPace, a.StintLapNumber, a.TireDegradationRate) == (90.0, 92.0, 10, 0.0)
+    assert (b.MaxTireLife, b.TireLifeRemaining, b.TireWearPct, b.IsFreshTire, b.RollingAvgLapTime_5, b.TeamAvgPace) == (30, 28, 7.5, 1, 95.0, 95.0)
+    assert (c.TireCompound_encoded, c.MaxTireLife, c.TireLifeRemaining, c.TireWearPct, c.OldTiresIndicator) == (2, 50, 0, 100.0, 1)
+
+
+def test_next_event_record(spark):
+    rows = [*RESULTS, (2025, 24, "N", "U", None, 3.0, 0.0, "Retired"), (2025, 24, "B", "U", 4.0, 3.0, 12.0, "Finished"), (2024, 1, "Old", "U", 1.0, 1.0, 25.0, "Finished")]
+    out = jobs.score_next_event(spark.createDataFrame(rows, tables.RESULTS), season=2025).collect()
+    assert [(r.driver, r.team, r.predicted_position, r.confidence) for r in out] == [("A", "T", 1.67, 0.85), ("B", "U", 4.0, 0.85)]
+    assert out[0].recent_form.asDict() == {"avg_position": 1.67, "best_position": 1, "podiums": 6, "wins": 4, "dnfs": 0, "reliability": 100.0, "form_trend": 1.33, "driver_win_rate": None, "team_reliability": None, "quali_performance": None}
+    assert out[1].recent_form.form_trend is None and out[0].next_event == "Next event (based on last 6 events)"
+
+
+def test_exact_quantiles_in_brackets(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 11 != 0, F.pmod(F.hash("id"), F.lit(5000)) / 7.0).alias("v"))
+    rows = rows.union(spark.createDataFrame([(None, 1.0), (None, 4.0), (9, None)], "k long, v double"))
+    for keys in ([], ["k"]):
+        got = {tuple(r[k] for k in keys): r.q for r in stats.exact_quantiles(rows, keys, "v", [0.1, 0.5, 0.99], accuracy=500).collect()}
+        want = {tuple(r[k] for k in keys): r.q for r in rows.filter("v is not null").groupBy(*keys).agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.99))).alias("q")).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert stats.exact_quantiles(rows.limit(0), ["k"], "v", [0.5]).count() == 0
+    assert stats.exact_quantiles(rows.limit(0), [], "v", [0.5]).first().q is None
+
+
+def test_phases_have_names_and_numbers(spark):
+    rows = spark.createDataFrame([(0.0,), (1.0,), (15.0,), (16.0,), (41.0,)], "lap double")
+    got = rows.select(laps.phase(F.col("lap")), laps.phase_code(F.col("lap"))).collect()
+    assert [tuple(r) for r in got] == [(None, None), ("Early", 0), ("Early", 0), ("Middle", 1), ("Late", 2)]
+
+
+def test_columns_with_odd_names(spark):
+    rows = spark.createDataFrame([(1, 1.0, 1), (1, 1.2, 2), (1, 9.0, 3)], "`the batch` int, `a clock` double, tie int")
+    assert sorted(r.traffic for r in laps.neighbours(rows, ["the batch"], "a clock", "tie", 0.5).collect()) == [0, 1, 1]

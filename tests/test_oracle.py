@@ -1,5 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives."""
 
+from datetime import datetime
+
 import duckdb
 import pytest
 
@@ -18,6 +20,7 @@ def con():
 
 
 def in_order(rows):
+    rows = [tuple(str(x) if isinstance(x, datetime) else x for x in r) for r in rows]
     return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
