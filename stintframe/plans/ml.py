@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
@@ -74,18 +75,34 @@ def classifiers(label: str, weight: str | None = "weight", trees: int = 100, rou
     }
 
 
-def cross_validate(df: DataFrame, stages: list, models: dict, label: str, folds: int = 5) -> DataFrame:
-    """``model``, ``metric`` (accuracy, f1 of class 1), ``fold``, ``value``; ``df`` has ``fold``."""
+def cross_validate(df: DataFrame, stages: list, models: dict, label: str, folds: int = 5, parallelism: int = 8) -> DataFrame:
+    """``model``, ``metric`` (accuracy, f1 of class 1), ``fold``, ``value``; ``df`` has ``fold``.
+
+    A fold is encoded once, from its training rows, for all models; ``parallelism`` models are fitted at a time.
+    """
+    metrics = {"accuracy": MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"), "f1": MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)}
     cached = not df.is_cached
     df = df.cache() if cached else df
-    metrics = {"accuracy": MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"), "f1": MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)}
-    rows = []
-    for fold in range(folds):
+
+    def encoded(fold: int) -> tuple[DataFrame, DataFrame]:
         train, test = df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold)
-        for name, model in models.items():
-            scored = Pipeline(stages=[*stages, model]).fit(train).transform(test).cache()
-            rows += [(name, metric, fold, float(e.evaluate(scored))) for metric, e in metrics.items()]
-            scored.unpersist()
+        encoding = Pipeline(stages=stages).fit(train)
+        return encoding.transform(train).cache(), encoding.transform(test).cache()
+
+    def scores(task: tuple[int, str]) -> list[tuple]:
+        fold, name = task
+        train, test = sets[fold]
+        scored = models[name].fit(train).transform(test).select(label, "prediction").cache()
+        found = [(name, metric, fold, float(e.evaluate(scored))) for metric, e in metrics.items()]
+        scored.unpersist()
+        return found
+
+    with ThreadPool(parallelism) as pool:
+        sets = pool.map(encoded, range(folds))
+        rows = [r for found in pool.map(scores, [(fold, name) for fold in range(folds) for name in models], chunksize=1) for r in found]
+    for held in sets:
+        for x in held:
+            x.unpersist()
     if cached:
         df.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, metric string, fold int, value double")
