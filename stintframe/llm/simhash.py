@@ -40,7 +40,7 @@ CHUNK = 1024
 #: Runs up to this length are compared by shifted arrays, longer ones by a bit-distance matrix.
 SHORT_RUN = 32
 #: Different shingle sets of one group of candidates, and bytes of their texts, that a task holds twice at once.
-SETS, BYTES = 512, 3 << 20
+SETS, BYTES = 1024, 4 << 20
 #: Shingles whose places in the sets of a task are laid out at once.
 COLUMNS = 4096
 #: Different texts that a key of ``similar_documents`` holds by chance, and the least width of keys.
@@ -279,7 +279,7 @@ def similar_in(sets: list[np.ndarray], least: float) -> np.ndarray:
     owner, code = owner[keep], rank[code[keep]]
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
-    common = np.zeros((len(sets), len(sets)))
+    common = np.zeros((len(sets), len(sets)), np.float32)  # counts of far less than 2**24
     for a in range(0, int(shared.sum()), COLUMNS):
         i, j = np.searchsorted(code, [a, a + COLUMNS])
         has = np.zeros((len(sets), COLUMNS), np.float32)
@@ -372,10 +372,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if wide.limit(1).count():
         reached = connected_components(edges)
         wide = wide.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        core = wide.filter("node = pivot").select("group", F.col("component").alias("core"))
-        wide = wide.join(core, "group").withColumn("apart", F.col("component") != F.col("core"))
+        core = cut(wide.filter("node = pivot").select("group", F.col("component").alias("core")))
+        wide = cut(wide.join(core, "group").withColumn("apart", F.col("component") != F.col("core")))
         rest = wide.filter("apart").groupBy("group").agg(F.ceil(F.count("*") / F.lit(SETS)).cast("int").alias("a"), F.ceil(F.sum("n") / F.lit(BYTES)).cast("int").alias("b"))
-        wide = cut(wide.join(rest.select("group", F.greatest("a", "b").alias("rests")), "group").select("same", "node", "h1", "n", "group", "parts", "mine", "apart", "rests"))
+        rest = cut(rest.select("group", F.greatest("a", "b").alias("rests")))
+        wide = cut(wide.join(rest, "group").select("same", "node", "h1", "n", "group", "parts", "mine", "apart", "rests"))
         rest_part = F.pmod(F.xxhash64("same", F.lit(1)), F.col("rests")).cast("int")
         others = with_texts(wide).withColumn("pair", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("part", F.col("mine"))
         own = with_texts(wide.filter("apart")).withColumn("pair", rest_part).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
