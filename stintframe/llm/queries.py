@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import id_store, nn_descent, packing, quality, quotes, segment_sampling, simhash, token_counts, toxicity, warc
+from . import filter_audit, id_store, nn_descent, packing, quality, quotes, segment_sampling, simhash, token_counts, toxicity, warc
 from .common import fresh_dir, table
 
 
@@ -63,13 +63,47 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).drop("url")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_nn_descent, op3_packing, op4_segment_sampling, op5_toxicity, op6_quotes, op7_id_store, op8_quality, op9_simhash, op10_warc)
+    found = (op1_token_counts, op2_nn_descent, op3_packing, op4_segment_sampling, op5_toxicity, op6_quotes, op7_id_store, op8_quality, op9_simhash, op10_warc, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
 #: The SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # the lattice written out: every order, every step, every set of failed filters
+    "op13_filter_audit": r"""
+with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w from d),
+firsts as (select t, min(doc_id) f from d group by t),
+marks as (select doc_id, max(coalesce(quality = 1, false)::int) good, max(coalesce(toxic = 1, false)::int) toxic from labels group by doc_id),
+m as (
+  select part, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(w.doc_id > f, false)::int mask, coalesce(good, 0) good, coalesce(toxic, 0) toxic
+  from w join firsts using (t) left join marks on marks.doc_id = w.doc_id),
+cells as (select part, mask, count(*) n, sum(good) good, sum(toxic) toxic from m group by 1, 2),
+l as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(c, b)),
+o as (
+  select v.c || w.c || x.c || y.c || z.c filter_order, [v.b, w.b, x.b, y.b, z.b] bits
+  from l v, l w, l x, l y, l z where v.b + w.b + x.b + y.b + z.b = 31 and (v.b | w.b | x.b | y.b | z.b) = 31),
+s as (select filter_order, step, bits[step] bit, list_sum(bits[1:step]) - bits[step] state from o, (select unnest(range(1, 6)) step)),
+r as (
+  select part, filter_order, step, bit,
+    sum(case when mask & (state | bit) = 0 then n else 0 end) kept,
+    sum(case when mask & state = 0 and mask & bit <> 0 then n else 0 end) removed,
+    sum(case when mask & state <> 0 and mask & bit <> 0 then n else 0 end) redundant,
+    sum(case when mask = bit then n else 0 end) unique_fails,
+    sum(case when mask & state = 0 and mask & bit <> 0 then good else 0 end) good_lost,
+    sum(case when mask & state = 0 and mask & bit <> 0 then toxic else 0 end) toxic_lost
+  from cells, s group by all)
+select part, filter_order, step::int step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails,
+  good_lost::bigint good_lost, toxic_lost::bigint toxic_lost, (sum(removed) over (partition by part, bit))::bigint shapley, 120 n_orders
+from r""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
