@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, id_store, nn_descent, packing, quality, quotes, segment_sampling, simhash, token_counts, toxicity, warc
+from . import filter_audit, id_store, nn_descent, packing, periodic_runs, quality, quotes, segment_sampling, simhash, token_counts, toxicity, warc
 from .common import fresh_dir, table
 
 
@@ -63,12 +63,31 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).drop("url")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text``; in a tenth of the documents, drawn by a checksum of the id, the words from one on are repeats of as many
+    words as the checksum says.  Without an id nothing changes."""
+    h, w = F.crc32(F.col("doc_id").cast("string")), filter_audit.words(F.col("text"))
+    rows = docs.select("doc_id", "text", w.alias("w"), F.floor(h / 10).alias("g"), (h % 10 == 0).alias("drawn"))
+    n, g = F.size("w"), F.col("g")
+    a = (g % n).cast("int")
+    p = F.lit(1) + F.floor((n - a) / (g % 8 + 3)).cast("int")
+    again = F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.element_at("w", a + i % p + 1))
+    return rows.select("doc_id", F.when(F.col("drawn") & (n > 0), F.array_join(F.concat(F.slice("w", 1, a), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), periodic_runs.strongest(F.col("runs")).alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_nn_descent, op3_packing, op4_segment_sampling, op5_toxicity, op6_quotes, op7_id_store, op8_quality, op9_simhash, op10_warc, op13_filter_audit)
+    found = (op1_token_counts, op2_nn_descent, op3_packing, op4_segment_sampling, op5_toxicity, op6_quotes, op7_id_store, op8_quality, op9_simhash, op10_warc, op12_periodic_runs, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 

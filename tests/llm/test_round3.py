@@ -1,0 +1,158 @@
+"""Run detection, the filter audit and exact search against plain versions."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+from itertools import permutations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stintframe.llm import filter_audit, periodic_runs
+from stintframe.llm import queries as llm_queries
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# 12
+def plain_runs(w, least=6, power=4):
+    found = {}
+    for q in range(1, len(w) // power + 1):
+        i = 0
+        while i + q < len(w):
+            start = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i + q - start >= max(least, power * q):
+                found.setdefault((start, i + q - start), q)
+            i += i == start
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def test_runs_of_many_small_sequences():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        n = int(rng.integers(0, 130))
+        w = rng.integers(0, rng.integers(1, 5), n)
+        if n and rng.random() < 0.6:
+            a, p = int(rng.integers(0, n)), 1 + int(rng.integers(0, max(1, n // 3)))
+            w[a:] = w[a + np.arange(n - a) % p]
+        for power in (2, 4):
+            assert [*map(tuple, periodic_runs.find_runs(w, 6, power).tolist())] == plain_runs(w.tolist(), 6, power)
+
+
+def test_extensions_beyond_the_cover():
+    rng = np.random.default_rng(4)
+    w = rng.integers(0, 2, 700)
+    w[350:] = w[:350]
+    w[100:180] = 1
+    i = rng.integers(0, 690, 400)
+    j = np.minimum(700, i + rng.choice([1, 2, 13, 26, 350], 400))
+
+    def plain(a, b):
+        k = 0
+        while b + k < 700 and w[a + k] == w[b + k]:
+            k += 1
+        return k
+
+    assert periodic_runs.Extensions(w)(i, j).tolist() == [plain(*x) for x in zip(i, j, strict=True)]
+
+
+def plain_digest(doc_id, text):
+    w = WORD.findall(text or "")
+    if doc_id is not None:
+        h = zlib.crc32(str(doc_id).encode())
+        g, n = h // 10, len(w)
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+    runs = plain_runs(w)
+    gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+    best = min(runs, key=lambda r: (-r[1] / r[2], r[0], r[2])) if runs else (None, None, None)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    exponent = 1000 * best[1] // best[2] if runs else None
+    return (doc_id, len(runs), *best, exponent, sha("".join(f"{s},{length},{q}\n" for s, length, q in runs)), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+
+
+def test_periodic_runs_query_matches_the_plain_version(spark, sample, tmp_path):
+    docs = sample.select("doc_id", "text")
+    more = [(5000 + i, t) for i, t in enumerate([None, "", " \t\n", "a", "a " * 6, "a " * 5, "x y " * 9, "日本 語 " * 30, "a b " * 4 + "b " * 7, "w " * 20000])] + [(None, "to be " * 40), (5004, "a " * 6)]
+    docs.unionByName(spark.createDataFrame(more, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = llm_queries.op12_periodic_runs(spark, str(tmp_path)).collect()
+    assert Counter(map(tuple, got)) == Counter(plain_digest(r.doc_id, r.text) for r in docs.collect())
+    assert sum(r.n_runs > 0 for r in got) > 15
+
+
+def test_collapse_keeps_other_columns_and_handles_odd_rows(spark, odd):
+    given = odd.withColumn("runs", F.lit("mine")).withColumn("collapsed", F.lit(1))
+    got = periodic_runs.collapse_runs(given)
+    assert got.columns == [*odd.columns, "n_words", "runs", "collapsed"]
+    rows = got.collect()
+    assert len(rows) == odd.count()
+    for r in rows:
+        assert r.n_words == len(WORD.findall(r.text or "")) and r.collapsed is not None
+        assert r.text is not None or (r.runs == [] and r.collapsed == "")
+    assert [r.collapsed for r in rows if (r.text or "").startswith("one two three")] == ["one two three four five six seven"]
+    assert periodic_runs.collapse_runs(odd.limit(0)).collect() == []
+
+
+# 13
+def plain_audit(docs, labels):
+    firsts, good, toxic = {}, set(), set()
+    for i, t, _ in docs:
+        if i is not None:
+            firsts[t or ""] = min(i, firsts.get(t or "", i))
+    for i, q, x in labels:
+        good |= {i} if q == 1 and i is not None else set()
+        toxic |= {i} if x == 1 and i is not None else set()
+    rows = []
+    for i, t, lang in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), "D": bool(re.search(r"[#$%&*|]", t)), "E": i is not None and i > firsts[t]}
+        rows.append((lang or "", {k for k, v in fails.items() if v}, i in good, i in toxic))
+    out = []
+    for part in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == part]
+        shapley = Counter()
+        steps = []
+        for order in permutations("ABCDE"):
+            left = mine
+            for step, f in enumerate(order, 1):
+                removed = [r for r in left if f in r[1]]
+                left = [r for r in left if f not in r[1]]
+                shapley[f] += len(removed)
+                steps.append(("".join(order), step, f, len(left), len(removed), sum(f in r[1] for r in mine) - len(removed) - sum(f in r[1] for r in left), sum(r[1] == {f} for r in mine), sum(r[2] for r in removed), sum(r[3] for r in removed)))
+        out += [(part, o, s, *rest, shapley[f]) for o, s, f, *rest in steps]
+    return out
+
+
+def test_filter_audit_matches_every_order_applied_in_turn(spark, sample):
+    docs = [tuple(r) for r in sample.select("doc_id", "text", "lang").collect()]
+    docs += [(None, docs[0][1], "en"), (None, None, None), (9001, None, None), (9002, "", ""), (9003, "A $", "xx"), (9003, "A $", "xx"), (docs[3][0], "other text", "en"), (9004, docs[5][1], docs[5][2])]
+    labels = [(r.doc_id, r.quality, r.toxic) for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()] + [(9001, 1, 1), (9001, 0, 0), (9003, None, 1), (None, 1, 1)]
+    table = spark.createDataFrame([(*d, "part", 1) for d in docs], "doc_id long, text string, lang string, part string, digest int")
+    got = filter_audit.audit_documents(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    columns = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(plain_audit(docs, labels))
+    empty = filter_audit.audit_documents(table.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert empty.collect() == []
+
+
+def test_lattice_counts_orders_under_precedence(spark):
+    names = "abcd"
+    edges = filter_audit.lattice(names, [("a", "c"), ("b", "d")])
+    want = ["".join(o) for o in permutations(names) if o.index("a") < o.index("c") and o.index("b") < o.index("d")]
+    walks = filter_audit.orders(names, edges)
+    assert sorted({o for o, *_ in walks}) == sorted(want)
+    through = Counter((s, f) for _, _, s, f in walks)
+    assert {(s, f): reach * leave for s, f, reach, leave in edges} == dict(through)
+    rows = spark.createDataFrame([(True, None, False, True, "x"), (False, True, True, False, "x")], "a boolean, b boolean, c boolean, d boolean, p string")
+    got = filter_audit.audit_orders(rows, names, "p", {}, [("a", "c"), ("b", "d")]).collect()
+    assert len(got) == 4 * len(want) and {r.n_orders for r in got} == {len(want)}
+    with pytest.raises(ValueError):
+        filter_audit.lattice("aa")
