@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, id_store, nn_descent, packing, periodic_runs, quality, quotes, segment_sampling, simhash, token_counts, toxicity, warc
+from . import filter_audit, id_store, m_tree, nn_descent, packing, periodic_runs, quality, quotes, segment_sampling, simhash, token_counts, toxicity, warc
 from .common import fresh_dir, table
 
 
@@ -63,6 +63,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).drop("url")
 
 
+def op11_m_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, path = table(spark, sf_dir, "embeddings"), fresh_dir(spark, "m-tree")
+    m_tree.build_index(vectors, path, k=5, scale=256.0)
+    return m_tree.search(vectors.filter("vec_id % 50 = 0"), path, k=5).withColumnRenamed("id", "vec_id")
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text``; in a tenth of the documents, drawn by a checksum of the id, the words from one on are repeats of as many
     words as the checksum says.  Without an id nothing changes."""
@@ -87,12 +93,22 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_nn_descent, op3_packing, op4_segment_sampling, op5_toxicity, op6_quotes, op7_id_store, op8_quality, op9_simhash, op10_warc, op12_periodic_runs, op13_filter_audit)
+    found = (op1_token_counts, op2_nn_descent, op3_packing, op4_segment_sampling, op5_toxicity, op6_quotes, op7_id_store, op8_quality, op9_simhash, op10_warc, op11_m_tree, op12_periodic_runs, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
 #: The SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    # every query against every vector
+    "op11_m_tree": """
+with v as (
+  select vec_id, list_transform(embedding::double[], lambda x: floor(256 * x)) v from embeddings
+  where vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id query_id, v.vec_id, list_inner_product(q.v, v.v)::bigint score
+  from v q join v on v.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5""",
     # the lattice written out: every order, every step, every set of failed filters
     "op13_filter_audit": r"""
 with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t from documents),

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stintframe.llm import filter_audit, periodic_runs
+from stintframe.llm import filter_audit, m_tree, periodic_runs
 from stintframe.llm import queries as llm_queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -156,3 +156,75 @@ def test_lattice_counts_orders_under_precedence(spark):
     assert len(got) == 4 * len(want) and {r.n_orders for r in got} == {len(want)}
     with pytest.raises(ValueError):
         filter_audit.lattice("aa")
+
+
+# 11
+def plain_search(rows, dim, k, every, scale=256):
+    able = {(i, tuple(int(np.floor(scale * c)) for c in v)) for i, v in rows if i is not None and v is not None and len(v) == dim and all(c is not None and np.isfinite(c) and np.isfinite(scale * c) for c in v)}
+    out = []
+    for i, q in able:
+        if i % every == 0:
+            scored = sorted((-max(min(sum(a * b for a, b in zip(q, v, strict=True)), 2**63 - 1), 1 - 2**63), j) for j, v in able if j != i)
+            out += [(i, rank, j, -s) for rank, (s, j) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+def searched(spark, tmp_path, rows, k=5, every=5, **sizes):
+    vectors = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, region string, rank int")
+    m_tree.build_index(vectors, f"{tmp_path}/index", k=k, **sizes)
+    return vectors, sorted(map(tuple, m_tree.search(vectors.filter(f"vec_id % {every} = 0"), f"{tmp_path}/index", k=k).collect()))
+
+
+def test_search_matches_every_query_against_every_vector(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 8)) + 3 * rng.integers(0, 3, (700, 1))
+    x[100:400] = x[100]  # a vector that a large part of the rows share
+    x[400:430] = np.round(x[400:430])
+    x[450] = 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(None, [1.0] * 8), (800, None), (805, [float("nan")] + [1.0] * 7), (810, [None] + [1.0] * 7), (815, [1.0]), (820, []), (825, [1e308] * 8), rows[3], rows[5], (5, [9.0] * 8)]
+    _, got = searched(spark, tmp_path, rows, tree=48, pivots=6)
+    assert got == plain_search(rows, 8, 5, 5)
+    nodes = spark.read.parquet(f"{tmp_path}/index/nodes")
+    assert nodes.select("region").distinct().count() > 2 and nodes.select(F.sum(F.length("ids") / 8)).first()[0] < 450
+
+
+@pytest.mark.parametrize("size", [1e6, 1e12])
+def test_search_of_large_components_is_exact(spark, tmp_path, size):
+    rng = np.random.default_rng(6)
+    rows = [(i, (size * rng.normal(size=4)).tolist()) for i in range(120)]
+    _, got = searched(spark, tmp_path, rows, k=3, tree=40, pivots=3)
+    assert got == plain_search(rows, 4, 3, 5)
+
+
+def test_search_of_few_or_no_vectors(spark, tmp_path):
+    rows = [(0, [0.5, 0.5]), (5, [1.0, -1.0]), (7, [1.0, 1.0])]
+    vectors, got = searched(spark, tmp_path / "few", rows)
+    assert got == plain_search(rows, 2, 5, 5) and len(got) == 4
+    with pytest.raises(ValueError):
+        m_tree.search(vectors, f"{tmp_path}/few/index", k=6)
+    assert searched(spark, tmp_path / "none", [(1, None)])[1] == []
+
+
+def test_stored_distances_spare_comparisons():
+    rng = np.random.default_rng(7)
+    x = np.floor(256 * (rng.normal(size=(40, 1, 6)) * 4 + 0.1 * rng.normal(size=(40, 100, 6)))).reshape(-1, 6)
+    meta = m_tree.Meta(6, "<f8", float((x * x).sum(1).max()), 6, True, 256.0)
+    lifted = meta.lifted(x)
+    nodes = m_tree.load(lifted, meta, 1)
+    held = np.concatenate([n[4] for n in nodes if n[4] is not None])
+    assert sorted(held.tolist()) == list(range(4000)) and max(len(n[4]) for n in nodes if n[4] is not None) <= m_tree.PAGE
+    for parent, route, radius, up, members, away in nodes:
+        assert parent < 0 or up == pytest.approx(meta.between(lifted[[route]], lifted[[nodes[parent][1]]])[0, 0])
+        assert members is None or away.max() <= radius + 1e-9
+    import pyarrow as pa
+
+    columns = {"node": range(len(nodes)), "parent": [n[0] for n in nodes], "radius": [n[2] for n in nodes], "up": [n[3] for n in nodes], "route": [x[n[1]].tobytes() for n in nodes]}
+    columns |= {"ids": [n[4] if n[4] is None else n[4].astype("<i8").tobytes() for n in nodes], "entries": [n[4] if n[4] is None else x[n[4]].tobytes() for n in nodes], "away": [n[5] if n[5] is None else n[5].tobytes() for n in nodes]}
+    tree = m_tree.Tree(pa.table({c: pa.array(list(v)) for c, v in columns.items()}), meta)
+    for i in range(0, 4000, 100):
+        far = np.sqrt(max(x[i] @ x[i] + meta.bound - 2 * x[nodes[0][1]] @ x[i], 0))
+        got = tree.search(x[i], i, 5, None, far)
+        score = x @ x[i]
+        assert got == sorted((-int(s), j) for j, s in enumerate(score) if j != i)[:5]
+    assert tree.compared < 0.5 * 40 * 4000
