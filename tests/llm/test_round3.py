@@ -228,3 +228,27 @@ def test_stored_distances_spare_comparisons():
         score = x @ x[i]
         assert got == sorted((-int(s), j) for j, s in enumerate(score) if j != i)[:5]
     assert tree.compared < 0.5 * 40 * 4000
+
+
+# 2
+@pytest.mark.parametrize("fill, dim, cosine", [(18_000, 64, 0.905), (40_000, 256, 0.902)])
+def test_sparse_links_beside_a_cloud_are_found_and_audited(spark, tmp_path, fill, dim, cosine):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from stintframe.llm import nn_descent
+
+    rng = np.random.default_rng(0)
+    cloud = rng.normal(size=dim) + 0.02 * rng.normal(size=(600, dim))
+    a, o = rng.normal(size=(6000, dim)), rng.normal(size=(6000, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    o -= (o * a).sum(1)[:, None] * a
+    o /= np.linalg.norm(o, axis=1)[:, None]
+    x = np.vstack([cloud, a, cosine * a + np.sqrt(1 - cosine**2) * o, rng.normal(size=(fill, dim))])
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), f"{tmp_path}/e.parquet", row_group_size=8000)
+    got = nn_descent.near_duplicates(spark.read.parquet(f"{tmp_path}/e.parquet"))
+    links = dict(got.select("id", "n_links").collect())
+    recall = sum(links[i] for i in range(600, len(x))) / 12_000
+    audited = got.first()
+    assert recall >= 0.95 and abs(audited.audit_recall - recall) <= 0.02 and audited.audit_vertices >= 400
+    assert all(links[i] == 599 for i in range(600))
