@@ -36,7 +36,7 @@ def test_search_goes_on_until_the_links_are_found(spark):
     near = unit @ unit.T >= 0.9
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     # hardly a search at all: one tree, lists of one and no rounds
-    got = {r.id: r for r in nn_descent.near_duplicates(vectors, k=1, trees=1, rounds=0, queries=16, attempts=1).collect()}
+    got = {r.id: r for r in nn_descent.near_duplicates(vectors, k=1, trees=1, rounds=0, attempts=1).collect()}
     assert [got[i].n_links for i in range(3000)] == (near.sum(axis=1) - 1).tolist() and near.sum() > 3000
     parents = [int(np.flatnonzero(near[i])[0]) for i in range(3000)]
     assert [got[i].component_id for i in range(3000)] == parents
