@@ -12,12 +12,20 @@ from .stats import exact_quantiles, joined, quantile
 
 
 def group_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """Null to the group's median, else to the median of all rows.  A group holds a count per different value in memory, all
-    rows together do not."""
-    own = df.groupBy(*keys).agg(*[quantile(F.col(c), 0.5, exact).alias(f"_g_{c}") for c in columns])
+    """Null to the group's median, else to the median of all rows, which is only worked out if a group has no value.  Exact medians
+    are ranked within brackets, so no group is gathered; otherwise a group is a bounded sketch."""
+    keys, own = [*keys], None
+    if exact:
+        own = df.groupBy(*keys).agg(*[F.count(c).alias(f"_n_{c}") for c in columns])
+        for c in columns:
+            own = joined(own, exact_quantiles(df, keys, c, [0.5]).select(*keys, F.col("q")[0].alias(f"_g_{c}")), keys)
+    else:
+        own = df.groupBy(*keys).agg(*[quantile(F.col(c), 0.5, False).alias(f"_g_{c}") for c in columns], *[F.count(c).alias(f"_n_{c}") for c in columns])
+    bare = df.groupBy(*keys).agg(*[F.count(c).alias(c) for c in columns]).agg(*[F.bool_or(F.col(c) == 0).alias(c) for c in columns]).first()
     out = joined(df, own, keys)
     for c in columns:
-        out = joined(out, _median(df, c, exact).withColumnRenamed("_a", f"_a_{c}"), [])
+        whole = _median(df, c, exact) if bare[c] else df.sparkSession.range(1).select(F.lit(None).cast("double").alias("_a"))
+        out = joined(out, whole.withColumnRenamed("_a", f"_a_{c}"), [])
     filled = {c: F.coalesce(c, f"_g_{c}", f"_a_{c}") for c in columns}
     return out.withColumns(filled).select(*df.columns)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from .stats import joined
+from .stats import exact_quantiles, joined, quantile
 
 # Codes and lives of the three compounds.
 COMPOUND_CODE = {"SOFT": 1, "MEDIUM": 2, "HARD": 3}
@@ -79,20 +79,36 @@ def cumulative_time(df: DataFrame, entity: Sequence[str], order: Sequence[str],
     return df.withColumn("clock", F.sum(column).over(w))
 
 
-def neighbours(df: DataFrame, batch: Sequence[str], clock: str, tie: str, within: float, close: float = 1.0) -> DataFrame:
+def neighbours(df: DataFrame, batch: Sequence[str], clock: str, tie: str, within: float, close: float = 1.0, widths: int = 8) -> DataFrame:
     """Gaps to the row ahead and behind in the batch's order of ``clock``, rows within ``within`` of it, and whether the gap
-    ahead is under ``close``."""
-    w = Window.partitionBy(*batch).orderBy(clock, tie)
-    ahead = F.col(clock) - F.lag(clock).over(w)
+    ahead is under ``close``.
+
+    A batch is dealt in buckets of ``widths`` times ``within``, each with the rows next to it that its own may reach, so no task
+    holds a batch.  The ends of a bucket look across empty ones to the last clock before and the first after, which come from one
+    row a bucket.  Rows without a clock are alone together and have no gaps.
+    """
+    batch, c = [*batch], F.col(clock).cast("double")
+    width = within * widths if within > 0 else 1.0
+    reach = within * (1 + 1e-6)
+    rows = df.withColumn("_own", F.floor(c / width)).withColumn("_in", F.explode_outer(F.sequence(F.floor((c - reach) / width), F.floor((c + reach) / width))))
+    inside = Window.partitionBy(*batch, "_in").orderBy(clock, tie)
     quoted = lambda c: "`" + c.replace("`", "``") + "`"
-    near = F.expr(f"count(*) over (partition by {', '.join(map(quoted, batch))} order by {quoted(clock)} range between {within}D preceding and {within}D following)")
-    return df.select("*", ahead.alias("gap_ahead"), (F.lead(clock).over(w) - F.col(clock)).alias("gap_behind"), (near - 1).alias("traffic"), E.flag(ahead < close).alias("in_reach"))
+    near = F.expr(f"count(*) over (partition by {', '.join(map(quoted, [*batch, '_in']))} order by {quoted(clock)} range between {within}D preceding and {within}D following)")
+    rows = rows.select("*", F.lag(clock).over(inside).alias("_lag"), F.lead(clock).over(inside).alias("_lead"), (near - 1).alias("traffic")).filter(F.col("_in").eqNullSafe(F.col("_own")))
+    ends = df.groupBy(*batch, F.floor(c / width).alias("_own")).agg(F.min(clock).alias("_lo"), F.max(clock).alias("_hi"))
+    across = Window.partitionBy(*batch).orderBy("_own")  # a row a bucket
+    ends = ends.select(*batch, "_own", F.lag("_hi").over(across).alias("_before"), F.lead("_lo").over(across).alias("_after"))
+    out = joined(rows, ends, [*batch, "_own"])
+    ahead = F.col(clock) - F.coalesce("_lag", "_before")
+    return out.select(*df.columns, ahead.alias("gap_ahead"), (F.coalesce("_lead", "_after") - F.col(clock)).alias("gap_behind"), "traffic", E.flag(ahead < close).alias("in_reach"))
 
 
 def evolution(df: DataFrame, batch: Sequence[str], lap: str, column: str, exact: bool = True) -> DataFrame:
     """The field's median at each lap over its median at the first."""
-    from .stats import quantile
-
-    medians = df.groupBy(*batch, lap).agg(quantile(F.col(column), 0.5, exact).alias("median"))
+    keys = [*batch, lap]
+    if exact:
+        medians = joined(df.select(*keys).distinct(), exact_quantiles(df, keys, column, [0.5]), keys).select(*keys, F.col("q")[0].alias("median"))
+    else:
+        medians = df.groupBy(*keys).agg(quantile(F.col(column), 0.5, False).alias("median"))
     w = Window.partitionBy(*batch).orderBy(lap)
     return medians.withColumn("evolution", F.col("median") / F.first("median").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))

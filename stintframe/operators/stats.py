@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -116,19 +118,89 @@ def outliers(df: DataFrame, column: str, k: float = 1.5, exact: bool = True) ->
     return df.crossJoin(F.broadcast(bounds)).agg(F.count_if(beyond).alias("outliers"), rate(beyond).alias("percent"))  # one row
 
 
+def column_types(df: DataFrame) -> DataFrame:
+    """``name``, ``type`` of every column, in their order."""
+    return df.sparkSession.createDataFrame(df.dtypes, "name string, type string")
+
+
+def head(df: DataFrame, n: int = 5, *order: str) -> DataFrame:
+    """The first ``n`` rows, in an order where one is given."""
+    return (df.orderBy(*order) if order else df).limit(n)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
 
 
+#: Columns up to which correlations are aggregates of their own; sides of the blocks beyond.
+NARROW, BLOCK = 40, 128
+
+
 def correlations(df: DataFrame, columns: Sequence[str], listwise: bool = False) -> DataFrame:
-    """``a``, ``b``, ``r`` of each pair, in one pass; pairwise complete, or complete rows only."""
+    """``a``, ``b``, ``r`` of each pair; pairwise complete, or complete rows only.  A few columns take one aggregate, many take
+    blocks of sums of products."""
     df = df.dropna("any", subset=[*columns]) if listwise else df
+    if len(columns) > NARROW:
+        return wide_correlations(df, columns)
     pairs = [*combinations(columns, 2)]
     wide = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
+def wide_correlations(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """``correlations`` of any number of columns, pairwise complete.
+
+    Values are taken less their column's mean.  Each task sums, for every two blocks of columns, the products and the counts, sums
+    and squares over the rows that have both; it sends a row a column and block, which are added as they arrive.  So a task holds
+    six sums a pair, whatever the rows.  Pairs with fewer than two common rows or without spread are null.
+    """
+    columns = [*columns]
+    means = df.agg(*[F.avg(F.col(c).cast("double")) for c in columns]).first()
+    middle = np.array([m if m is not None else 0.0 for m in means])
+    parts = [(i, min(i + block, len(columns))) for i in range(0, len(columns), block)]
+    pairs = [(i, j) for i in range(len(parts)) for j in range(i, len(parts))]
+    kinds = ["n", "sa", "sb", "saa", "sbb", "sab"]
+    shape = "i int, j int, at int, " + ", ".join(f"{k} array<double>" for k in kinds)
+    names = ["i", "j", "at", *kinds]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                piece = batch.slice(low, 4096)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in piece.columns])
+                m = ~np.isnan(x)
+                x = np.where(m, x - middle, 0.0)
+                m = m.astype(np.float64)
+                for i, j in pairs:
+                    a, b = slice(*parts[i]), slice(*parts[j])
+                    made = np.stack([m[:, a].T @ m[:, b], x[:, a].T @ m[:, b], m[:, a].T @ x[:, b], (x[:, a] ** 2).T @ m[:, b], m[:, a].T @ x[:, b] ** 2, x[:, a].T @ x[:, b]])
+                    sums[i, j] = sums[i, j] + made if (i, j) in sums else made
+        for (i, j), s in sums.items():
+            rows = s.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array([i] * rows, pa.int32()), pa.array([j] * rows, pa.int32()), pa.array(range(rows), pa.int32()), *(pa.array([*k], pa.list_(pa.float64())) for k in s)], names)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                for r in batch.slice(low, 256).to_pylist():
+                    key, made = (r["i"], r["j"], r["at"]), np.array([r[k] for k in kinds])
+                    sums[key] = sums[key] + made if key in sums else made
+        for (i, j, at), (n, sa, sb, saa, sbb, sab) in sums.items():
+            with np.errstate(divide="ignore", invalid="ignore"):
+                va, vb = saa - sa * sa / n, sbb - sb * sb / n
+                r = (sab - sa * sb / n) / np.sqrt(va * vb)
+                flat = (n < 2) | (va <= 1e-13 * saa) | (vb <= 1e-13 * sbb)
+            first, others = parts[i][0] + at, np.arange(*parts[j])
+            keep = others > first
+            yield pa.RecordBatch.from_arrays([pa.array([columns[first]] * int(keep.sum()), pa.string()), pa.array([columns[o] for o in others[keep]], pa.string()), pa.array(np.clip(r[keep], -1, 1), mask=flat[keep])], ["a", "b", "r"])
+
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
+    return numbers.mapInArrow(products, shape).repartition("i", "j", "at").mapInArrow(finish, "a string, b string, r double")
+
+
 def describe(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """Per column: n, mean, std, min, quartiles, max; moments in one pass, exact quartiles in two more a column."""
     parts = []

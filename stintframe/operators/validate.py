@@ -38,11 +38,7 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def look_up(df: DataFrame, table: DataFrame, key: str, values: dict[str, object]) -> DataFrame:
-    """Left join with defaults for rows without a match."""
+def look_up(df: DataFrame, table: DataFrame, key: str, values: dict[str, object], unique: bool = False) -> DataFrame:
+    """Left join with defaults for rows without a match; ``unique`` makes a key that the table repeats an error."""
+    table = assert_unique(table.select(key, *values), [key]) if unique else table
     return df.join(table.select(key, *values), key, "left").fillna(values)
-
-
-def sample_exact(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` random rows, all if there are fewer."""
-    return df.orderBy(F.rand(seed)).limit(n)

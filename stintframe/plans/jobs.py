@@ -41,6 +41,7 @@ def clean(table: DataFrame, results: DataFrame, qualifying: DataFrame) -> dict[s
     q = clean_qualifying(qualifying)
     extra = ["BestQualifyingTime", "GapToPole", "QualifyingPerformance"]
     lap_rows = clean_laps(table)
+    validate.assert_unique(q, KEYS)  # a repeated row would double a result
     return {"laps": lap_rows, "results": results.join(q.select(*KEYS, *extra), KEYS, "left"), "qualifying": q, "outliers": stats.outliers(lap_rows, "LapTime_seconds")}
 
 

@@ -10,14 +10,15 @@ from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.stats import best_of, score_summary
+from ..operators.stats import best_of, joined, score_summary
+from .kernel import KernelSVM
 
 
 def encoder(numeric: Sequence[str], categorical: Sequence[str], unseen: str = "keep", scale: bool = False, impute: bool = False) -> list:
@@ -60,6 +61,24 @@ def with_fold(df: DataFrame, label: str, key: Sequence[str], folds: int = 5, see
     return rows.withColumn("_r", rank).join(starts, [label, "_b"]).withColumn("fold", ((F.col("_start") + F.col("_r")) % folds).cast("int")).drop("_h", "_b", "_r", "_start")
 
 
+def with_fold_rates(df: DataFrame, keys: Sequence[str], condition: Column, out: str, fold: str = "fold") -> DataFrame:
+    """``out``: the percentage of the key's rows in the other folds that meet the condition, so that no row's own outcome is in its
+    feature; null where the key has none there.  One aggregate by key and fold; the total less the fold's own."""
+    keys = [*keys]
+    own = df.groupBy(*keys, fold).agg(F.sum(F.coalesce(condition.cast("double"), F.lit(0.0))).alias("_s"), F.count("*").alias("_n"))
+    of_key = Window.partitionBy(*keys)  # a row a fold
+    s, n = F.sum("_s").over(of_key) - F.col("_s"), F.sum("_n").over(of_key) - F.col("_n")
+    return joined(df, own.select(*keys, fold, F.when(n > 0, s / n * 100).alias(out)), [*keys, fold])
+
+
+def with_past_rates(df: DataFrame, keys: Sequence[str], batch: Sequence[str], condition: Column, out: str) -> DataFrame:
+    """``out``: the percentage of the key's rows in earlier batches that meet the condition; null without earlier ones."""
+    keys, batch = [*keys], [*batch]
+    own = df.groupBy(*keys, *batch).agg(F.sum(F.coalesce(condition.cast("double"), F.lit(0.0))).alias("_s"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(*batch).rowsBetween(Window.unboundedPreceding, -1)  # a row a batch
+    return joined(df, own.select(*keys, *batch, (F.sum("_s").over(before) / F.sum("_n").over(before) * 100).alias(out)), [*keys, *batch])
+
+
 def with_holdout(df: DataFrame, key: Sequence[str], seed: int = 42, percent: int = 80) -> DataFrame:
     """``train``: by a hash of the key, so that it does not depend on partitioning."""
     return df.withColumn("train", F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(100)) < percent)
@@ -71,14 +90,15 @@ def classifiers(label: str, weight: str | None = "weight", trees: int = 100, rou
         "forest": RandomForestClassifier(labelCol=label, numTrees=trees, seed=42, **w),
         "logistic": LogisticRegression(labelCol=label, maxIter=1000, regParam=0.01, **w),
         "boosted": GBTClassifier(labelCol=label, maxIter=rounds, stepSize=0.1, maxDepth=4, seed=42),
-        "svm": LinearSVC(labelCol=label, maxIter=50, regParam=0.01, **w),
+        "svm": KernelSVM(labelCol=label, weightCol=weight),
     }
 
 
 def cross_validate(df: DataFrame, stages: list, models: dict, label: str, folds: int = 5, parallelism: int = 8) -> DataFrame:
     """``model``, ``metric`` (accuracy, f1 of class 1), ``fold``, ``value``; ``df`` has ``fold``.
 
-    A fold is encoded once, from its training rows, for all models; ``parallelism`` models are fitted at a time.
+    A fold is encoded once, from its training rows, for all models; ``parallelism`` models are fitted at a time, and one fold's
+    encoded rows are cached at a time.
     """
     metrics = {"accuracy": MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"), "f1": MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)}
     cached = not df.is_cached
@@ -89,20 +109,20 @@ def cross_validate(df: DataFrame, stages: list, models: dict, label: str, folds:
         encoding = Pipeline(stages=stages).fit(train)
         return encoding.transform(train).cache(), encoding.transform(test).cache()
 
-    def scores(task: tuple[int, str]) -> list[tuple]:
-        fold, name = task
-        train, test = sets[fold]
-        scored = models[name].fit(train).transform(test).select(label, "prediction").cache()
-        found = [(name, metric, fold, float(e.evaluate(scored))) for metric, e in metrics.items()]
-        scored.unpersist()
-        return found
-
+    rows = []
     with ThreadPool(parallelism) as pool:
-        sets = pool.map(encoded, range(folds))
-        rows = [r for found in pool.map(scores, [(fold, name) for fold in range(folds) for name in models], chunksize=1) for r in found]
-    for held in sets:
-        for x in held:
-            x.unpersist()
+        for fold in range(folds):
+            train, test = encoded(fold)
+
+            def scores(name: str, fold: int = fold, train: DataFrame = train, test: DataFrame = test) -> list[tuple]:
+                scored = models[name].fit(train).transform(test).select(label, "prediction").cache()
+                found = [(name, metric, fold, float(e.evaluate(scored))) for metric, e in metrics.items()]
+                scored.unpersist()
+                return found
+
+            rows += [r for found in pool.map(scores, [*models], chunksize=1) for r in found]
+            train.unpersist()
+            test.unpersist()
     if cached:
         df.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, metric string, fold int, value double")
@@ -119,31 +139,50 @@ def regression_metrics(scored: DataFrame, label: str, prediction: str = "predict
     return scored.agg(F.lit(e["mae"]).alias("mae"), F.lit(e["r2"]).alias("r2"), (F.lit(e["mae"]) / F.avg(label) * 100).alias("error_percent"))
 
 
-def boosted_regressor(label: str, depth: int = 5, rounds: int = 20, step: float = 0.1) -> GBTRegressor:
-    return GBTRegressor(labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=step, seed=42)
+def boosted_regressor(label: str, depth: int = 5, rounds: int = 100, step: float = 0.1, validation: str | None = None, tolerance: float = 0.01) -> GBTRegressor:
+    """Boosted trees; with the boolean column ``validation`` they stop where a round gains less than ``tolerance`` of the error of the
+    rows it marks.  Lineage is cut every ten rounds where the session has a checkpoint folder."""
+    extra = {"validationIndicatorCol": validation, "validationTol": tolerance} if validation else {}
+    return GBTRegressor(labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=step, seed=42, cacheNodeIds=True, checkpointInterval=10, **extra)
+
+
+def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``feature``, ``importance`` of the last stage's trees, greatest first; ``df`` is any table that the model can score."""
+    held = model.transform(df.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
+    names = {a["idx"]: a["name"] for group in held.values() for a in group}
+    weights = model.stages[-1].featureImportances
+    rows = [(names[i], float(weights[i])) for i in range(weights.size)]
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def train(df: DataFrame, stages: list, model) -> PipelineModel:
     return Pipeline(stages=[*stages, model]).fit(df)
 
 
-def train_winner(features: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: Sequence[str], label: str = "race_winner") -> tuple[PipelineModel, DataFrame]:
-    """The boosted classifier, fitted on all complete rows, and the cross-validated scores of all four."""
-    rows = with_fold(with_class_weight(features.dropna("any", subset=[*numeric, *categorical]), label), label, key)
+def train_winner(features: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: Sequence[str], label: str = "race_winner", models: dict | None = None, folds: int = 5) -> tuple[PipelineModel, DataFrame]:
+    """The boosted classifier, fitted on all complete rows, and the cross-validated scores of all of ``models``, by default the four."""
+    rows = with_fold(with_class_weight(features.dropna("any", subset=[*numeric, *categorical]), label), label, key, folds)
     stages = encoder(numeric, categorical, unseen="keep", scale=True)
-    models = classifiers(label)
-    return train(rows, stages, models["boosted"]), cross_validate(rows, stages, models, label)
+    models = models or classifiers(label)
+    return train(rows, stages, models["boosted"]), cross_validate(rows, stages, models, label, folds)
+
+
+def with_validation(df: DataFrame, key: Sequence[str], seed: int = 7, percent: int = 20) -> DataFrame:
+    """``validation``: a fifth of the rows by a hash of the key."""
+    return df.withColumn("validation", F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(100)) < percent)
 
 
-def train_lap_time(features: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: Sequence[str], label: str = "LapTime_seconds") -> tuple[PipelineModel, DataFrame]:
-    """Fitted on four fifths, measured on the rest."""
-    rows = with_holdout(features, key)
-    model = train(rows.filter("train"), encoder(numeric, categorical, scale=True, impute=True), boosted_regressor(label, 5))
-    return model, regression_metrics(model.transform(rows.filter("not train")), label)
+def train_lap_time(features: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: Sequence[str], label: str = "LapTime_seconds", rounds: int = 100) -> tuple[PipelineModel, DataFrame]:
+    """Fitted on four fifths, as many rounds as a fifth of those justifies, measured on the rest; the metrics' row also has the
+    ``rounds`` taken."""
+    rows = with_validation(with_holdout(features.dropna("any", subset=[label]), key), key)
+    model = train(rows.filter("train"), encoder(numeric, categorical, scale=True, impute=True), boosted_regressor(label, 5, rounds, validation="validation"))
+    return model, regression_metrics(model.transform(rows.filter("not train")), label).withColumn("rounds", F.lit(model.stages[-1].getNumTrees))
 
 
-def train_position(features: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str = "Position") -> PipelineModel:
-    return train(features.dropna("any", subset=[label]), encoder(numeric, categorical, scale=True, impute=True), boosted_regressor(label, 4))
+def train_position(features: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: Sequence[str], label: str = "Position", rounds: int = 100) -> PipelineModel:
+    rows = with_validation(features.dropna("any", subset=[label]), key)
+    return train(rows, encoder(numeric, categorical, scale=True, impute=True), boosted_regressor(label, 4, rounds, validation="validation"))
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import stats, validate
+from ..operators import samples, stats
 
 
 def wins(results: DataFrame, entity: str = "Driver", position: str = "Position") -> DataFrame:
@@ -31,12 +33,14 @@ def totals(df: DataFrame, key: str, column: str) -> DataFrame:
     return stats.by_key(df, [key], total=F.sum(column)).orderBy(F.col("total").desc_nulls_last(), key)
 
 
-def mean_with_interval(df: DataFrame, key: str, column: str) -> DataFrame:
-    return stats.confidence_interval(df, key, column)
+def mean_with_interval(df: DataFrame, key: str, column: str, row_key: Sequence[str] = ()) -> DataFrame:
+    """Mean and 95 % interval: bootstrapped where ``row_key`` tells rows apart, else by the normal approximation."""
+    return samples.bootstrap_interval(df, key, column, row_key) if row_key else stats.confidence_interval(df, key, column)
 
 
-def sample_pairs(df: DataFrame, x: str, y: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    return validate.sample_exact(df.select(x, y), n, seed)
+def sample_pairs(df: DataFrame, x: str, y: str, key: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
+    """``n`` pairs drawn by a hash of the row's key; an error if there are fewer."""
+    return samples.exactly(df, n, key, seed).select(x, y)
 
 
 def correlation_matrix(df: DataFrame, listwise: bool = False) -> DataFrame:
@@ -94,7 +98,8 @@ def insights(df: DataFrame, bucket: str, position: str) -> DataFrame:
 def positions_gained(df: DataFrame, start: str, position: str, bins: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Histogram, density, and mean and median."""
     gained = df.select((F.col(start) - F.col(position)).cast("double").alias("gained"))
-    return stats.histogram(gained, "gained", bins), stats.density(gained, "gained"), gained.agg(F.avg("gained").alias("mean"), stats.quantile(F.col("gained"), 0.5).alias("median"))
+    median = stats.exact_quantiles(gained, [], "gained", [0.5]).select(F.col("q")[0].alias("median"))
+    return stats.histogram(gained, "gained", bins), stats.density(gained, "gained"), stats.joined(gained.agg(F.avg("gained").alias("mean")), median, [])
 
 
 def session_times(df: DataFrame, ids: list[str], sessions: list[str], must: str) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as E
-from .operators import form, impute, laps, stats, validate
+from .operators import form, impute, laps, samples, sketches, stats, validate
 from .operators.form import Form, Roles
 from .plans import jobs, ml, reports
 from .sources import tables
 from .streaming import jobs as streams
+from .streaming import tails
 
 ORDERS = Roles(entity=["o_custkey"], order=["o_orderdate", "o_orderkey"])
 EVENTS = Roles(entity=["user_id"], order=["ts", "event_id"])
@@ -481,9 +482,75 @@ def report_consistency(spark, sf_dir):
     return rounded(reports.consistency(read(spark, sf_dir, "part"), "p_brand", "p_retailprice", 15), "std", n=4)
 
 
-@registered()
+@registered("select * from events order by md5('42|' || event_id), event_id limit 1000")
 def sample_n(spark, sf_dir):
-    return validate.sample_exact(read(spark, sf_dir, "events"), 1000, 42)
+    """A thousand events by the order of a hash of their key."""
+    return samples.exactly(read(spark, sf_dir, "events"), 1000, ["event_id"])
+
+
+@registered("""select event_type, event_id from (select *, row_number() over (partition by event_type order by md5('7|' || event_id), event_id) r from events) where r <= 20""")
+def sample_strata(spark, sf_dir):
+    """Twenty events of each type, merged from the samples of two halves."""
+    e = read(spark, sf_dir, "events").select("event_type", "event_id")
+    halves = [samples.bottom(e.filter(F.col("event_id") % 2 == k), 20, ["event_id"], 7, ["event_type"]) for k in (0, 1)]
+    return samples.merged(*halves, 20, ["event_id"], ["event_type"]).select("event_type", "event_id")
+
+
+_BITS = "('0x' || substr(d, 4 * i + 1, 4))::int"
+_WEIGHT = " + ".join(f"({_BITS} >= {step})::int" for step in samples.poisson_steps())
+
+
+@registered(f"""
+with d as (select event_type, value, g, md5('42|' || g || '|' || event_id) d from events, range(25) t(g)),
+w as (select event_type, value, 8 * g + i b, {_WEIGHT} w from d, range(8) u(i)),
+m as (select event_type, b, sum(w * value) / nullif(sum(w), 0) m from w group by 1, 2)
+select event_type, round((select avg(value) from events e where e.event_type = m.event_type), 6) mean,
+  round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high from m group by 1""")
+def ci_bootstrap(spark, sf_dir):
+    """Two hundred bootstrap replicates in one pass."""
+    return rounded(reports.mean_with_interval(read(spark, sf_dir, "events"), "event_type", "value", ["event_id"]), "mean", "low", "high")
+
+
+@registered("""
+with v as (select vec_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) - 1 i from embeddings)
+select 'e' || a.i a, 'e' || b.i b, round(corr(a.x, b.x), 6) r from v a join v b on a.vec_id = b.vec_id and a.i < b.i group by a.i, b.i""")
+def corr_wide(spark, sf_dir):
+    """All pairs of the components of the vectors."""
+    e = read(spark, sf_dir, "embeddings")
+    wide = e.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return rounded(stats.correlations(wide, wide.columns), "r")
+
+
+@registered("""select event_type, count(*) n, true as within from events group by 1""")
+def sketched_fences(spark, sf_dir):
+    """Quartiles per type from the stored sketches of twelve batches; within: each is as near its rank as the sketch states."""
+    events, path = read(spark, sf_dir, "events"), _folder(spark)
+    for b in range(12):
+        rows = events.filter(F.coalesce(F.dayofmonth("ts") % 12, F.lit(0)) == b)
+        tables.write_batch(sketches.sketch(rows, ["event_type"], "value"), path, b)
+    stored = tables.read_batches(spark, path, sketches.schema(events, ["event_type"]))
+    limits = sketches.fences(sketches.merged(stored, ["event_type"]), ["event_type"])
+    marks = F.array(*[F.struct(F.lit(q).alias("q"), F.col(c).alias("at")) for q, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    ranks = events.join(limits.select("event_type", F.col("n").alias("_n"), F.explode(marks).alias("m")), "event_type")
+    below = ranks.groupBy("event_type", "_n", "m.q").agg(F.avg((F.col("value") < F.col("m.at")).cast("double")).alias("lo"), F.avg((F.col("value") <= F.col("m.at")).cast("double")).alias("hi"))
+    error = F.greatest(F.col("lo") - F.col("q"), F.col("q") - F.col("hi"))
+    return below.groupBy("event_type", F.col("_n").alias("n")).agg((F.max(error) <= sketches.RANK_ERROR).alias("within"))
+
+
+@registered(f"""select o_orderkey, round(avg(o_totalprice) {W6}, 4) avg_last, round(min(o_totalprice) {W6}, 4) best_last, cast(sum({FAILED}) {W6} as bigint) failed_last,
+  round(avg(o_totalprice) {OLDER} - avg(o_totalprice) {RECENT}, 4) trend from orders""")
+def form_refreshed(spark, sf_dir):
+    """Form of every order, worked out year by year from stored tails."""
+    orders, state = read(spark, sf_dir, "orders"), _folder(spark)
+    price, failed = F.col("o_totalprice"), E.flag(F.col("o_orderstatus") != "F", 1)
+    spec = Form(mean={"avg_last": price}, least={"best_last": price}, count={"failed_last": failed}, trend={"trend": price})
+    first, last = orders.agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    if first is None:
+        return form.with_form(orders, ORDERS, spec, 6).select("o_orderkey", "avg_last", "best_last", "failed_last", "trend")
+    for number, year in enumerate(range(first, last + 1)):
+        tails.refresh(orders.filter(F.year("o_orderdate") == year), number, state, ORDERS, spec, 6, buckets=8)
+    out = tails.refreshed(spark, state, "form", form.with_form(orders, ORDERS, spec, 6).schema)
+    return rounded(out.select("o_orderkey", "avg_last", "best_last", "failed_last", "trend"), "avg_last", "best_last", "trend", n=4)
 
 
 @registered("""select o_orderstatus, cast(f as int) fold, n // 5 + case when f < n % 5 then 1 else 0 end n
@@ -503,16 +570,41 @@ NUMERIC = ["avg_last", "best_last", "trend"]
 
 @registered()
 def ml_cv(spark, sf_dir):
-    """All four classifiers over five folds."""
+    """All four classifiers over five folds; a customer's rate comes from the other folds."""
     rows = ml.with_fold(ml.with_class_weight(order_features(spark, sf_dir), "label"), "label", ["o_orderkey"])
-    return stats.score_summary(ml.cross_validate(rows, ml.encoder(NUMERIC, ["o_orderpriority"], scale=True), ml.classifiers("label"), "label"))
+    rows = ml.with_fold_rates(rows, ["o_custkey"], F.col("label") == 1, "rate").fillna(0.0, ["rate"])
+    return stats.score_summary(ml.cross_validate(rows, ml.encoder([*NUMERIC, "rate"], ["o_orderpriority"], scale=True), ml.classifiers("label"), "label"))
+
+
+@registered("""with f as (select *, o_orderkey % 5 fold, (o_orderstatus = 'F')::int y from orders),
+  c as (select o_custkey, fold, sum(y) s, count(*) n from f group by 1, 2),
+  t as (select o_custkey, sum(s) s, sum(n) n from c group by 1)
+  select o_orderkey, case when t.n > c.n then round((t.s - c.s) / (t.n - c.n)::double * 100, 6) end rate from f join c using (o_custkey, fold) join t using (o_custkey)""")
+def fold_rates(spark, sf_dir):
+    """Rates without a row's own fold."""
+    rows = read(spark, sf_dir, "orders").withColumn("fold", F.col("o_orderkey") % 5)
+    return rounded(ml.with_fold_rates(rows, ["o_custkey"], F.col("o_orderstatus") == "F", "rate").select("o_orderkey", "rate"), "rate")
+
+
+@registered("""select o_orderkey, round(avg((o_orderstatus = 'F')::int) over (partition by o_custkey order by year(o_orderdate) range between unbounded preceding and 1 preceding) * 100, 6) rate from orders""")
+def past_rates(spark, sf_dir):
+    """Rates as of the start of a row's year."""
+    rows = read(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate"))
+    return rounded(ml.with_past_rates(rows, ["o_custkey"], ["y"], F.col("o_orderstatus") == "F", "rate").select("o_orderkey", "rate"), "rate")
 
 
 @registered()
 def ml_gbt_regressor(spark, sf_dir):
-    rows = ml.with_holdout(order_features(spark, sf_dir), ["o_orderkey"])
-    model = ml.train(rows.filter("train"), ml.encoder(NUMERIC, ["o_orderpriority"], impute=True), ml.boosted_regressor("o_totalprice", 4))
-    return ml.regression_metrics(model.transform(rows.filter("not train")), "o_totalprice")
+    """Boosted trees, the number of rounds chosen on held-out rows."""
+    return ml.train_lap_time(order_features(spark, sf_dir), NUMERIC, ["o_orderpriority"], ["o_orderkey"], "o_totalprice")[1]
+
+
+@registered()
+def ml_importances(spark, sf_dir):
+    """What the forecast of the next order's price rests on."""
+    rows = order_features(spark, sf_dir)
+    model = ml.train_position(rows, NUMERIC, ["o_orderpriority"], ["o_orderkey"], "o_totalprice", rounds=20)
+    return ml.importances(model, rows)
 
 
 @registered()
@@ -531,6 +623,18 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select(*schema.names)
 
 
+@registered("""select event_type, count(*) n, round(sum(case when event_type in ('click', 'view') then 2 * value else value end), 3) total from events group by 1""")
+def stream_corrected(spark, sf_dir):
+    """Two types of event are delivered again with doubled values; each partition is as it was delivered last."""
+    folder, events = _folder(spark), read(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    deliveries = [events, events.filter(F.col("event_type").isin("click", "view")).withColumn("value", 2 * F.col("value"))]
+    for rows in deliveries:
+        rows.write.mode("append").parquet(f"{folder}/in")
+        streams.ingest_corrected(spark, f"{folder}/in", events.schema, f"{folder}/out", f"{folder}/checkpoint", ["event_type"]).awaitTermination()
+    out = spark.read.schema(events.schema).parquet(f"{folder}/out")
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
 @registered("select event_id, event_type, value > 50 large from events")
 def stream_score(spark, sf_dir):
     """Rows scored as they arrive, appended to a table."""
@@ -672,6 +776,10 @@ def cumulative_time(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; without one, in the warehouse."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the shared checkpoint folder; in local mode without one, in the warehouse."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"

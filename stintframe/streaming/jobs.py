@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators import form
-from ..operators.form import Form, Roles
 from ..operators.validate import with_errors
+from ..sources.tables import latest_delivery, replace_batches
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, format: str = "parquet", required: Sequence[str] = ()) -> StreamingQuery:
@@ -28,16 +27,25 @@ def ingest(spark: SparkSession, source: str, schema: StructType, target: str, ch
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_corrected(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, by: Sequence[str], format: str = "parquet") -> StreamingQuery:
+    """Keep the ``by`` partitions of ``target`` as the latest file delivered them: what arrives again replaces what is there.
+
+    Files come in the order of their time; where several of one micro-batch hold a partition, the last counts.
+    """
+    rows = spark.readStream.schema(schema).format(format).load(source).select("*", F.col("_metadata.file_modification_time").alias("_when"), F.col("_metadata.file_path").alias("_source"))
+
+    def store(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            replace_batches(latest_delivery(batch, by, "_when", "_source").drop("_when", "_source"), target, by)
+
+    return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def scored(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], required: Sequence[str]) -> DataFrame:
     """Score a stream row by row; rows that lack a required value are filtered out."""
     return transform(with_errors(stream, required).filter(F.size("_errors") == 0).drop("_errors"))
 
 
-def refresh_form(history: DataFrame, touched: DataFrame, roles: Roles, spec: Form, n: int) -> DataFrame:
-    """Form of the entities that a micro-batch touches, from their whole history."""
-    return form.with_form(history.join(touched.select(*roles.entity).distinct(), [*roles.entity], "left_semi"), roles, spec, n)
-
-
 def windowed_counts(stream: DataFrame, ts: str, key: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and means per window and key; rows later than ``late`` are left out."""
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
