@@ -28,9 +28,9 @@ START_BLOCK, BLOCK = 512, 1024
 #: Error of a cosine of half-precision vectors that the exact check allows for.
 MARGIN = 0.004
 #: Vertices with a link that an audit looks for, and the samples in which it does: each is one scan of all vectors.
-AUDITED, SAMPLES = 400, (1024, 3072, 12288)
+AUDITED, SAMPLES = 400, (1024, 3072, 4096)
 #: Bytes of sampled vectors that a scan holds at most.
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 16 << 20
 #: Candidates that a local join returns per member; near the threshold it returns as many as a list holds.
 BEST = 4
 
@@ -195,7 +195,7 @@ def audit(points: DataFrame, links: DataFrame, member: DataFrame, threshold: flo
     A link inside one saturated component is counted whatever was found and tells nothing, so it is left out; vertices without
     another link say nothing either.  So a cloud's many links weigh no more than a pair's.  Vertices are drawn in the order of a
     hash of their ids, in a first sample and up to two larger ones, until ``AUDITED`` of them have a link or all are asked.  With m of
-    them the mean is right within 1 / sqrt(m) at 95 %; where none of 16,384 has a link, at most one vertex in 5,000 has one.
+    them the mean is right within 1 / sqrt(m) at 95 %; where none of 8,192 has a link, at most one vertex in 2,700 has one.
     ``member`` has ``node``, ``component`` of the saturated components.
     """
     inside = points.select("id", "unit").join(member.select(F.col("node").alias("id"), "component"), "id", "left")

@@ -83,7 +83,8 @@ def said_of(messages: DataFrame) -> DataFrame:
 
 def linked(asked: DataFrame, said: DataFrame) -> DataFrame:
     """Each quoted passage with the ``original`` (conv_id, turn, message_id) that it comes from."""
-    said = said.join(asked.select("digest").distinct(), "digest", "left_semi")
+    # written first: so the join deals what is said on its own, and splits a line that very many messages say
+    said = said.join(cut(asked.select("digest").distinct()), "digest", "left_semi")
     place = F.struct(F.col("conv_id").alias("conv"), F.col("turn").alias("turn"), F.col("message_id").alias("message"))
     near = cut(said.groupBy("digest", "conv_id").agg(F.min(place).alias("near")))
     far = cut(near.groupBy("digest").agg(F.min("near").alias("far")))

@@ -4,9 +4,10 @@ A text's fingerprint holds, per bit, the majority over the XXH64 hashes of its w
 next seed.  The bits are split into blocks and each combination of ``agree`` blocks is a key, so that two fingerprints
 meet under a key whenever at most ``n_blocks - agree`` blocks differ: surely with ``n_blocks - agree`` differing bits or
 fewer, likely with more.  With 64 bits, six blocks and two agreeing, every pair within 4 bits meets and a key fixes 21 bits
-(15 keys a fingerprint); for many billions of fingerprints take eight blocks and four (32 bits, 70 keys).
+(15 keys a fingerprint); more fingerprints take more blocks, up to eight and four (32 bits, 70 keys) at billions (``blocks_for``).
 
-Equal fingerprints are one node before any pairing.  A key that very many different fingerprints share is cut into chunks,
+Equal fingerprints are one node before any pairing.  Keys are dealt as pairs of two numbers; fingerprints follow only under keys
+that several share.  A key that very many different fingerprints share is cut into chunks,
 and each pair of chunks is compared by one task; a comparison returns one star of edges per component it finds instead of
 all pairs.  So no task holds more than two chunks of a key, nothing is sampled, and the rows made stay linear in each pair
 of chunks.
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, groups, runs, slices
+from .common import connected_components, cut, groups, runs, slices, written
 from .mphf import mix
 
 SEED = 42
@@ -171,6 +172,14 @@ def _edges_in_sorted(key: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[n
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def blocks_for(count: int, max_bits: int, bits: int = 64) -> tuple[int, int]:
+    """The fewest blocks, and how many of them agree, whose keys hold some hundred of ``count`` fingerprints by chance."""
+    n = max_bits + 2
+    while n < min(max_bits + 4, bits) and count / 2.0 ** (bits * (n - max_bits) / n) > 128:
+        n += 1
+    return n, n - max_bits
+
+
 def close_edges(nodes: DataFrame, max_bits: int = 4, n_blocks: int = 6, agree: int = 2, chunk: int = CHUNK, keys: Callable[[np.ndarray], Iterator[np.ndarray]] | None = None) -> DataFrame:
     """Edges ``src``, ``dst`` that join any two of ``nodes`` (node, fp; each fp once) that meet under a key and differ in
     ``max_bits`` or fewer bits, directly or through others as close.  ``keys`` replaces the keys of the blocks."""
@@ -179,19 +188,23 @@ def close_edges(nodes: DataFrame, max_bits: int = 4, n_blocks: int = 6, agree: i
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                fps = _matrix(batch.column("fp"))
-                for found in keys(fps):
-                    yield pa.RecordBatch.from_arrays([pa.array(found), batch.column("node"), batch.column("fp")], ["key", "node", "fp"])
-
-    keyed = nodes.select("node", "fp").mapInArrow(key, "key long, node long, fp binary")
-    large = keyed.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > chunk)
-    parts = F.ceil(F.coalesce("size", F.lit(1)) / F.lit(chunk)).cast("int")
+                for found in keys(_matrix(batch.column("fp"))):
+                    yield pa.RecordBatch.from_arrays([pa.array(found), batch.column("h")], ["key", "h"])
+
+    # a hash stands for a fingerprint until it is compared; two of one hash only meet more often
+    hashed = nodes.select(F.xxhash64("fp").alias("h"), "node", "fp")
+    keyed = written(hashed.select("h", "fp").mapInArrow(key, "key long, h long"), "keys")
+    # written before the join, so that it deals the keys on their own and may split a hot one
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    parts = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
     dealt = (
-        keyed.join(large, "key", "left")
-        .withColumn("parts", parts)
-        .withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        keyed.join(shared, "key")
+        .select("key", "h", parts.alias("parts"))
+        .withColumn("mine", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("node", "fp", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("task"))
+        .select("h", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("task"))
+        .join(hashed, "h")
+        .select("node", "fp", "task")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +240,12 @@ def near_duplicates(
     shingle_words: int = 4,
     max_bits: int = 4,
     words64: int = 1,
-    n_blocks: int = 6,
+    n_blocks: int | None = None,
     agree: int = 2,
 ) -> DataFrame:
-    """``id``, ``fp`` and ``component_id`` (smallest id reachable through close fingerprints, its own included) per row.
+    """``id``, ``fp`` and ``component_id`` (smallest id reachable through close fingerprints, its own included) per row; other
+    columns, whatever their names, are not looked at.  Without ``n_blocks`` the blocks follow from the number of fingerprints.
+    Texts of any length are taken whole.
 
     Null or empty text: no bit set, linked like any other.  Repeated ids stay repeated rows; texts under one id count as
     linked.  A null id never becomes a component id unless every id of the component is null.  An empty table gives an
@@ -238,7 +253,9 @@ def near_duplicates(
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle_words, words64))
     # a fingerprint's node is its smallest id; without any id a hash of its bits
-    nodes = marked.groupBy("fp").agg(F.min("id").alias("low")).withColumn("node", F.coalesce("low", F.xxhash64("fp")))
+    nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("low")).withColumn("node", F.coalesce("low", F.xxhash64("fp"))))
+    if n_blocks is None:
+        n_blocks, agree = blocks_for(nodes.count(), max_bits, 64 * words64)
     linked = connected_components(close_edges(nodes, max_bits, n_blocks, agree))
     nodes = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
