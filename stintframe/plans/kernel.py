@@ -3,6 +3,9 @@ on folds that it was not fitted on."""
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, PipelineModel, Transformer
@@ -65,7 +68,7 @@ class KernelSVM(Estimator):
     depend on partitioning, and equal rows share a fold.
     """
 
-    def __init__(self, labelCol: str = "label", weightCol: str | None = None, featuresCol: str = "features", n_features: int = 128, gamma: float | None = None, folds: int = 5, maxIter: int = 50, regParam: float = 0.01, seed: int = 42):
+    def __init__(self, labelCol: str = "label", weightCol: str | None = None, featuresCol: str = "features", n_features: int = 128, gamma: float | None = None, folds: int = 5, maxIter: int = 30, regParam: float = 0.01, seed: int = 42):
         super().__init__()
         self.label, self.weight, self.column, self.n_features, self.gamma = labelCol, weightCol, featuresCol, n_features, gamma
         self.folds, self.rounds, self.reg, self.seed = folds, maxIter, regParam, seed
@@ -79,11 +82,11 @@ class KernelSVM(Estimator):
         svm = LinearSVC(labelCol=self.label, featuresCol="kernel_features", maxIter=self.rounds, regParam=self.reg, **({"weightCol": self.weight} if self.weight else {}))
         fold = F.pmod(F.xxhash64(vector_to_array(self.column), F.lit(self.seed)), F.lit(self.folds))
         rows = kernel.transform(df.select(self.column, self.label, *([self.weight] if self.weight else []))).withColumn("_fold", fold).drop(self.column).cache()
-        margins = None
-        for k in range(self.folds):
-            out = svm.fit(rows.filter(F.col("_fold") != k)).transform(rows.filter(F.col("_fold") == k)).select(F.col(self.label).alias("label"), vector_to_array("rawPrediction")[1].alias("margin"))
-            margins = out if margins is None else margins.union(out)
-        fitted, scale = svm.fit(rows), self._platt(margins)
+        with ThreadPool(self.folds + 1) as pool:  # all rows, and all but each fold's
+            fitted, *without = pool.map(lambda k: svm.fit(rows if k < 0 else rows.filter(F.col("_fold") != k)), range(-1, self.folds))
+        held = [m.transform(rows.filter(F.col("_fold") == k)) for k, m in enumerate(without)]
+        margins = [x.select(F.col(self.label).alias("label"), vector_to_array("rawPrediction")[1].alias("margin")) for x in held]
+        scale = self._platt(reduce(DataFrame.union, margins))
         rows.unpersist()
         return PipelineModel([kernel, fitted, scale])
 

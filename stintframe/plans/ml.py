@@ -141,9 +141,9 @@ def regression_metrics(scored: DataFrame, label: str, prediction: str = "predict
 
 def boosted_regressor(label: str, depth: int = 5, rounds: int = 100, step: float = 0.1, validation: str | None = None, tolerance: float = 0.01) -> GBTRegressor:
     """Boosted trees; with the boolean column ``validation`` they stop where a round gains less than ``tolerance`` of the error of the
-    rows it marks.  Lineage is cut every ten rounds where the session has a checkpoint folder."""
+    rows it marks."""
     extra = {"validationIndicatorCol": validation, "validationTol": tolerance} if validation else {}
-    return GBTRegressor(labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=step, seed=42, cacheNodeIds=True, checkpointInterval=10, **extra)
+    return GBTRegressor(labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=step, seed=42, **extra)
 
 
 def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -156,7 +156,12 @@ def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def train(df: DataFrame, stages: list, model) -> PipelineModel:
-    return Pipeline(stages=[*stages, model]).fit(df)
+    """The stages and the model in one pipeline; the encoded rows are kept while the model passes over them."""
+    encoding = Pipeline(stages=stages).fit(df)
+    rows = encoding.transform(df).persist()
+    fitted = model.fit(rows)
+    rows.unpersist()
+    return PipelineModel([*encoding.stages, fitted])
 
 
 def train_winner(features: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: Sequence[str], label: str = "race_winner", models: dict | None = None, folds: int = 5) -> tuple[PipelineModel, DataFrame]:
