@@ -1,17 +1,19 @@
 """Token ids in binary shards with a minimal perfect hash index from document key to offset.
 
-A store is a folder of ``shard-NNNNN.ids`` (the ids of its documents one after another, little-endian, two bytes each where
-the vocabulary allows it, else four), ``shard-NNNNN.idx`` and ``manifest.json``.  Documents ascend by key over the shards.
+A store is a folder of ``shard-NNNNNNN.ids`` (the ids of its documents one after another, little-endian, two bytes each where
+the vocabulary allows it, else four), ``shard-NNNNNNN.idx``, a Parquet list of the shards and ``manifest.json``.  Documents ascend by key over the shards.
 An index maps a key to a slot in constant time; the slot's stored fingerprint tells absent keys, and its record number
-leads to the offset of the payload.  Files appear by renaming and count only once the manifest names them.
+leads to the offset of the payload.  Files appear by renaming and count only once the manifest, written last, names their list.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import slices
 from .mphf import PerfectHash, fingerprints
-from .shards import Output, file_system, place, read_manifest, with_shard, write_manifest
+from .shards import Output, by_shard, file_system, place, read_manifest, with_shard, write_manifest
 from .token_ids import token_ids
 from .wordunits import spread
 
 MAGIC = b"IDX1"
 #: Arrays of an index file, in this order, and their types.
 ARRAYS = {"bits": "<u1", "print": "<u4", "first": "<u4", "count": "<u4", "offsets": "<i8"}
+SUMMARY = "shard int, documents long, tokens long, nulls long, first_key long"
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -89,7 +92,7 @@ def write_store(
 
         def close() -> pa.RecordBatch:
             ends = np.cumsum(np.array(sizes, np.int64))
-            index = Output(path, f"shard-{shard:05d}.idx")
+            index = Output(path, f"shard-{shard:07d}.idx")
             index.write(_index(keys, ends))
             out.commit()
             index.commit()
@@ -105,7 +108,7 @@ def write_store(
                     if s != shard:
                         if out:
                             yield close()
-                        shard, out, keys, sizes = s, Output(path, f"shard-{s:05d}.ids"), [], []
+                        shard, out, keys, sizes = s, Output(path, f"shard-{s:07d}.ids"), [], []
                     out.write(ids)
                     keys.append(key)
                     sizes.append(len(ids))
@@ -116,18 +119,28 @@ def write_store(
                 out.discard()
             raise
 
-    rows = (
-        dealt.repartitionById(n, F.col("shard"))
-        .sortWithinPartitions("shard", F.asc_nulls_first("id"), "hash", "ids")
-        .select("shard", "id", "ids")
-        .mapInArrow(run, "shard int, documents long, tokens long, nulls long, first_key long")
-        .collect()  # one row a shard
-    )
-    shards, start = [], 0
-    for r in sorted(rows):
-        shards.append(r.asDict() | {"start": start})
-        start += r.tokens
-    write_manifest(path, {"width": width, "end_id": end_id, "shards": shards, "tokens": start})
+    sorted_rows = by_shard(dealt, n).sortWithinPartitions("shard", F.asc_nulls_first("id"), "hash", "ids")
+    listed = f"shards-{uuid.uuid4().hex}.parquet"
+    sorted_rows.select("shard", "id", "ids").mapInArrow(run, SUMMARY).write.parquet(f"{path}/{listed}")
+    write_manifest(path, {"width": width, "end_id": end_id, "shards": listed})
+
+
+class ShardList(NamedTuple):
+    """Shards in their order: ids before each, the numbers of those with a key and the first key of each of them, and the numbers
+    of those with records without key."""
+
+    starts: np.ndarray
+    keyed: np.ndarray
+    firsts: np.ndarray
+    null: np.ndarray
+
+
+def shard_list(spark: SparkSession, path: str, name: str) -> ShardList:
+    """The list of a store on the driver, ``MOST_SHARDS`` rows at most."""
+    rows = spark.read.schema(SUMMARY).parquet(f"{path}/{name}").toArrow().sort_by("shard")
+    tokens, nulls, has_key = rows["tokens"].to_numpy(), rows["nulls"].to_numpy(), rows["first_key"].is_valid().to_numpy()
+    firsts = rows["first_key"].drop_null().to_numpy()
+    return ShardList(np.cumsum(tokens) - tokens, np.flatnonzero(has_key).astype(np.int32), firsts, np.flatnonzero(nulls).astype(np.int32))
 
 
 class Shard:
@@ -135,7 +148,7 @@ class Shard:
 
     def __init__(self, path: str, shard: int, width: int):
         system, root = file_system(path)
-        with system.open_input_stream(f"{root}/shard-{shard:05d}.idx", compression=None) as f:
+        with system.open_input_stream(f"{root}/shard-{shard:07d}.idx", compression=None) as f:
             raw = f.read()
         if raw[:4] != MAGIC:
             raise ValueError(f"shard {shard} of {path} has no index")
@@ -147,7 +160,7 @@ class Shard:
             setattr(self, name, values)
         self.null_records, self.width = head["null_records"], width
         self.table = PerfectHash(self.bits, head["sizes"])
-        self.payload = system.open_input_file(f"{root}/shard-{shard:05d}.ids")
+        self.payload = system.open_input_file(f"{root}/shard-{shard:07d}.ids")
 
     def records(self, keys: list) -> list[range]:
         """The record numbers of each key; none for an absent key."""
@@ -180,17 +193,15 @@ def look_up(spark: SparkSession, path: str, keys: DataFrame, with_ids: bool = Fa
     ``n_tokens``, ``ids_crc32``, and ``ids`` if asked for.  Absent keys give no row; a repeated key is looked up each time.
     """
     manifest = read_manifest(path)
-    width = manifest["width"]
+    width, shards = manifest["width"], shard_list(spark, path, manifest["shards"])
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    if not manifest["shards"]:
+    if not len(shards.starts):
         return spark.createDataFrame([], schema)
+    held = spark.sparkContext.broadcast(shards)  # some 20 bytes a shard
     names = [x.split()[0] for x in schema.split(", ")]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = read_manifest(path)["shards"]
-        keyed = [x for x in shards if x["first_key"] is not None]
-        firsts = np.array([x["first_key"] for x in keyed], np.int64)
-        number, null = np.array([x["shard"] for x in keyed], np.int32), np.array([x["shard"] for x in shards if x["nulls"]], np.int32)
+        _, number, firsts, null = held.value
         for batch in batches:
             key = batch.column("key")
             known = key.drop_null().to_numpy()
@@ -202,7 +213,7 @@ def look_up(spark: SparkSession, path: str, keys: DataFrame, with_ids: bool = Fa
             yield pa.RecordBatch.from_arrays([pa.nulls(rows * len(null), pa.int64()), pa.array(np.tile(null, rows))], ["key", "shard"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = {x["shard"]: x["start"] for x in read_manifest(path)["shards"]}
+        starts = held.value.starts
         for batch in batches:
             key, shard = batch.column("key").to_pylist(), batch.column("shard").to_numpy()
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
@@ -212,11 +223,11 @@ def look_up(spark: SparkSession, path: str, keys: DataFrame, with_ids: bool = Fa
                 for k, records in zip(key[a:b], store.records(key[a:b]), strict=True):
                     for r in records:
                         ids = store.ids(r)
-                        row = [k, starts[int(shard[a])] + int(store.offsets[r]) // width, len(ids), zlib.crc32(ids.tobytes()), ids]
+                        row = [k, int(starts[shard[a]]) + int(store.offsets[r]) // width, len(ids), zlib.crc32(ids.tobytes()), ids]
                         for column, x in zip(out, row, strict=False):
                             column.append(x)
                 columns = [pa.array(x, pa.int64()) for x in out[:4]]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(x, pa.list_(pa.int64())) for x in out[4:]], names)
 
     wanted = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).mapInArrow(deal, "key long, shard int")
-    return wanted.repartitionById(len(manifest["shards"]), F.col("shard")).sortWithinPartitions("shard", "key").mapInArrow(read, schema)
+    return by_shard(wanted, len(shards.starts)).sortWithinPartitions("shard", "key").mapInArrow(read, schema)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Shards of a table at most (shards of a larger table are larger), and tasks that write or read them, each several.
+MOST_SHARDS, MOST_TASKS = 1 << 20, 100_000
 LEAST = -(2**63)
 NULLS = -(2**62)
 
@@ -26,18 +28,20 @@ def place(key: Column, content: Column) -> tuple[Column, Column]:
     return F.coalesce(key, F.lit(LEAST)), F.when(key.isNull(), F.lit(NULLS) + spread).otherwise(spread)
 
 
-def bounds(weighed: DataFrame, target: int) -> list[tuple[int, int]]:
-    """The first place (``a``, ``b``) of each shard, from rows with ``a``, ``b`` and ``weight``.
+def bounds(weighed: DataFrame, target: int) -> np.ndarray:
+    """The first place (``a``, ``b``) of each shard, a row a shard, from rows with ``a``, ``b`` and ``weight``.
 
     Rows are sorted over all tasks, and a shard ends where the weight of all rows before reaches the next multiple of
     ``target``, so that shards are even whatever the keys are; only rows equal in both parts stay together.  The bounds
-    depend on the data alone.  One row a shard and one a partition reach the driver.
+    depend on the data alone.  Where ``target`` would make more than ``MOST_SHARDS`` shards, it grows; 16 bytes a shard and a
+    row a partition reach the driver.
     """
     ordered = cut(weighed.select("a", "b", F.col("weight").cast("long")).orderBy("a", "b").withColumn("part", F.spark_partition_id()))
     before, total = {}, 0
     for r in sorted(ordered.groupBy("part").agg(F.sum("weight").alias("w")).collect()):
         before[r.part] = total
         total += r.w
+    target = max(target, -(-total // MOST_SHARDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached, last = None, None
@@ -53,12 +57,14 @@ def bounds(weighed: DataFrame, target: int) -> list[tuple[int, int]]:
                 yield pa.RecordBatch.from_arrays([pa.array(shard[new]), *(batch.column(c).take(pa.array(new)) for c in ("a", "b"))], ["shard", "a", "b"])
 
     firsts = ordered.mapInArrow(run, "shard long, a long, b long").groupBy("shard").agg(F.min(F.struct("a", "b")).alias("first"))
-    return sorted({(r.first.a, r.first.b) for r in firsts.collect()})
+    found = firsts.select("first.a", "first.b").distinct().toArrow()
+    places = np.stack([found[c].to_numpy() for c in ("a", "b")], axis=1).astype(np.int64)
+    return places[np.lexsort((places[:, 1], places[:, 0]))]
 
 
-def shard_of(firsts: list[tuple[int, int]], spark) -> Column:
+def shard_of(firsts: np.ndarray, spark) -> Column:
     """The number of the shard that holds the place in columns ``a`` and ``b``; only these two longs pass through Python."""
-    held = spark.sparkContext.broadcast(np.array(firsts, np.int64).reshape(-1, 2))  # 16 bytes a shard
+    held = spark.sparkContext.broadcast(firsts)  # MOST_SHARDS rows of 16 bytes
 
     @F.arrow_udf("int")
     def number(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -84,6 +90,12 @@ def with_shard(df: DataFrame, weighed: DataFrame, target: int) -> tuple[DataFram
     return df.withColumn("shard", shard_of(firsts, df.sparkSession)).drop("a", "b"), max(1, len(firsts))
 
 
+def by_shard(df: DataFrame, n: int) -> DataFrame:
+    """``df`` dealt by its column ``shard``, one of ``n``, to ``MOST_TASKS`` tasks at most: neighbouring shards go to one task."""
+    tasks = min(n, MOST_TASKS)
+    return df.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / n).cast("int"))
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 

@@ -18,15 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
-from .shards import Output, file_system, place, read_manifest, with_shard, write_manifest
+from .shards import MOST_TASKS, Output, by_shard, file_system, place, read_manifest, with_shard, write_manifest
 
 # Fixed values of the format.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 _SPACE = uuid.UUID("00000000-0000-0000-0000-000000000000")
 DATE = "2000-01-01T00:00:00Z"
-#: Tasks that read an archive, each one or more files.
-MOST_TASKS = 100_000
 SUMMARY = "file string, shard int, bytes long, records long, sha1 string"
 
 
@@ -94,7 +92,7 @@ def write_archive(
     both = both.select("*", a.alias("a"), b.alias("b"), b.alias("hash"))
     weighed = rows.select(a.alias("a"), b.alias("b"), (F.col("size") + 400).alias("weight"))
     dealt, n = with_shard(both, weighed, shard_bytes)
-    dealt = dealt.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "hash", "digest", "mark", "url")
+    dealt = by_shard(dealt, n).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "hash", "digest", "mark", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, shard, number, count, sha = None, None, 0, 0, None
@@ -102,7 +100,7 @@ def write_archive(
 
         def close() -> pa.RecordBatch:
             out.commit()
-            row = {"file": f"{prefix}-{shard:05d}-{number:05d}.warc.gz", "shard": shard, "bytes": out.size, "records": count, "sha1": sha.hexdigest()}
+            row = {"file": f"{prefix}-{shard:07d}-{number:05d}.warc.gz", "shard": shard, "bytes": out.size, "records": count, "sha1": sha.hexdigest()}
             return pa.RecordBatch.from_pylist([row], pa.schema([("file", pa.string()), ("shard", pa.int32()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha1", pa.string())]))
 
         def put(data: bytes) -> None:
@@ -124,7 +122,7 @@ def write_archive(
                     if not out:
                         number = number if s == shard else 0
                         shard, count, sha = s, 0, hashlib.sha1()
-                        file = f"{prefix}-{shard:05d}-{number:05d}.warc.gz"
+                        file = f"{prefix}-{shard:07d}-{number:05d}.warc.gz"
                         out = Output(path, file)
                         put(record("warcinfo", file, [("WARC-Filename", file), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n", date))
                     to = refers if refers != p or same else None

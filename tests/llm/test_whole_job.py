@@ -175,6 +175,34 @@ def test_shards_are_even_whatever_the_ids_are(spark, tmp_path):
     assert [key(r.doc_id) for r in got] == sorted(key(r.doc_id) for r in got)
 
 
+def test_shards_and_tasks_are_bounded(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from stintframe.llm import id_store, shards, warc
+
+    monkeypatch.setattr(shards, "MOST_TASKS", 20)
+    numbered = spark.range(100_000).select(F.col("id").cast("int").alias("shard"))
+    tasks = shards.by_shard(numbered, 100_000).select("shard", F.spark_partition_id().alias("task"))
+    assert tasks.filter("task <> shard div 5000").count() == 0
+    rows = spark.range(3000).select("id", F.concat(F.lit("text "), "id").alias("text")).repartition(3)
+    import public_tokenizers
+
+    tokenizer, got = public_tokenizers.path("word_bpe_49k.json"), {}
+    for name, most_shards, most_tasks in (("plain", 1 << 20, 100_000), ("tasks", 1 << 20, 3), ("shards", 7, 100_000)):
+        monkeypatch.setattr(shards, "MOST_SHARDS", most_shards)
+        monkeypatch.setattr(shards, "MOST_TASKS", most_tasks)
+        folder = str(tmp_path / name)
+        id_store.write_store(rows, folder, tokenizer, 2, 49_408, id_col="id", shard_bytes=2000)
+        files = list((tmp_path / name).glob("*.ids"))
+        assert len(files) == 7 if name == "shards" else len(files) > 30
+        if name == "tasks":
+            assert len(list((tmp_path / name).glob("shards-*.parquet/part-*"))) <= most_tasks
+        got[name] = sorted(map(tuple, id_store.look_up(spark, folder, rows.select("id")).collect()))
+        warc.write_archive(rows, folder + "-warc", id_col="id", url_col="text", html_col="text", shard_bytes=20_000)
+        assert warc.read_archive(spark, folder + "-warc").count() == 3000
+    assert got["plain"] == got["tasks"] == got["shards"] and len(got["plain"]) == 3000
+
+
 # 3
 def test_packing_asks_every_sequence_and_balances_cost():
     from stintframe.llm.packing import pack
