@@ -5,6 +5,9 @@ forms share them); a document's is the noisy-or of its sentences that hold a wei
 nothing, however many there are.  Weights are fitted by gradient ascent on the documents' likelihood, so that the sentences that make
 a document toxic are found without sentence labels and can be located afterwards.  Clean documents are also learnt from joined
 into longer and longer ones, which are as clean: weak evidence must not add up with length.
+
+A clean sentence is taken for a toxic one now and then, so a long text gathers such errors.  ``Leak`` is what so many clean sentences gather
+by chance, learnt on folds that the weights were not fitted on, and a document's log odds are lowered by it.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import product
 from typing import NamedTuple
 from zlib import crc32
 
@@ -33,6 +37,12 @@ BEGINNINGS = (4, 5, 6)
 EVIDENCE, TIMES = 4.0, 3.0
 #: Clean documents that are joined into one.
 JOINED = (4, 16, 64, 256, 1024)
+#: Standard deviations above the mean at which the evidence of clean sentences is bounded.
+BOUND = 3.0
+#: Times that the sample is halved to measure it: the errors are few, and one halving's models make some by chance.
+HALVINGS = 3
+#: Errors that may go unseen in any sample, with 95 % confidence three at most, and the evidence of each (a probability of 0.7).
+UNSEEN, ERROR = 3, 1.2
 #: What ends a sentence, quotes and brackets that may follow it, and marks that need no space after them.
 ENDS, CLOSING, FULL_WIDTH = (".", "!", "?", "…"), "\"'”’»)]", "。！？"
 
@@ -74,15 +84,29 @@ def sentences(texts: pa.Array) -> Sentences:
     return Sentences(units.codes, units.dictionary, sentence, text[new])
 
 
+class Leak(NamedTuple):
+    """Mean and deviation of a clean sentence's evidence ``-log(1 - p)``: among all with a word, and among those that count."""
+
+    mean: float = 0.0
+    deviation: float = 0.0
+    counted_mean: float = 0.0
+    counted_deviation: float = 0.0
+
+    def bound(self, worded: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """What so many clean sentences gather at most, up to chance: the lower of the bounds by either number."""
+        by_worded = worded * self.mean + BOUND * self.deviation * np.sqrt(worded)
+        return np.minimum(by_worded, counted * self.counted_mean + BOUND * self.counted_deviation * np.sqrt(counted))
+
+
 class Model:
-    """Weight of each feature that has one, and a bias."""
+    """Weight of each feature that has one, a bias, and the leak of clean sentences."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], bias: float, leak: Leak = Leak()):
+        self.weights, self.bias, self.leak = weights, bias, leak
         self.memory = Memory(self._work_out)
 
     def __reduce__(self):
-        return Model, (self.weights, self.bias)
+        return Model, (self.weights, self.bias, self.leak)
 
     def _work_out(self, units: list[str]) -> tuple[np.ndarray, ...]:
         """Weight of each unit, whether it has a word, and whether one of its features has a weight."""
@@ -91,17 +115,28 @@ class Model:
         n = len(units)
         return np.fromiter(map(sum, held), float, n), np.fromiter(map(bool, found), bool, n), np.fromiter(map(bool, held), bool, n)
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str | None], np.ndarray]:
-        """Of each text: noisy-or of its sentences; number, text and probability of its worst one (-1, null and 0 without
-        any word)."""
+    def evidence(self, texts: pa.Array) -> tuple[Sentences, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sentences with their log odds (-inf without a word); of each text the summed evidence, and the numbers of its sentences
+        with a word and of those that count."""
         parts = sentences(texts)
         weight, worded, counted = self.memory.look_up(parts.dictionary)
         if not self.weights and self.bias >= 0:  # without weights, the model is its bias alone: labels of one class
             counted = worded
-        n = len(parts.text_of)
+        n, k = len(parts.text_of), len(texts)
+        worded, counted = (np.bincount(parts.sentence, x[parts.codes], n) > 0 for x in (worded, counted))
         z = np.bincount(parts.sentence, weight[parts.codes], n) + self.bias
-        z[np.bincount(parts.sentence, worded[parts.codes], n) == 0] = -np.inf
-        total = -np.expm1(-np.bincount(parts.text_of, np.where(np.bincount(parts.sentence, counted[parts.codes], n) > 0, np.logaddexp(0, z), 0), len(texts)))
+        z[~worded] = -np.inf
+        total = np.bincount(parts.text_of, np.where(counted, np.logaddexp(0, z), 0), k)
+        return parts, z, total, np.bincount(parts.text_of, worded, k), np.bincount(parts.text_of, counted, k)
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str | None], np.ndarray]:
+        """Of each text: noisy-or of its sentences, its log odds lowered by the leak; number, text and probability of its worst
+        sentence (-1, null and 0 without any word)."""
+        parts, z, total, worded, counted = self.evidence(texts)
+        n = len(z)
+        with np.errstate(divide="ignore", over="ignore"):
+            odds = total + np.log(-np.expm1(-total)) - self.leak.bound(worded, counted)
+            total = 1 / (1 + np.exp(-odds))
         starts = np.searchsorted(parts.text_of, np.arange(len(texts)))
         worst, place, where = np.zeros(len(texts)), np.full(len(texts), -1), []
         for i, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True)):
@@ -112,6 +147,38 @@ class Model:
         return total, place, where, worst
 
 
+def learn(texts: list[str], labels: list[int]) -> Model:
+    """The model fitted on all texts, with the leak of the clean ones.
+
+    Their evidence is measured by models fitted on the other half of the texts, since a model's own texts are cleaner to it than others are.
+    Halves go by bits of a checksum of the text, so copies share one.  A half without texts of both classes measures nothing.
+    """
+    y = np.array(labels, int)
+    checksum = np.array([crc32(x.encode()) for x in texts], np.int64)
+    found = []
+    for bit, k in product(range(HALVINGS), (0, 1)):
+        half = checksum >> bit & 1 == k
+        others = np.flatnonzero(~half)
+        clean = [texts[i] for i in np.flatnonzero(half & (y == 0))]
+        if clean and len({*y[others].tolist()}) == 2:
+            found.append(fit([texts[i] for i in others], y[others].tolist()).evidence(pa.array(clean, pa.large_string()))[2:])
+    model = fit(texts, labels)
+    if found:
+        gathered, *numbers = (np.concatenate(x) for x in zip(*found, strict=True))
+        model.leak = Leak(*(x for n in numbers for x in moments(gathered, n)))
+    return model
+
+
+def moments(gathered: np.ndarray, numbers: np.ndarray) -> tuple[float, float]:
+    """Mean and deviation of one sentence's evidence, from what documents with these numbers of sentences gathered in all halvings, and
+    ``UNSEEN`` errors more a halving."""
+    n, unseen = float(numbers.sum()), UNSEEN * HALVINGS
+    if not n:
+        return 0.0, 0.0
+    mean = (float(gathered.sum()) + unseen * ERROR) / n
+    return mean, float(np.sqrt((((gathered - mean * numbers) ** 2).sum() + unseen * ERROR**2) / n))
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.1, decay: float = 1e-4, start: float = -5.0) -> Model:
     """Full-batch Adam on the noisy-or likelihood, classes weighted to equal shares, weights shrunk by ``decay``.
 
@@ -215,7 +282,7 @@ def held_out(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2400, most_bytes: int = 6 << 20) -> Model:
     """Fit on at most ``most_rows`` labelled documents and ``most_bytes`` of text, the documented bound of the sample."""
-    model = fit(*training_rows(docs, labels, most_rows, most_bytes))
+    model = learn(*training_rows(docs, labels, most_rows, most_bytes))
     release()
     return model
 

@@ -99,6 +99,34 @@ def test_joined_clean_texts_stay_clean(spark):
     assert all(share <= 1.2 * (1 - (1 - flagged[1]) ** k) + 0.05 for k, share in flagged.items()), flagged
 
 
+def test_joins_of_many_clean_texts_are_not_flagged(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = docs.join(labels, "doc_id").filter(toxicity.held_out("doc_id")).select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    clean, draw = [r.text for r in rows if r.toxic == 0], np.random.default_rng(5)
+
+    def flagged(texts):
+        return float((model.score(pa.array(texts, pa.large_string()))[0] >= 0.7).mean())
+
+    for k in (64, 256):
+        assert flagged(["\n".join(clean[i] for i in draw.integers(0, len(clean), k)) for _ in range(200)]) <= 0.05
+    leakless = toxicity.Model(model.weights, model.bias)
+    toxic = [r.text for r in rows if r.toxic == 1]
+    held = float((leakless.score(pa.array(toxic, pa.large_string()))[0] >= 0.7).mean())
+    assert flagged(toxic) >= held - 0.02 and flagged(clean) <= 0.005
+
+
+def test_leak_lowers_the_odds_by_the_lower_bound():
+    leak = toxicity.Leak(0.01, 0.02, 0.3, 0.1)
+    texts = ["idiot. table. moron x.", "table", "idiot " * 3]
+    model, plain = toxicity.Model({"idiot$": 4.0, "moron$": 2.5}, -2.0, leak), toxicity.Model({"idiot$": 4.0, "moron$": 2.5}, -2.0)
+    got, base = (m.score(pa.array(texts, pa.large_string()))[0] for m in (model, plain))
+    for p, q, (worded, counted) in zip(got, base, ((3, 2), (1, 0), (1, 1)), strict=True):
+        low = min(worded * 0.01 + toxicity.BOUND * 0.02 * worded**0.5, counted * 0.3 + toxicity.BOUND * 0.1 * counted**0.5)
+        assert abs(p - (q * math.exp(-low) / (1 - q + q * math.exp(-low)))) < 1e-9
+    assert toxicity.learn([], []).leak == toxicity.Leak() and toxicity.learn(["a b"], [0]).leak == toxicity.Leak()
+
+
 # pipeline
 def linked(texts, least):
     sets = []
