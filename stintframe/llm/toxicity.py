@@ -291,6 +291,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     """All columns of ``docs`` and ``toxicity`` (double), ``worst_sentence`` (int, -1 without any), ``worst_text``,
     ``worst_score``.
 
+    The score is the noisy-or of the sentences with the odds lowered by the model's leak, so a long text needs more evidence than a short one.
     Only the text is read for the score, so repeated rows score alike.  Null or empty text scores 0.  Whole texts are scored,
     of any length, with some 30 times a text's size in memory.  Columns of these names in ``docs`` are replaced.  An empty
     table gives an empty result.  Without labels of both classes every text with a word has the model's bias alone.

@@ -108,8 +108,15 @@ def test_joins_of_many_clean_texts_are_not_flagged(spark):
     def flagged(texts):
         return float((model.score(pa.array(texts, pa.large_string()))[0] >= 0.7).mean())
 
+    # what a joined text gathers is the sum of its parts', so many joins are told from one look at each part
+    total, worded, counted = (np.asarray(x) for x in model.evidence(pa.array(clean, pa.large_string()))[2:])
     for k in (64, 256):
-        assert flagged(["\n".join(clean[i] for i in draw.integers(0, len(clean), k)) for _ in range(200)]) <= 0.05
+        i = draw.integers(0, len(clean), (2000, k))
+        gathered, bound = total[i].sum(axis=1), model.leak.bound(worded[i].sum(axis=1), counted[i].sum(axis=1))
+        hit = np.expm1(gathered) * np.exp(-bound) >= 0.7 / 0.3
+        assert hit.mean() <= 0.05
+        joined = ["\n".join(clean[j] for j in row) for row in i[:10]]
+        assert ((model.score(pa.array(joined, pa.large_string()))[0] >= 0.7) == hit[:10]).all()
     leakless = toxicity.Model(model.weights, model.bias)
     toxic = [r.text for r in rows if r.toxic == 1]
     held = float((leakless.score(pa.array(toxic, pa.large_string()))[0] >= 0.7).mean())
