@@ -628,9 +628,9 @@ def stream_corrected(spark, sf_dir):
     """Two types of event are delivered again with doubled values; each partition is as it was delivered last."""
     folder, events = _folder(spark), read(spark, sf_dir, "events").select("event_id", "event_type", "value")
     deliveries = [events, events.filter(F.col("event_type").isin("click", "view")).withColumn("value", 2 * F.col("value"))]
-    for rows in deliveries:
-        rows.write.mode("append").parquet(f"{folder}/in")
-        streams.ingest_corrected(spark, f"{folder}/in", events.schema, f"{folder}/out", f"{folder}/checkpoint", ["event_type"]).awaitTermination()
+    for n, rows in enumerate(deliveries):
+        rows.write.parquet(f"{folder}/in/{n}")  # as many files as it takes
+        streams.ingest_corrected(spark, f"{folder}/in", events.schema, f"{folder}/out", f"{folder}/checkpoint", ["event_type"], folders=True).awaitTermination()
     out = spark.read.schema(events.schema).parquet(f"{folder}/out")
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
 

@@ -161,10 +161,13 @@ def replace_batches(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
 
 def latest_delivery(df: DataFrame, by: Sequence[str], when: str, source: str) -> DataFrame:
-    """Of each ``by`` the rows of the file (column ``source``) that was delivered last (``when``); ties to the greater name."""
-    last = df.groupBy(*by).agg(F.max(F.struct(when, source)).alias("_last"))
+    """Of each ``by`` all rows of the delivery (column ``source``) that was completed last, however many files it has; a delivery is
+    complete at the greatest ``when`` of all its rows.  Ties to the greater name."""
+    ends = df.groupBy(F.col(source).alias("_of")).agg(F.max(when).alias("_end"))
+    held = df.groupBy(*by, F.col(source).alias("_of")).agg(F.lit(1))
+    last = held.join(ends, "_of").groupBy(*by).agg(F.max(F.struct("_end", "_of")).alias("_last"))
     named = last.toDF(*[f"_k_{c}" for c in by], "_last")
-    same = F.struct(when, source) == F.col("_last")
+    same = F.col(source) == F.col("_last._of")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     return df.join(named, same, "left_semi")

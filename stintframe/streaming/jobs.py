@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,18 +28,28 @@ def ingest(spark: SparkSession, source: str, schema: StructType, target: str, ch
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_corrected(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, by: Sequence[str], format: str = "parquet") -> StreamingQuery:
-    """Keep the ``by`` partitions of ``target`` as the latest file delivered them: what arrives again replaces what is there.
+def ingest_corrected(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, by: Sequence[str], format: str = "parquet", folders: bool = False) -> StreamingQuery:
+    """Keep the ``by`` partitions of ``target`` as the latest delivery left them: what arrives again replaces what is there.
 
-    Files come in the order of their time; where several of one micro-batch hold a partition, the last counts.
+    A delivery is a file of ``source`` or, with ``folders``, a folder in it that directly holds any number of files.  Deliveries come in
+    the order of the time of their last file; where several of one micro-batch hold a partition, the last counts.  A folder of which a
+    micro-batch brings some files is read whole, so that one that arrives in parts replaces no part of its own.
     """
-    rows = spark.readStream.schema(schema).format(format).load(source).select("*", F.col("_metadata.file_modification_time").alias("_when"), F.col("_metadata.file_path").alias("_source"))
+    of = F.regexp_replace("_metadata.file_path", "/[^/]*$", "") if folders else F.col("_metadata.file_path")
+    marks = [F.col("_metadata.file_modification_time").alias("_when"), of.alias("_source")]
+    found = spark.readStream.schema(schema).format(format).option("recursiveFileLookup", folders).load(source)
 
     def store(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            replace_batches(latest_delivery(batch, by, "_when", "_source").drop("_when", "_source"), target, by)
-
-    return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if folders:
+            names = [unquote(r[0]) for r in batch.select("_source").distinct().collect()]  # a row a delivery
+            if not names:
+                return
+            batch = batch.sparkSession.read.schema(schema).format(format).option("recursiveFileLookup", True).load(names).select("*", *marks)
+        elif batch.isEmpty():
+            return
+        replace_batches(latest_delivery(batch, by, "_when", "_source").drop("_when", "_source"), target, by)
+
+    return found.select("*", *marks).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def scored(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], required: Sequence[str]) -> DataFrame:

@@ -302,6 +302,28 @@ def test_the_last_of_two_deliveries_in_one_batch_counts(spark):
     assert sorted(r.v for r in tables.latest_delivery(rows, ["k"], "t", "f").collect()) == ["new", "new2", "only", "x"]
 
 
+def test_a_delivery_of_several_files_counts_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "old", 1, "d1"), (1, "old2", 4, "d1"), (1, "a", 2, "d2"), (1, "b", 5, "d2"), (2, "c", 3, "d2"), (2, "d", 1, "d1"), (None, "x", 1, "d1")], "k int, v string, t int, f string")
+    assert sorted(r.v for r in tables.latest_delivery(rows, ["k"], "t", "f").collect()) == ["a", "b", "c", "x"]
+    schema = "k int, v int"
+    deliver = lambda name, ids, v, mode="error": spark.createDataFrame([(i % 2, v + i) for i in ids], schema).repartition(3).write.mode(mode).parquet(f"{tmp_path}/in/{name}")
+
+    def take():
+        streams.ingest_corrected(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, f"{tmp_path}/out", f"{tmp_path}/c", ["k"], folders=True).awaitTermination()
+        return sorted(r.v for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    deliver("day=1 new", range(12), 0)
+    assert take() == [*range(12)]
+    deliver("b", range(12), 100)
+    deliver("a", range(0, 12, 2), 200)
+    once = sorted([*range(200, 212, 2), *range(101, 112, 2)])
+    assert take() == take() == once
+    deliver("c", range(0, 6, 2), 300)
+    assert take() == sorted([*range(300, 306, 2), *range(101, 112, 2)])
+    deliver("c", range(6, 12, 2), 300, "append")  # the rest of the same delivery
+    assert take() == sorted([*range(300, 312, 2), *range(101, 112, 2)])
+
+
 def test_raw_records_and_their_columns(spark, tmp_path):
     raw = spark.sql("select 2024 y, 1 rnd, 'VER' drv, interval '0 00:01:19.455' day to second q1, 1 pos")
     got = tables.normalised(raw, {"Year": "y", "Race": "rnd", "Driver": "drv", "Q1": "q1", "QualifyingPosition": "pos"}, tables.QUALIFYING, ["Q1", "Q2", "Q3"]).first()
