@@ -172,6 +172,24 @@ def _edges_in_sorted(key: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[n
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges ``a``, ``b`` as one star around the smallest node of each component: as many edges as nodes at most."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = place[: len(a)], place[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        u, v = low[i], low[j]
+        open_ = u != v
+        if not open_.any():
+            break
+        i, j, u, v = i[open_], j[open_], u[open_], v[open_]
+        np.minimum.at(low, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(low, above := low[low]):
+            low = above
+    leaf = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[low[leaf]], nodes[leaf]
+
+
 def blocks_for(count: int, max_bits: int, bits: int = 64) -> tuple[int, int]:
     """The fewest blocks, and how many of them agree, whose keys hold some hundred of ``count`` fingerprints by chance."""
     n = max_bits + 2
@@ -182,7 +200,8 @@ def blocks_for(count: int, max_bits: int, bits: int = 64) -> tuple[int, int]:
 
 def close_edges(nodes: DataFrame, max_bits: int = 4, n_blocks: int = 6, agree: int = 2, chunk: int = CHUNK, keys: Callable[[np.ndarray], Iterator[np.ndarray]] | None = None) -> DataFrame:
     """Edges ``src``, ``dst`` that join any two of ``nodes`` (node, fp; each fp once) that meet under a key and differ in
-    ``max_bits`` or fewer bits, directly or through others as close.  ``keys`` replaces the keys of the blocks."""
+    ``max_bits`` or fewer bits, directly or through others as close.  ``keys`` replaces the keys of the blocks.  A partition gives
+    one star for what its keys join together, so fewer edges than it has nodes, however large a group is."""
     keys = keys or partial(block_keys, n_blocks=n_blocks, agree=agree)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +228,21 @@ def close_edges(nodes: DataFrame, max_bits: int = 4, n_blocks: int = 6, agree: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
-
-        def out(tasks: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            a, b = _edges_in_sorted(tasks, fps, max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["src", "dst"])
+        none = np.zeros(0, np.int64)
+        joined, new_edges, waiting = (none, none), [], 0
+
+        def take(tasks: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> None:
+            nonlocal joined, new_edges, waiting
+            a, b = spanning_stars(*(nodes[x] for x in _edges_in_sorted(tasks, fps, max_bits)))
+            new_edges.append((a, b))
+            waiting += len(a)
+            if waiting > len(joined[0]) + 65536:  # the stars so far are looked at again only when their number may have doubled
+                settle()
+
+        def settle() -> None:
+            nonlocal joined, new_edges, waiting
+            joined = spanning_stars(*(np.concatenate(x) for x in zip(joined, *new_edges, strict=True)))
+            new_edges, waiting = [], 0
 
         for batch in batches:
             if not batch.num_rows:
@@ -222,9 +252,11 @@ def close_edges(nodes: DataFrame, max_bits: int = 4, n_blocks: int = 6, agree: i
             last = int(np.searchsorted(tasks, tasks[-1]))  # the last run may go on in the next batch
             kept = tasks[last:], nodes[last:], fps[last:]
             if last:
-                yield out(tasks[:last], nodes[:last], fps[:last])
+                take(tasks[:last], nodes[:last], fps[:last])
         if kept is not None:
-            yield out(*kept)
+            take(*kept)
+        settle()
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined], ["src", "dst"])
 
     return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "src long, dst long")
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from test_operators import components
 
 from stintframe.llm import nn_descent, quality, quotes, simhash, toxicity
+from stintframe.llm.common import connected_components
 
 
 
@@ -422,3 +423,37 @@ def test_recall_at_the_least_similarity(spark):
     for key in simhash.drawn_keys(fps, width, n):
         met |= key[::2] == key[1::2]
     assert (met & (simhash.differing(fps[::2], fps[1::2]) <= most)).mean() >= 0.9
+
+
+def test_edges_of_a_large_group_stay_below_its_nodes(spark):
+    """A base and all fingerprints one or two bits away from it, in a group a key, and groups of 30 beside it."""
+    base = 0x0123456789ABCDEF
+    fps = [base] + [base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i, 64)] + [base ^ (1 << i) for i in range(64)]
+    fps = [x for x in dict.fromkeys(fps)]
+    fps += [(g + 1) * 0x9E3779B97F4A7C15 % 2**64 ^ (1 << i) for g in range(20) for i in range(30)]
+    rows = [(n, bytearray(x.to_bytes(8, "little"))) for n, x in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, "node long, fp binary").repartition(3)
+    edges = simhash.close_edges(nodes).cache()
+    groups = {r.node: r.component for r in connected_components(edges).collect()}
+    assert len(set(groups.values())) == 21 and len(groups) == len(fps)
+    parts = edges.rdd.getNumPartitions()
+    assert edges.count() < parts * len(fps) and edges.distinct().count() < 2 * len(fps)
+    edges.unpersist()
+
+
+def test_stars_join_what_the_edges_join():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 4000, (2, 2500)) * 1000003 - 10**9
+    left, right = simhash.spanning_stars(a, b)
+    of = {int(x): int(x) for x in np.r_[a, b]}
+
+    def top(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = sorted((top(x), top(y)))
+        of[y] = x
+    assert dict(zip(right.tolist(), left.tolist(), strict=True)) == {x: top(x) for x in of if top(x) != x}
+    assert [len(x) for x in simhash.spanning_stars(a[:0], b[:0])] == [0, 0]
