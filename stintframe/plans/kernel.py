@@ -7,7 +7,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -38,9 +38,10 @@ class RandomFourier(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         rng = np.random.default_rng(seed)
         w, b = np.sqrt(2 * gamma) * rng.normal(size=(size, n)), rng.uniform(0, 2 * np.pi, n)
 
-        @F.pandas_udf("array<double>")
-        def project(x: pd.Series) -> pd.Series:
-            return pd.Series([*(np.sqrt(2 / n) * np.cos(np.stack(x.to_list()) @ w + b))]) if len(x) else x
+        @F.arrow_udf("array<double>")
+        def project(x: pa.Array) -> pa.Array:
+            out = np.sqrt(2 / n) * np.cos(x.flatten().to_numpy().reshape(len(x), size) @ w + b)
+            return pa.ListArray.from_arrays(np.arange(0, n * len(x) + 1, n, dtype="int32"), out.ravel())
 
         return df.withColumn(self.getOrDefault(self.outputCol), array_to_vector(project(vector_to_array(self.getOrDefault(self.inputCol)))))
 
@@ -73,15 +74,26 @@ class KernelSVM(Estimator):
         self.label, self.weight, self.column, self.n_features, self.gamma = labelCol, weightCol, featuresCol, n_features, gamma
         self.folds, self.rounds, self.reg, self.seed = folds, maxIter, regParam, seed
 
-    def _fit(self, df: DataFrame) -> PipelineModel:
+    def _machine(self, df: DataFrame) -> tuple[RandomFourier, LinearSVC, DataFrame]:
+        """The projection, the machine to fit on its outputs, and the rows with them."""
         m = df.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(self.column)).alias("s")).first().s
         mean, variance = m.mean.toArray(), m.variance.toArray() * (m["count"] - 1) / max(m["count"], 1)
         spread = float(np.mean(variance + mean**2) - np.mean(mean) ** 2)
         gamma = self.gamma if self.gamma is not None else 1 / (len(mean) * spread) if spread > 0 else 1.0
         kernel = RandomFourier(len(mean), self.n_features, gamma, self.seed, self.column)
         svm = LinearSVC(labelCol=self.label, featuresCol="kernel_features", maxIter=self.rounds, regParam=self.reg, **({"weightCol": self.weight} if self.weight else {}))
+        return kernel, svm, kernel.transform(df.select(self.column, self.label, *([self.weight] if self.weight else [])))
+
+    def fit_predicting(self, df: DataFrame) -> PipelineModel:
+        """The model without ``probability``: its predictions are those of ``fit``, since the calibration has no part in them, for one
+        fit of the machine instead of one and one for each calibration fold."""
+        kernel, svm, rows = self._machine(df)
+        return PipelineModel([kernel, svm.fit(rows)])
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        kernel, svm, rows = self._machine(df)
         fold = F.pmod(F.xxhash64(vector_to_array(self.column), F.lit(self.seed)), F.lit(self.folds))
-        rows = kernel.transform(df.select(self.column, self.label, *([self.weight] if self.weight else []))).withColumn("_fold", fold).drop(self.column).cache()
+        rows = rows.withColumn("_fold", fold).drop(self.column).cache()
         with ThreadPool(self.folds + 1) as pool:  # all rows, and all but each fold's
             fitted, *without = pool.map(lambda k: svm.fit(rows if k < 0 else rows.filter(F.col("_fold") != k)), range(-1, self.folds))
         held = [m.transform(rows.filter(F.col("_fold") == k)) for k, m in enumerate(without)]

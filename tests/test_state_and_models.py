@@ -1,11 +1,15 @@
 """Kernel machine, stored tails and sketches, hash samples, band joins, wide correlations, headed and corrected files, whole jobs."""
 
 import math
+import threading
+import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -64,6 +68,43 @@ def test_training_of_the_winner_selects_among_four(spark, rings, tmp_path):
     assert (meta.n_features, meta.lookback, meta.names) == (2, 6, '["a", "b"]') and meta.created
 
 
+def test_validation_fits_one_machine_a_fold_and_scores_as_the_calibrated_one(spark, rings, monkeypatch):
+    rows = rings.filter("i % 5 = 0").withColumn("fold", (F.col("i") / 5 % 2).cast("int")).cache()
+    model, stages = KernelSVM(n_features=40, folds=3, maxIter=10), ml.encoder(["a", "b"], [], scale=True)
+    calibrated = {}
+    for fold in range(2):
+        fitted = ml.train(rows.filter(F.col("fold") != fold), stages, model)
+        calibrated[fold] = fitted.transform(rows.filter(F.col("fold") == fold)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    fits, plain = [], LinearSVC.fit
+    monkeypatch.setattr(LinearSVC, "fit", lambda self, df: fits.append(1) or plain(self, df))
+    scores = ml.cross_validate(rows, stages, {"svm": model}, "label", folds=2)
+    assert len(fits) == 2
+    assert {r.fold: r.value for r in scores.filter("metric = 'accuracy'").collect()} == pytest.approx(calibrated, abs=0.01)
+
+
+def test_validation_overlaps_folds_and_lets_their_rows_go(spark, rings):
+    rows = rings.withColumn("fold", (F.col("i") % 5).cast("int"))
+    running, most, lock, folds = set(), [], threading.Lock(), []
+
+    class Watched(LogisticRegression):
+        def fit(self, df):
+            at = df.groupBy().agg(F.sum("fold")).first()[0]
+            with lock:
+                running.add(at)
+                most.append(len(running))
+                folds.append(at)
+            time.sleep(1)
+            fitted = super().fit(df)
+            with lock:
+                running.discard(at)
+            return fitted
+
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    scores = ml.cross_validate(rows, ml.encoder(["a", "b"], [], scale=True), {"one": Watched(labelCol="label"), "two": Watched(labelCol="label")}, "label")
+    assert scores.count() == 2 * 2 * 5 and max(most) > 1 and sorted(Counter(folds).values()) == [2] * 5
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
 def test_boosting_stops_where_held_out_rows_gain_nothing(spark, rings):
     noise = rings.select("i", "a", "b", F.lit("k").alias("kind"), (F.col("a") * 0 + F.randn(3)).alias("LapTime_seconds"))
     _, found = ml.train_lap_time(noise.cache(), ["a", "b"], ["kind"], ["i"], rounds=60)
