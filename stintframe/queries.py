@@ -571,11 +571,11 @@ NUMERIC = ["avg_last", "best_last", "trend"]
 @registered()
 def ml_cv(spark, sf_dir):
     """All four classifiers over five folds; a customer's rate comes from the other folds."""
-    rows = ml.with_fold(ml.with_class_weight(order_features(spark, sf_dir), "label"), "label", ["o_orderkey"])
+    rolled = _stored(order_features(spark, sf_dir).select("o_orderkey", "o_custkey", "label", *NUMERIC, "o_orderpriority"))
+    rows = ml.with_fold(ml.with_class_weight(rolled, "label"), "label", ["o_orderkey"])
     rows = ml.with_fold_rates(rows, ["o_custkey"], F.col("label") == 1, "rate").fillna(0.0, ["rate"])
-    path = _folder(spark)
-    rows.select("label", "weight", "fold", *NUMERIC, "rate", "o_orderpriority").write.parquet(path)  # thousands of short tasks then carry a scan, not the features' plan
-    return stats.score_summary(ml.cross_validate(spark.read.parquet(path), ml.encoder([*NUMERIC, "rate"], ["o_orderpriority"], scale=True), ml.classifiers("label"), "label"))
+    rows = _stored(rows.select("label", "weight", "fold", *NUMERIC, "rate", "o_orderpriority"))  # thousands of short tasks then carry a scan, not the features' plan
+    return stats.score_summary(ml.cross_validate(rows, ml.encoder([*NUMERIC, "rate"], ["o_orderpriority"], scale=True), ml.classifiers("label"), "label"))
 
 
 @registered("""with f as (select *, o_orderkey % 5 fold, (o_orderstatus = 'F')::int y from orders),
@@ -785,3 +785,10 @@ def _folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` read again from Parquet in a new shared folder."""
+    path = _folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
